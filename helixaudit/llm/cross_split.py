@@ -6,7 +6,7 @@ The evaluation side is the small one and is indexed; the training side only prob
 
 1. Evaluation index. Of every record, seeds at a stride are taken; the stride is the most for
    which any training record of the wanted similarity must contain one of them, at whatever
-   offset (``seeds.longest_run``). This is the prefix of the prefix filter: about 30 of 300
+   offset (``seeds.longest_run``). This is the prefix of the prefix filter: about 35 of 300
    shingles. Single 12-letter windows can't serve as shingles: there are only 4^12 of them, so in
    a large corpus none is rare and the candidates would grow with the square of the input.
 2. A bitmap of the indexed seeds (at most ``MOST_BITS`` bits, whatever the input) goes to the
@@ -28,7 +28,7 @@ from ..session import parallelism, write_once
 from ..sources.hits import complete_hits, id_number
 from . import kmers
 from .near_duplicates import BUCKET_POSTINGS, verified
-from .seeds import SEED, WINDOW, Exchange, class_span, gathered, longest_run, set_sizes, size_class
+from .seeds import KEY_BITS, SEED, WINDOW, Exchange, by_bucket, class_span, gathered, keyed, longest_run, set_sizes, size_class
 
 #: Bits of the seed bitmap: 64 for each indexed seed, within these bounds (at most 128 MB).
 LEAST_BITS, MOST_BITS = 20, 30
@@ -76,7 +76,7 @@ def index(texts: DataFrame, buckets: int, threshold: float) -> DataFrame:
                 rec = owner[: len(h)]
                 take = np.flatnonzero(inside & ((np.arange(len(h)) - offsets[:-1][rec]) % step[rec] == 0))
                 rec = rec[take]
-                yield from out.add((h[take] >> np.uint64(32)).astype(np.uint32), d[rec], size_class(sizes)[rec])
+                yield from out.add(keyed(h[take]), d[rec], size_class(sizes)[rec])
         yield from out.flush()
 
     return texts.select("d", "text").mapInArrow(run, Exchange.ddl)
@@ -87,15 +87,15 @@ def seed_bitmap(rows: DataFrame, buckets: int, bits: int) -> np.ndarray:
 
     def run(table: pa.Table) -> pa.Table:
         number = table.column("bucket")[0].as_py()
-        low = (number << 32) // buckets >> (32 - bits)
-        at = np.unique(gathered(x.as_py() for x in table.column("postings"))[0] >> (32 - bits))
+        low = (number << KEY_BITS) // buckets >> (KEY_BITS - bits)
+        at = np.unique(gathered(x.as_py() for x in table.column("postings"))[0] >> (KEY_BITS - bits))
         low = min(low, int(at[0])) >> 3 << 3
         marks = np.zeros((int(at[-1]) - low + 8) >> 3 << 3, np.uint8)
         marks[at - low] = 1
         return pa.table({"at": pa.array([low >> 3], pa.int64()), "marks": pa.array([np.packbits(marks, bitorder="little").tobytes()], pa.binary())})
 
     whole = np.zeros(1 << (bits - 3), np.uint8)
-    for part in rows.groupBy("bucket").applyInArrow(run, "at bigint, marks binary").toLocalIterator():
+    for part in by_bucket(rows, buckets).applyInArrow(run, "at bigint, marks binary").toLocalIterator():
         piece = np.frombuffer(part["marks"], np.uint8)[: len(whole) - part["at"]]
         whole[part["at"] : part["at"] + len(piece)] |= piece
     return whole
@@ -114,7 +114,7 @@ def probes(texts: DataFrame, bitmap, bits: int, buckets: int) -> DataFrame:
                 take = np.flatnonzero(inside & ((known[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool))
                 if len(take):
                     rec = owner[take]
-                    yield from out.add((h[take] >> np.uint64(32)).astype(np.uint32), d[rec], size_class(set_sizes(letters, offsets, owner))[rec])
+                    yield from out.add(keyed(h[take]), d[rec], size_class(set_sizes(letters, offsets, owner))[rec])
         yield from out.flush()
 
     return texts.select("d", "text").mapInArrow(run, Exchange.ddl)
@@ -141,7 +141,7 @@ def meet(seed_a, d_a, size_a, seed_b, d_b, size_b, span: int):
         at = to
 
 
-def candidates(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+def candidates(left: DataFrame, right: DataFrame, buckets: int, threshold: float) -> DataFrame:
     """(a, b): digests of evaluation and training texts that share an indexed seed."""
     span = class_span(threshold)
 
@@ -154,7 +154,7 @@ def candidates(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     both = left.select("bucket", F.lit(0).alias("side"), "postings").unionAll(right.select("bucket", F.lit(1).alias("side"), "postings"))
-    return both.groupBy("bucket").applyInArrow(run, "a bigint, b bigint").distinct()
+    return by_bucket(both, buckets).applyInArrow(run, "a bigint, b bigint").distinct()
 
 
 def wanted_texts(rows: DataFrame, pairs: DataFrame, key: str) -> DataFrame:
@@ -179,7 +179,7 @@ def overlaps_by_text(evaluation: DataFrame, training: DataFrame, threshold: floa
     buckets = int(min(max(parallelism(spark), 2 * seeds / BUCKET_POSTINGS), 1 << 18))
     indexed = write_once(index(left, buckets, threshold), "index")
     bitmap = spark.sparkContext.broadcast(seed_bitmap(indexed, buckets, bits))
-    pairs = write_once(candidates(indexed, probes(right, bitmap, bits, buckets), threshold), "candidates")
+    pairs = write_once(candidates(indexed, probes(right, bitmap, bits, buckets), buckets, threshold), "candidates")
     texts_a, texts_b = write_once(wanted_texts(left, pairs, "a"), "texts"), write_once(wanted_texts(right, pairs, "b"), "texts")
     same = verified_numbers(pairs, texts_a, texts_b, threshold)
     of = lambda rows, name: rows.select("d", "d2", F.col("no").alias(name)).distinct()

@@ -25,7 +25,7 @@ from ..functions.cleaning import cleaned
 from ..session import parallelism, write_once
 from . import kmers
 from .components import components
-from .seeds import Exchange, class_span, common_windows, gathered, minimum_seeds
+from .seeds import Exchange, by_bucket, class_span, common_windows, gathered, minimum_seeds
 
 #: Postings that one bucket should hold about.
 BUCKET_POSTINGS = 1_000_000
@@ -87,7 +87,7 @@ def block_pairs(size: np.ndarray, first: np.ndarray, group: np.ndarray, span: in
 
 def join_bucket(seed: np.ndarray, rep: np.ndarray, size: np.ndarray, span: int):
     """Candidate pairs (smaller, larger number) of one bucket, without repetitions inside a block."""
-    order = np.argsort(seed.astype(np.uint64), kind="stable")
+    order = np.argsort(seed)
     seed, rep, size = seed[order], rep[order], size[order]
     twice = np.zeros(len(seed), bool)
     same = seed[1:] == seed[:-1]
@@ -124,7 +124,7 @@ def join_bucket(seed: np.ndarray, rep: np.ndarray, size: np.ndarray, span: int):
         yield a[new], b[new]
 
 
-def candidates(rows: DataFrame, threshold: float) -> DataFrame:
+def candidates(rows: DataFrame, buckets: int, threshold: float) -> DataFrame:
     """(a, b): distinct pairs of texts that share a selected seed and can be similar by size."""
     span = class_span(threshold)
 
@@ -134,7 +134,7 @@ def candidates(rows: DataFrame, threshold: float) -> DataFrame:
         a, b = (np.concatenate([p[k] for p in parts]) if parts else np.empty(0, np.int64) for k in (0, 1))
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return rows.groupBy("bucket").applyInArrow(run, "a bigint, b bigint").distinct()
+    return by_bucket(rows, buckets).applyInArrow(run, "a bigint, b bigint").distinct()
 
 
 def verified(pairs: DataFrame, left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
@@ -171,8 +171,9 @@ def near_duplicate_pairs(df: DataFrame, threshold: float = 0.5, text: str = "seq
     gives no rows.
     """
     texts = write_once(distinct_texts(df, least, text, number), "texts")
-    rows = postings(texts, bucket_count(texts, 5.0), threshold)
-    pairs = verified(candidates(rows, threshold), texts, texts, threshold)
+    buckets = bucket_count(texts, 4.0)
+    rows = postings(texts, buckets, threshold)
+    pairs = verified(candidates(rows, buckets, threshold), texts, texts, threshold)
     return pairs.select(F.col("a").alias("seq_a"), F.col("b").alias("seq_b"), "common", "similarity")
 
 

@@ -2,7 +2,7 @@
 
 A plain shuffle of one row per posting costs about 30 bytes and a few hundred nanoseconds each.
 Here every map task sorts its postings, cuts them by seed range into buckets and ships each bucket
-as one packed binary value (about 6 to 11 bytes a posting, no per-posting work in the JVM). All
+as one packed binary value (about 9 to 13 bytes a posting, no per-posting work in the JVM). All
 postings of a seed meet in one bucket, so a bucket can be joined on its own.
 """
 
@@ -14,12 +14,15 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
+from ..session import parallelism
 from . import kmers
 
 #: Letters of a window, as the similarity is defined on.
 WINDOW = 12
-#: Letters of a seed. Random sequences share a seed this long only about once in 4^16 trials.
-SEED = 16
+#: Letters of a seed, and bits of its hash that are exchanged. Selected seeds crowd at low hashes, so random
+#: sequences share one about once in 4^SEED / 9 trials; with 16 letters and 32 bits, such false
+#: candidates already outnumber the true ones in half a million records and grow with the square.
+SEED, KEY_BITS = 18, 40
 #: A changed, inserted or lost letter spoils 10 to 13 windows; this many are taken for granted.
 #: The slack covers edits inside short tandem repeats, which spoil fewer.
 LEAST_GAP = 8
@@ -71,8 +74,13 @@ def set_sizes(letters: np.ndarray, offsets: np.ndarray, owner: np.ndarray) -> np
     return np.bincount((keys[new] >> np.uint64(44)).astype(np.int64), minlength=len(offsets) - 1)
 
 
+def keyed(h: np.ndarray) -> np.ndarray:
+    """The leading KEY_BITS bits of hashes, as the exchange sorts and ships them."""
+    return (h >> np.uint64(64 - KEY_BITS)).astype(np.int64)
+
+
 def minimum_seeds(letters: np.ndarray, offsets: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(record, 32-bit seed, size class) of the seeds that are local minima.
+    """(record, seed of KEY_BITS bits, size class) of the seeds that are local minima.
 
     A record uses the width that is safe for the smallest partner it can have. Minima of a wide
     window are minima of the narrower windows in it, so a pair meets in the seeds that the
@@ -82,7 +90,7 @@ def minimum_seeds(letters: np.ndarray, offsets: np.ndarray, threshold: float) ->
     h, inside = kmers.window_hashes(letters, owner, SEED)
     if not inside.any():
         none = np.empty(0, np.int64)
-        return none, none.astype(np.uint32), none
+        return none, none, none
     sizes = set_sizes(letters, offsets, owner)
     width = widths(np.ceil(sizes * threshold).astype(np.int64), threshold)
     chosen = np.zeros(len(h), bool)
@@ -95,7 +103,7 @@ def minimum_seeds(letters: np.ndarray, offsets: np.ndarray, threshold: float) ->
         chosen[own] = True
     at = np.flatnonzero(chosen & inside)
     rec = owner[at]
-    return rec.astype(np.int64), (h[at] >> np.uint64(32)).astype(np.uint32), size_class(sizes)[rec]
+    return rec.astype(np.int64), keyed(h[at]), size_class(sizes)[rec]
 
 
 _DTYPES = (np.uint8, np.uint16, np.uint32, np.uint64)
@@ -140,10 +148,10 @@ class Exchange:
             return
         seed, *columns = (np.concatenate(x) for x in zip(*self.held))
         self.held, self.n = [], 0
-        order = np.argsort(seed.astype(np.uint64) << np.uint64(32) | np.arange(len(seed), dtype=np.uint64))
-        seed = seed[order].astype(np.int64)
+        order = np.argsort(seed)
+        seed = seed[order]
         columns = [c[order] for c in columns]
-        bucket = seed * self.buckets >> 32
+        bucket = seed * self.buckets >> KEY_BITS
         cuts = np.flatnonzero(np.diff(bucket)) + 1
         starts, ends = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(seed)]])
         blobs = [packed(np.diff(seed[a:b], prepend=0)) + b"".join(packed(c[a:b]) for c in columns) for a, b in zip(starts, ends)]
@@ -152,6 +160,12 @@ class Exchange:
             yield pa.record_batch([pa.array(bucket[starts[i : i + 64]], pa.int32()), pa.array(blobs[i : i + 64], pa.binary())], schema=self.schema)
 
 
+def by_bucket(rows, buckets: int):
+    """Rows grouped by bucket. The number of tasks is set, as a bucket costs far more work than its bytes suggest."""
+    tasks = max(parallelism(rows.sparkSession), min(buckets, buckets // 8))
+    return rows.repartition(tasks, "bucket").groupBy("bucket")
+
+
 def gathered(blobs) -> list[np.ndarray]:
     """Columns of all packed rows of a bucket; the first is the seed."""
     parts = []

@@ -24,7 +24,7 @@ from ..functions.cleaning import cleaned
 from ..session import write_once
 from . import kmers
 from .near_duplicates import bucket_count, distinct_texts
-from .seeds import Exchange, gathered, packed, unpacked
+from .seeds import KEY_BITS, Exchange, gathered, keyed, packed, unpacked
 
 #: Letters the gear hash rolls over.
 SEED = 16
@@ -59,7 +59,7 @@ def chunks(letters: np.ndarray, offsets: np.ndarray, span: int):
     real = place[first] >= 0
     first, runs = first[real], runs[real]
     rec = owner[first].astype(np.int64)
-    return rec, first - offsets[rec], runs, (gear[place[first]] >> np.uint64(32)).astype(np.int64)
+    return rec, first - offsets[rec], runs, keyed(gear[place[first]])
 
 
 def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -76,8 +76,8 @@ def keys(texts: DataFrame, buckets: int, span: int) -> DataFrame:
         for batch in batches:
             for _, letters, offsets in kmers.blocks(*kmers.letters_of(batch.column(0))):
                 rec, _, _, key = chunks(letters, offsets, span)
-                one = np.unique(rec << 32 | key)
-                yield from out.add((one & 0xFFFFFFFF).astype(np.uint32))
+                one = np.unique(rec << KEY_BITS | key)
+                yield from out.add(one & ((1 << KEY_BITS) - 1))
         yield from out.flush()
 
     return texts.select("text").mapInArrow(run, Exchange.ddl)
@@ -88,7 +88,7 @@ def repeated_keys(rows: DataFrame, bits: int) -> np.ndarray:
 
     def run(table: pa.Table) -> pa.Table:
         key = np.sort(gathered(x.as_py() for x in table.column("postings"))[0])
-        at = np.unique(key[1:][key[1:] == key[:-1]] >> (32 - bits))
+        at = np.unique(key[1:][key[1:] == key[:-1]] >> (KEY_BITS - bits))
         if not len(at):
             return pa.table({"at": pa.array([], pa.int64()), "marks": pa.array([], pa.binary())})
         low = int(at[0]) >> 3 << 3
@@ -112,7 +112,7 @@ def sent_chunks(texts: DataFrame, bitmap, bits: int, buckets: int, span: int) ->
         lengths = runs + span - 1
         begin = np.cumsum(lengths) - lengths
         order = np.argsort(key, kind="stable")
-        bucket = key[order] * buckets >> 32
+        bucket = key[order] * buckets >> KEY_BITS
         cuts = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(order))
         for a, b in zip(cuts[:-1], cuts[1:]):
             own = order[a:b]
@@ -125,7 +125,7 @@ def sent_chunks(texts: DataFrame, bitmap, bits: int, buckets: int, span: int) ->
             numbers = batch.column(0).to_numpy()
             for first, letters, offsets in kmers.blocks(*kmers.letters_of(batch.column(1))):
                 rec, start, runs, key = chunks(letters, offsets, span)
-                at = key >> (32 - bits)
+                at = key >> (KEY_BITS - bits)
                 take = ((known[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool)
                 if take.any():
                     rec, start, runs, key = rec[take], start[take], runs[take], key[take]
