@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.raw_rows import rejected_rows, valid_rows
+from . import class_queries
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -22,7 +23,7 @@ def p7_valid(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p7_found, p7_valid)}
+    return class_queries.queries() | {f.__name__: f for f in (p7_found, p7_valid)}
 
 
 _FIELD = '("(?:[^"]|"")*"|[^",]*)'
@@ -43,7 +44,7 @@ FROM (SELECT line_no, file_name, {_ROW} AS l FROM raw_enhancer_rows)"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {
+    return class_queries.oracle_sql() | {
         "p7_found": f"SELECT line_no, reason FROM ({_PARSED}) WHERE reason IS NOT NULL",
         "p7_valid": f"SELECT line_no, file_name, upper({_unquoted(1)}) AS sequence, {_unquoted(2)} AS label, {_unquoted(3)} AS source, try_cast({_unquoted(4)} AS double) AS score FROM ({_PARSED}) WHERE reason IS NULL",
     }
