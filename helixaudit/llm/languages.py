@@ -238,7 +238,14 @@ def train(documents: DataFrame, sample: int = SAMPLE) -> Models:
     return models
 
 
-_scorers: dict[int, Scorer] = {}
+_scorers: list[Scorer] = []
+
+
+def worker_scorer(models: Models) -> Scorer:
+    """The scorer of this Python worker, with its memo, built once for the models sent."""
+    if not _scorers or _scorers[0].models is not models:
+        _scorers[:] = [Scorer(models)]
+    return _scorers[0]
 
 
 def identify(documents: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -254,7 +261,7 @@ def identify(documents: DataFrame, sample: int = SAMPLE) -> DataFrame:
     kind = "doc_id bigint, cell_no int, lang string, confidence double, characters bigint, named string, main string"
 
     def run(batches):
-        scorer = _scorers.setdefault(models.value and id(models.value), Scorer(models.value))
+        scorer = worker_scorer(models.value)
         for batch in batches:
             found = [markdown_cells(t) if t else [] for t in batch.column(1).to_pylist()]
             cells = [c for f in found for c in f]

@@ -31,8 +31,8 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 SPACE = r"\t\n\x0b\x0c\r \x85\xa0  -     　"
 #: Letters after an apostrophe that make a token with it (fixed values).
 SHORT_FORMS = ("s", "t", "re", "ve", "m", "ll", "d")
-#: Entries of the memo for pre-tokens; it is emptied when full, so it only affects speed.
-WORDS_HELD, LONGEST_HELD = 400_000, 160
+#: Entries of the memos for pre-tokens and pairs of tokens; they are emptied when full, so they only affect speed.
+WORDS_HELD, LONGEST_HELD, PAIRS_HELD = 400_000, 160, 1_000_000
 #: Characters pre-tokenised at once.
 BLOCK = 1_000_000
 #: Classes of characters; the last is the border between two texts.
@@ -123,6 +123,7 @@ class Encoder:
     """Encodes texts; holds the automaton and the memos of one Python worker."""
 
     def __init__(self, vocabulary: dict):
+        self.vocabulary = vocabulary
         ids, halves = vocabulary["ids"], vocabulary["halves"]
         top = max(ids.values()) + 1
         self.ids, self.left, self.right = ids, [-1] * top, [-1] * top
@@ -189,6 +190,8 @@ class Encoder:
                     pair = last << 20 | token
                     fits = beside.get(pair)
                     if fits is None:
+                        if len(beside) >= PAIRS_HELD:
+                            beside.clear()
                         fits = beside[pair] = self.compatible(last, token)
                 if fits:
                     out.append(token)
@@ -270,16 +273,14 @@ class _Memo(dict):
         return value
 
 
-_encoders: dict[int, Encoder] = {}
+_encoders: list[Encoder] = []
 
 
-def worker_encoder(broadcast) -> Encoder:
-    """The encoder of this Python worker, built once for each vocabulary sent."""
-    key = broadcast._jbroadcast_id if hasattr(broadcast, "_jbroadcast_id") else id(broadcast.value)
-    if key not in _encoders:
-        _encoders.clear()
-        _encoders[key] = Encoder(broadcast.value)
-    return _encoders[key]
+def worker_encoder(vocabulary: dict) -> Encoder:
+    """The encoder of this Python worker, built once for a vocabulary sent."""
+    if not _encoders or _encoders[0].vocabulary is not vocabulary:
+        _encoders[:] = [Encoder(vocabulary)]
+    return _encoders[0]
 
 
 def encoded(df: DataFrame, text: str = "text", key: str = "doc_id", vocabulary: str = VOCABULARY, counts_only: bool = False) -> DataFrame:
@@ -293,7 +294,7 @@ def encoded(df: DataFrame, text: str = "text", key: str = "doc_id", vocabulary:
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches):
-        encoder = worker_encoder(sent)
+        encoder = worker_encoder(sent.value)
         for whole in batches:
             size = pc.fill_null(pc.binary_length(whole.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
             done, at = np.concatenate([[0], np.cumsum(size)]), 0
