@@ -9,13 +9,15 @@ Plan
    are sorted by size class and a member only visits the block of the list whose sizes can
    still reach the threshold (the rest is skipped by position), and a list whose members were
    all joined already in an equal list is skipped as its answers are known.
-4. Candidate pairs are made distinct, joined with both texts and verified exactly.
-
-Nothing grows with the square of a group beyond the pairs that the size filter lets through.
+4. Lists longer than ``hot_seeds.FREQUENT`` are not joined: their texts are indexed again with all their seeds
+   under a prefix filter that leaves frequent seeds out (:mod:`hot_seeds`).
+5. Candidate pairs are made distinct, joined with both texts and verified exactly.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 
 from ..functions.cleaning import cleaned
 from ..session import parallelism, write_once
-from . import kmers
+from . import hot_seeds, kmers
 from .components import components
 from .seeds import Exchange, by_bucket, class_span, common_windows, gathered, minimum_seeds
 
@@ -66,7 +68,7 @@ def postings(texts: DataFrame, buckets: int, threshold: float) -> DataFrame:
     return texts.select("rep", "text").mapInArrow(run, Exchange.ddl)
 
 
-def block_pairs(size: np.ndarray, first: np.ndarray, group: np.ndarray, span: int):
+def block_pairs(size: np.ndarray, group: np.ndarray, span: int):
     """Index pairs (i, j), i before j in one list, whose size classes lie within ``span``.
 
     Lists are contiguous and sorted by size class. The end of the block that entry i visits is
@@ -85,8 +87,8 @@ def block_pairs(size: np.ndarray, first: np.ndarray, group: np.ndarray, span: in
         at = to
 
 
-def join_bucket(seed: np.ndarray, rep: np.ndarray, size: np.ndarray, span: int):
-    """Candidate pairs (smaller, larger number) of one bucket, without repetitions inside a block."""
+def posting_lists(seed: np.ndarray, rep: np.ndarray, size: np.ndarray):
+    """(rep, size, list number, list lengths) of the lists of two texts or more, by size class in each list; equal lists stand once."""
     order = np.argsort(seed)
     seed, rep, size = seed[order], rep[order], size[order]
     twice = np.zeros(len(seed), bool)
@@ -100,7 +102,7 @@ def join_bucket(seed: np.ndarray, rep: np.ndarray, size: np.ndarray, span: int):
     fresh[1:] = (seed[1:] != seed[:-1]) | (rep[1:] != rep[:-1])
     seed, rep, size = seed[fresh], rep[fresh], size[fresh]
     if not len(seed):
-        return
+        return rep, size, rep, rep
     start = np.ones(len(seed), bool)
     start[1:] = seed[1:] != seed[:-1]
     group = np.cumsum(start) - 1
@@ -114,8 +116,12 @@ def join_bucket(seed: np.ndarray, rep: np.ndarray, size: np.ndarray, span: int):
     wanted[keep] = True
     wanted &= length > 1
     use = wanted[group]
-    rep, size, group = rep[use], size[use], group[use]
-    for i, j in block_pairs(size, first, group, span):
+    return rep[use], size[use], group[use], length
+
+
+def join_lists(rep: np.ndarray, size: np.ndarray, group: np.ndarray, span: int):
+    """Candidate pairs (smaller, larger number), without repetitions inside a block of them."""
+    for i, j in block_pairs(size, group, span):
         a, b = np.minimum(rep[i], rep[j]), np.maximum(rep[i], rep[j])
         order = np.lexsort((b, a))
         a, b = a[order], b[order]
@@ -124,17 +130,39 @@ def join_bucket(seed: np.ndarray, rep: np.ndarray, size: np.ndarray, span: int):
         yield a[new], b[new]
 
 
-def candidates(rows: DataFrame, buckets: int, threshold: float) -> DataFrame:
-    """(a, b): distinct pairs of texts that share a selected seed and can be similar by size."""
+def join_buckets(rows: DataFrame, buckets: int, threshold: float, longest: int | None = None) -> DataFrame:
+    """(a, b, hot): candidate pairs of all buckets; texts of lists longer than ``longest`` come out alone as ``a`` with ``hot``."""
     span = class_span(threshold)
 
-    def run(table: pa.Table) -> pa.Table:
-        seed, rep, size = gathered(x.as_py() for x in table.column("postings"))
-        parts = list(join_bucket(seed, rep, size, span))
-        a, b = (np.concatenate([p[k] for p in parts]) if parts else np.empty(0, np.int64) for k in (0, 1))
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    return by_bucket(rows, buckets).applyInArrow(run, "a bigint, b bigint").distinct()
+    def batch(a, b, hot):
+        return pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(np.full(len(a), hot))], names=["a", "b", "hot"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [x.as_py() for part in batches for x in part.column(part.schema.get_field_index("postings"))]
+        rep, size, group, length = posting_lists(*gathered(held))
+        if longest is not None and len(rep):
+            hot = length[group] > longest
+            alone = np.unique(rep[hot])
+            yield batch(alone, alone, True)
+            rep, size, group = rep[~hot], size[~hot], group[~hot]
+        for a, b in join_lists(rep, size, group, span):
+            yield batch(a, b, False)
+
+    return by_bucket(rows, buckets).applyInArrow(run, "a bigint, b bigint, hot boolean")
+
+
+def candidates(texts: DataFrame, buckets: int, threshold: float) -> DataFrame:
+    """(a, b): distinct pairs of texts that share a seed they may not drop and can be similar by size."""
+    found = write_once(join_buckets(postings(texts, buckets, threshold), buckets, threshold, hot_seeds.FREQUENT), "joined")
+    pairs = found.where(~F.col("hot")).select("a", "b")
+    often = found.where("hot").select(F.col("a").alias("rep")).distinct()
+    if not often.isEmpty():
+        again = write_once(texts.join(often, "rep", "left_semi").select("rep", "text", "n"), "frequent")
+        buckets = bucket_count(again, 1.0)
+        marks, bits = hot_seeds.frequent_seeds(again, buckets)
+        known = texts.sparkSession.sparkContext.broadcast(marks)
+        pairs = pairs.unionAll(join_buckets(hot_seeds.prefix_postings(again, buckets, threshold, known, bits), buckets, threshold).select("a", "b"))
+    return pairs.distinct()
 
 
 def verified(pairs: DataFrame, left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
@@ -150,7 +178,6 @@ def verified(pairs: DataFrame, left: DataFrame, right: DataFrame, threshold: flo
             for at in range(0, whole.num_rows, 2048):
                 batch = whole.slice(at, 2048)
                 n_a, n_b, common = common_windows(batch.column(2), batch.column(3))
-                # common / union >= threshold, on integers where the threshold allows it
                 similarity = common / np.maximum(n_a + n_b - common, 1)
                 ok = similarity >= threshold
                 yield pa.record_batch(
@@ -171,9 +198,7 @@ def near_duplicate_pairs(df: DataFrame, threshold: float = 0.5, text: str = "seq
     gives no rows.
     """
     texts = write_once(distinct_texts(df, least, text, number), "texts")
-    buckets = bucket_count(texts, 4.0)
-    rows = postings(texts, buckets, threshold)
-    pairs = verified(candidates(rows, buckets, threshold), texts, texts, threshold)
+    pairs = verified(candidates(texts, bucket_count(texts, 4.0), threshold), texts, texts, threshold)
     return pairs.select(F.col("a").alias("seq_a"), F.col("b").alias("seq_b"), "common", "similarity")
 
 

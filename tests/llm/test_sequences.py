@@ -84,7 +84,9 @@ def test_equal_lists_and_size_blocks():
     seed = np.array([1, 1, 1, 2, 2, 2, 3, 3])
     rep = np.array([7, 8, 9, 7, 8, 9, 7, 10])
     size = np.array([50, 52, 90, 50, 52, 90, 50, 51])
-    found = [tuple(p) for a, b in near_duplicates.join_bucket(seed, rep, size, 9) for p in zip(a.tolist(), b.tolist())]
+    rep, size, group, length = near_duplicates.posting_lists(seed, rep, size)
+    assert length.tolist() == [3, 3, 2]
+    found = [tuple(p) for a, b in near_duplicates.join_lists(rep, size, group, 9) for p in zip(a.tolist(), b.tolist())]
     assert sorted(found) == [(7, 8), (7, 10)]
 
 
@@ -217,3 +219,31 @@ def test_empty_tables(spark):
     assert shared_spans.shared_spans(none).count() == 0
     assert format_duplicates.format_copies(none).count() == 0
     assert components.hit_groups(no_hits).count() == 0
+
+
+def test_frequent_seeds_take_the_second_index(spark, monkeypatch):
+    """A motif in most records makes no candidates, and families among them are found all the same."""
+    from helixaudit.llm import hot_seeds
+
+    monkeypatch.setattr(hot_seeds, "FREQUENT", 6)
+    rng = random.Random(11)
+    motif = "".join(rng.choice("ACGT") for _ in range(40))
+    rows = []
+    for _ in range(60):
+        base = "".join(rng.choice("ACGT") for _ in range(rng.choice((150, 250))))
+        base = base[:70] + motif + base[70:]
+        rows += [base] + [edited(rng, base, 4) for _ in range(rng.choice((0, 0, 1)))]
+    family = "".join(rng.choice("ACGT") for _ in range(200))
+    rows += [edited(rng, family, 2) for _ in range(12)]
+    rows = list(enumerate(rows))
+    sets = {n: windows(t) for n, t in rows}
+    want = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.5}
+    got = {tuple(r) for r in near_duplicates.near_duplicate_pairs(frame(spark, rows)).select("seq_a", "seq_b").collect()}
+    assert got == want and len(want) > 60
+    texts = near_duplicates.distinct_texts(frame(spark, rows), 40).cache()
+    pairs = {tuple(r) for r in near_duplicates.candidates(texts, 4, 0.5).collect()}
+    # Some 75 records hold the motif: joined by it they would make thousands of candidates.
+    assert want <= pairs and len(pairs - want) < 75 * 74 / 2 / 10
+    test, train = [(1000 + n, t) for n, t in rows if n % 2], [(n, t) for n, t in rows if n % 2 == 0]
+    found = {tuple(r) for r in cross_split.overlaps_by_text(frame(spark, test), frame(spark, train)).collect()}
+    assert found == {(1000 + (a if a % 2 else b), b if a % 2 else a) for a, b in want if (a + b) % 2}
