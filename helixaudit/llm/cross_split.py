@@ -13,11 +13,15 @@ The evaluation side is the small one and is indexed; the training side only prob
    training tasks. It only filters: a false positive costs a posting, never a result.
 3. Training records probe with the seeds at all positions; postings that pass are exchanged by
    seed bucket and joined with the index there, under the length filter.
-4. Candidates are verified on their full sets of windows and expanded to all copies.
+4. Texts that meet in a seed of very many texts are indexed again with all their seeds under a prefix filter
+   that leaves frequent ones out (:mod:`hot_seeds`).
+5. Candidates are verified on their full sets of windows and expanded to all copies.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,8 +30,8 @@ from pyspark.sql import functions as F
 from ..functions.cleaning import cleaned
 from ..session import parallelism, write_once
 from ..sources.hits import complete_hits, id_number
-from . import kmers
-from .near_duplicates import BUCKET_POSTINGS, verified
+from . import hot_seeds, kmers
+from .near_duplicates import BUCKET_POSTINGS, bucket_count, verified
 from .seeds import KEY_BITS, SEED, WINDOW, Exchange, by_bucket, class_span, gathered, keyed, longest_run, set_sizes, size_class
 
 #: Bits of the seed bitmap: 64 for each indexed seed, within these bounds (at most 128 MB).
@@ -120,12 +124,8 @@ def probes(texts: DataFrame, bitmap, bits: int, buckets: int) -> DataFrame:
     return texts.select("d", "text").mapInArrow(run, Exchange.ddl)
 
 
-def meet(seed_a, d_a, size_a, seed_b, d_b, size_b, span: int):
+def pair_blocks(seed_a, d_a, size_a, seed_b, d_b, size_b, span: int):
     """Distinct (evaluation, training) digests that share a seed, sizes within ``span``, in blocks."""
-    held = np.isin(seed_b, seed_a)
-    seed_b, d_b, size_b = seed_b[held], d_b[held], size_b[held]
-    _, once = np.unique(np.stack([seed_b, d_b], 1), axis=0, return_index=True) if len(seed_b) else (None, np.empty(0, np.int64))
-    seed_b, d_b, size_b = seed_b[once], d_b[once], size_b[once]
     order_a = np.argsort(seed_a << 9 | size_a)
     key_a, d_a = (seed_a << 9 | size_a)[order_a], d_a[order_a]
     low = np.searchsorted(key_a, seed_b << 9 | np.maximum(size_b - span, 0), "left")
@@ -141,20 +141,66 @@ def meet(seed_a, d_a, size_a, seed_b, d_b, size_b, span: int):
         at = to
 
 
-def candidates(left: DataFrame, right: DataFrame, buckets: int, threshold: float) -> DataFrame:
-    """(a, b): digests of evaluation and training texts that share an indexed seed."""
+def distinct_postings(seed, d, size):
+    """The postings of one side, each (seed, text) once."""
+    if not len(seed):
+        return seed, d, size
+    _, once = np.unique(np.stack([seed, d], 1), axis=0, return_index=True)
+    return seed[once], d[once], size[once]
+
+
+def meet(left: DataFrame, right: DataFrame, buckets: int, threshold: float, most: int | None = None) -> DataFrame:
+    """(a, b, alone): digests of evaluation and training texts that share a seed, with ``alone`` 0.
+
+    Where the lists of a seed would make more than ``most`` pairs, its texts come out alone, on the
+    evaluation side with ``alone`` 1, on the training side with 2.
+    """
     span = class_span(threshold)
 
-    def run(table: pa.Table) -> pa.Table:
-        side = table.column("side").to_numpy()
-        blobs = table.column("postings").to_pylist()
-        sides = [[b for b, s in zip(blobs, side) if s == k] for k in (0, 1)]
-        parts = list(meet(*gathered(sides[0]), *gathered(sides[1]), span)) if sides[0] and sides[1] else []
-        a, b = (np.concatenate([p[k] for p in parts]) if parts else np.empty(0, np.int64) for k in (0, 1))
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+    def batch(a, b, alone):
+        return pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(np.full(len(a), alone), pa.int32())], names=["a", "b", "alone"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = ([], [])
+        for part in batches:
+            for side, blob in zip(part.column(part.schema.get_field_index("side")), part.column(part.schema.get_field_index("postings"))):
+                held[side.as_py()].append(blob.as_py())
+        if not held[0] or not held[1]:
+            return
+        seed_a, d_a, size_a = distinct_postings(*gathered(held[0]))
+        seed_b, d_b, size_b = gathered(held[1])
+        known = np.isin(seed_b, seed_a)
+        seed_b, d_b, size_b = distinct_postings(seed_b[known], d_b[known], size_b[known])
+        if most is not None and len(seed_b):
+            kind, count_b = np.unique(seed_b, return_counts=True)
+            sorted_a = np.sort(seed_a)
+            count_a = np.searchsorted(sorted_a, kind, "right") - np.searchsorted(sorted_a, kind, "left")
+            hot = kind[count_a * count_b > most]
+            hot_a, hot_b = np.isin(seed_a, hot), np.isin(seed_b, hot)
+            for d, side in ((np.unique(d_a[hot_a]), 1), (np.unique(d_b[hot_b]), 2)):
+                yield batch(d, d, side)
+            seed_a, d_a, size_a = seed_a[~hot_a], d_a[~hot_a], size_a[~hot_a]
+            seed_b, d_b, size_b = seed_b[~hot_b], d_b[~hot_b], size_b[~hot_b]
+        for a, b in pair_blocks(seed_a, d_a, size_a, seed_b, d_b, size_b, span):
+            yield batch(a, b, 0)
 
     both = left.select("bucket", F.lit(0).alias("side"), "postings").unionAll(right.select("bucket", F.lit(1).alias("side"), "postings"))
-    return by_bucket(both, buckets).applyInArrow(run, "a bigint, b bigint").distinct()
+    return by_bucket(both, buckets).applyInArrow(run, "a bigint, b bigint, alone int")
+
+
+def candidates(left: DataFrame, right: DataFrame, indexed: DataFrame, probed: DataFrame, buckets: int, threshold: float) -> DataFrame:
+    """(a, b): distinct candidate pairs of digests; texts that meet in frequent seeds are looked at again (:mod:`hot_seeds`)."""
+    found = write_once(meet(indexed, probed, buckets, threshold, hot_seeds.FREQUENT**2), "joined")
+    pairs = found.where("alone = 0").select("a", "b")
+    if not (often := found.where("alone > 0")).isEmpty():
+        texts = [write_once(wanted_texts(rows, often.where(F.col("alone") == k), "a").select("rep", "text", F.length("text").alias("n")), "frequent") for k, rows in ((1, left), (2, right))]
+        every = texts[0].unionAll(texts[1])
+        buckets = bucket_count(every, 1.0)
+        marks, bits = hot_seeds.frequent_seeds(every, buckets)
+        known = left.sparkSession.sparkContext.broadcast(marks)
+        sides = [hot_seeds.prefix_postings(t, buckets, threshold, known, bits) for t in texts]
+        pairs = pairs.unionAll(meet(*sides, buckets, threshold).select("a", "b"))
+    return pairs.distinct()
 
 
 def wanted_texts(rows: DataFrame, pairs: DataFrame, key: str) -> DataFrame:
@@ -179,7 +225,7 @@ def overlaps_by_text(evaluation: DataFrame, training: DataFrame, threshold: floa
     buckets = int(min(max(parallelism(spark), 2 * seeds / BUCKET_POSTINGS), 1 << 18))
     indexed = write_once(index(left, buckets, threshold), "index")
     bitmap = spark.sparkContext.broadcast(seed_bitmap(indexed, buckets, bits))
-    pairs = write_once(candidates(indexed, probes(right, bitmap, bits, buckets), buckets, threshold), "candidates")
+    pairs = write_once(candidates(left, right, indexed, probes(right, bitmap, bits, buckets), buckets, threshold), "candidates")
     texts_a, texts_b = write_once(wanted_texts(left, pairs, "a"), "texts"), write_once(wanted_texts(right, pairs, "b"), "texts")
     same = verified_numbers(pairs, texts_a, texts_b, threshold)
     of = lambda rows, name: rows.select("d", "d2", F.col("no").alias(name)).distinct()
