@@ -23,11 +23,14 @@ from pyspark.sql import functions as F
 from ..functions.cleaning import cleaned
 from ..session import write_once
 from . import kmers
+from .hot_seeds import bitmap as bitmap_of
 from .near_duplicates import bucket_count, distinct_texts
-from .seeds import KEY_BITS, Exchange, gathered, keyed, packed, unpacked
+from .seeds import KEY_BITS, Exchange, by_bucket, gathered, keyed, packed, unpacked
 
 #: Letters the gear hash rolls over.
-SEED = 16
+SEED = 24
+#: Letters of chunks that one bucket should hold at most, if no chunk is left out; its work needs about 100 bytes a letter.
+BUCKET_LETTERS = 2_000_000
 #: Bits of the bitmap of chunk keys, at least and at most (128 MB).
 LEAST_BITS, MOST_BITS = 20, 30
 CHUNK_DDL = "bucket int, chunks binary, letters binary"
@@ -83,26 +86,6 @@ def keys(texts: DataFrame, buckets: int, span: int) -> DataFrame:
     return texts.select("text").mapInArrow(run, Exchange.ddl)
 
 
-def repeated_keys(rows: DataFrame, bits: int) -> np.ndarray:
-    """Bitmap of 2^bits bits in which the leading bits of every key of two texts or more are set."""
-
-    def run(table: pa.Table) -> pa.Table:
-        key = np.sort(gathered(x.as_py() for x in table.column("postings"))[0])
-        at = np.unique(key[1:][key[1:] == key[:-1]] >> (KEY_BITS - bits))
-        if not len(at):
-            return pa.table({"at": pa.array([], pa.int64()), "marks": pa.array([], pa.binary())})
-        low = int(at[0]) >> 3 << 3
-        marks = np.zeros((int(at[-1]) - low + 8) >> 3 << 3, np.uint8)
-        marks[at - low] = 1
-        return pa.table({"at": pa.array([low >> 3], pa.int64()), "marks": pa.array([np.packbits(marks, bitorder="little").tobytes()], pa.binary())})
-
-    whole = np.zeros(1 << (bits - 3), np.uint8)
-    for part in rows.groupBy("bucket").applyInArrow(run, "at bigint, marks binary").toLocalIterator():
-        piece = np.frombuffer(part["marks"], np.uint8)[: len(whole) - part["at"]]
-        whole[part["at"] : part["at"] + len(piece)] |= piece
-    return whole
-
-
 def sent_chunks(texts: DataFrame, bitmap, bits: int, buckets: int, span: int) -> DataFrame:
     """(bucket, chunks, letters): chunks whose key the bitmap knows, packed by bucket."""
 
@@ -177,7 +160,7 @@ def shared_runs(rep: np.ndarray, start: np.ndarray, runs: np.ndarray, letters: n
     return rep[c], start[c] + (i - begin[c]) + 1, start[c] + (j - begin[c]) + span
 
 
-def covered(rows: DataFrame, span: int) -> DataFrame:
+def covered(rows: DataFrame, buckets: int, span: int) -> DataFrame:
     """(rep, first, last): stretches by bucket, not joined yet."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -192,7 +175,7 @@ def covered(rows: DataFrame, span: int) -> DataFrame:
         letters = np.concatenate([np.frombuffer(x.as_py(), np.uint8) for x in table.column("letters")])
         return pa.table(dict(zip(("rep", "first", "last"), (pa.array(x, pa.int64()) for x in shared_runs(rep, start, runs, letters, span)))))
 
-    return rows.groupBy("bucket").applyInArrow(run, "rep bigint, first bigint, last bigint")
+    return by_bucket(rows, buckets).applyInArrow(run, "rep bigint, first bigint, last bigint")
 
 
 def joined(stretches: DataFrame) -> DataFrame:
@@ -216,8 +199,10 @@ def shared_spans(df: DataFrame, span: int = 60, text: str = "sequence", number:
     buckets = bucket_count(texts, (span - SEED) / 2)
     letters = texts.agg(F.sum(F.col("n").cast("bigint"))).first()[0] or 0
     bits = int(min(max(LEAST_BITS, (64 * (letters // 20 + 1)).bit_length()), MOST_BITS))
-    bitmap = spark.sparkContext.broadcast(repeated_keys(keys(texts, buckets, span), bits))
-    alone = joined(covered(sent_chunks(texts, bitmap, bits, buckets, span), span))
+    bitmap = spark.sparkContext.broadcast(bitmap_of(keys(texts, buckets, span), buckets, bits, 2))
+    # Chunks overlap: their letters are about 4 times those of the texts.
+    buckets = int(min(max(buckets, 4 * letters / BUCKET_LETTERS), 1 << 18))
+    alone = joined(covered(sent_chunks(texts, bitmap, bits, buckets, span), buckets, span))
     copied = texts.where(F.col("rep") != F.col("last"))
     # A text of several records is shared whole; the spans found above count for the others.
     single = alone.join(copied.select("rep"), "rep", "left_anti").select(F.col("rep").alias("seq_no"), "span_start", "span_end")
