@@ -32,7 +32,8 @@ def kept_texts(df: DataFrame, least: int = 20, text: str = "sequence", number: s
     rows = df.select(F.col(number).cast("bigint").alias("no"), F.col(text).alias("text")).dropna()
     # A record delivered again carries the same text: its number must count once.
     raw = rows.distinct().groupBy("text").agg(F.min("no").alias("first_no"), F.max("no").alias("last_no"), F.count(F.lit(1)).alias("n"))
-    raw = raw.withColumn("canon", canonical(F.col("text"))).where(F.length(F.translate("canon", "|", "")) >= least)
+    # Written once: both the groups and their members are read from it.
+    raw = write_once(raw.withColumn("canon", canonical(F.col("text"))).where(F.length(F.translate("canon", "|", "")) >= least), "raw")
     groups = raw.groupBy("canon").agg(F.min("first_no").alias("kept_no"), F.sum("n").alias("copies"), F.count(F.lit(1)).alias("forms"))
     return raw.join(groups.where((F.col("copies") > 1)), "canon").select("text", "first_no", "last_no", "kept_no", "copies")
 
