@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import write_once
 from .features import FEATURES, Feature, alphabets, histograms
 
 #: Sequences that the smaller class needs to be scored (fixed value).
@@ -24,12 +25,13 @@ def flag(auroc: Column) -> Column:
     return F.when(auroc.isNull(), "Unknown").when(auroc > FAIL, "Fail").when(auroc > WARNING, "Warning").otherwise("Pass")
 
 
-def class_pairs(s: DataFrame, order: dict[str, int] | None = None) -> DataFrame:
+def class_pairs(s: DataFrame, order: dict[str, int] | None = None, sizes: DataFrame | None = None) -> DataFrame:
     """(label_1, label_2, n_1, n_2): all pairs of classes, in the order of ``order`` or of the labels.
 
-    The table has one row per class (at most some dozens), so the pairs are few.
+    ``sizes`` (label, n) saves the count if it is known. The table has one row per class (at most some
+    dozens), so the pairs are few.
     """
-    sizes = s.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    sizes = s.groupBy("label").agg(F.count(F.lit(1)).alias("n")) if sizes is None else sizes
     place = F.col("label") if order is None else F.try_element_at(F.create_map(*[F.lit(x) for kv in order.items() for x in kv]), F.col("label"))
     one = sizes.select(F.col("label").alias("label_1"), F.col("n").alias("n_1"), place.alias("o_1"), F.lit(0).alias("k"))
     two = sizes.select(F.col("label").alias("label_2"), F.col("n").alias("n_2"), place.alias("o_2"), F.lit(0).alias("k"))
@@ -37,9 +39,13 @@ def class_pairs(s: DataFrame, order: dict[str, int] | None = None) -> DataFrame:
 
 
 def by_pair(rows: DataFrame, pairs: DataFrame, *columns: str) -> DataFrame:
-    """Rows of either class of each pair, with ``side`` 1 or 2. ``pairs`` has one row per pair of classes."""
-    sides = [rows.join(pairs, rows["label"] == pairs[f"label_{k}"]).select("label_1", "label_2", F.lit(k).alias("side"), *columns) for k in (1, 2)]
-    return sides[0].unionAll(sides[1])
+    """Rows of either class of each pair, with ``side`` 1 or 2.
+
+    ``pairs`` has one row per pair of classes, so its two sides are broadcast, and the rows are read once.
+    """
+    side = lambda k: F.struct(F.col(f"label_{k}").alias("label"), F.lit(k).alias("side"))
+    sides = pairs.select("label_1", "label_2", F.inline(F.array(side(1), side(2))))
+    return rows.join(F.broadcast(sides), "label").select("label_1", "label_2", "side", *columns)
 
 
 def pair_histograms(hist: DataFrame, alphabet: DataFrame, pairs: DataFrame, features: tuple[Feature, ...] = FEATURES) -> DataFrame:
@@ -112,14 +118,16 @@ def two_by_two(m1: Column, c1: Column, m2: Column, c2: Column) -> tuple[Column,
     )
 
 
-def feature_metrics(s: DataFrame, features: tuple[Feature, ...] = FEATURES, floor: int = FLOOR, pairs: DataFrame | None = None) -> DataFrame:
+def feature_metrics(s: DataFrame, features: tuple[Feature, ...] = FEATURES, floor: int = FLOOR, pairs: DataFrame | None = None, alphabet: DataFrame | None = None) -> DataFrame:
     """(label_1, label_2, check, feature, auroc, aupr, accuracy, flag) for every pair of classes.
 
     Scalar checks have one row with an empty ``feature``. Below ``floor`` sequences in the smaller
     class the metrics are null and the flag is Unknown.
     """
     pairs = class_pairs(s) if pairs is None else pairs
-    scored = tie_group_metrics(pair_histograms(histograms(s, features), alphabets(s), pairs, features), list(KEYS))
+    # The histograms are read for values and for zeros; written once, they cost one pass over the sequences.
+    hist = write_once(histograms(s, features), "histograms")
+    scored = tie_group_metrics(pair_histograms(hist, alphabets(s) if alphabet is None else alphabet, pairs, features), list(KEYS))
     rows = scored.join(F.broadcast(pairs), ["label_1", "label_2"])
     enough = F.least("n_1", "n_2") >= floor
     metrics = [F.when(enough, F.col(c)).alias(c) for c in ("auroc", "aupr", "accuracy")]

@@ -73,18 +73,19 @@ def position_counts(s: DataFrame, reverse: bool = False, end: DataFrame | None =
     return rows.groupBy("label", (F.col("at") + 1).alias("pos"), "base").agg(F.count(F.lit(1)).alias("n"))
 
 
-def position_metrics(s: DataFrame, reverse: bool = False, end_position: int | None = None, min_coverage: float = 0.25, floor: int = FLOOR, pairs: DataFrame | None = None) -> DataFrame:
+def position_metrics(s: DataFrame, reverse: bool = False, end_position: int | None = None, min_coverage: float = 0.25, floor: int = FLOOR, pairs: DataFrame | None = None, alphabet: DataFrame | None = None, lengths: DataFrame | None = None) -> DataFrame:
     """(label_1, label_2, check, base, pos, auroc, aupr, accuracy, flag): every base of either class at every reported position.
 
     Positions past the scored window, or that fewer than ``floor`` sequences of either class reach, are
     Unknown with null metrics.
     """
     pairs = class_pairs(s) if pairs is None else pairs
-    lengths = length_counts(s)
+    alphabet = alphabets(s) if alphabet is None else alphabet
+    lengths = length_counts(s) if lengths is None else lengths
     own = windows(lengths, end_position, min_coverage, floor)
     both = pair_windows(own, pairs)
     counts = position_counts(s, reverse, own.select("label", F.col("scored_end_position").alias("last")))
-    bases = by_pair(alphabets(s), pairs, "feature").select("label_1", "label_2", F.col("feature").alias("base")).distinct()
+    bases = by_pair(alphabet, pairs, "feature").select("label_1", "label_2", F.col("feature").alias("base")).distinct()
     grid = bases.join(F.broadcast(both), ["label_1", "label_2"])
     # At most (bases x positions) rows per pair; an empty window gives none.
     grid = grid.where(F.col("end_position") >= 1).withColumn("pos", F.explode(F.sequence(F.lit(1), F.col("end_position"))))

@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.cleaning import cleaned
-from ..operators import duplicates, features, leakage, metrics, positions, similarity
+from ..session import spread
+from ..operators import distribution, duplicates, features, leakage, metrics, positions, similarity
 from ..sources.hits import complete_hits
 from ..sources.tables import MISSING, labelled, median_split, present
 from . import class_report as report
@@ -22,7 +23,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def labelled_train(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "enhancers_train").select(present(F.col("label")).alias("label"), cleaned(present(F.col("sequence"))).alias("sequence"))
-    return labelled(rows, ["sequence"], "label", "enhancers_train")
+    return spread(labelled(rows, ["sequence"], "label", "enhancers_train"))
 
 
 def _rounded(df: DataFrame, *names: str) -> DataFrame:
@@ -117,6 +118,14 @@ def class_verdict(spark, folder):
     return report.verdict(report.class_report(labelled_train(spark, folder)))
 
 
+def feature_distribution(spark, folder):
+    """Median and quarters of every feature of every class."""
+    s = labelled_train(spark, folder)
+    rows = distribution.with_zeros(features.histograms(s), features.alphabets(s), s.groupBy("label").agg(F.count(F.lit(1)).alias("n")))
+    rows = distribution.letter_values(rows, 2)
+    return rows.select("label", "check", "feature", "n", *[F.round(c, 6).alias(c) for c in ("low", "high")], *[F.round(F.get("letters", F.lit(i)), 6).alias(c) for i, c in enumerate(("median", "quarter", "three_quarters"))])
+
+
 def _hits(spark, folder):
     return table(spark, folder, "mmseqs2_search_result")
 
@@ -180,7 +189,7 @@ def queries():
         "length_metrics": _family(features.LENGTHS), "gc_metrics": _family(features.GC),
         "base_metrics": _family(features.NUCLEOTIDES), "dinuc_metrics": _family(features.DINUCLEOTIDES),
     }
-    plain = (class_summary, alphabet_check, dup_levels, dup_bins, dup_within_check, dup_between, dup_between_check, position_counts_fwd, position_counts_rev, position_cohorts, position_windows, position_metrics_fwd, position_metrics_rev, position_headline, regression_split, regression_metrics, label_pairs, class_report, class_verdict, hits_complete, best_similarity, hit_summary, leak_listing, leak_hist, leak_stats, leak_check, leak_exact, similarity_join)
+    plain = (class_summary, alphabet_check, dup_levels, dup_bins, dup_within_check, dup_between, dup_between_check, position_counts_fwd, position_counts_rev, position_cohorts, position_windows, position_metrics_fwd, position_metrics_rev, position_headline, regression_split, regression_metrics, label_pairs, class_report, class_verdict, feature_distribution, hits_complete, best_similarity, hit_summary, leak_listing, leak_hist, leak_stats, leak_check, leak_exact, similarity_join)
     return named | {f.__name__: f for f in plain}
 
 
@@ -261,7 +270,50 @@ _LEAK_FLAG = "CASE WHEN qp >= 2 THEN 'Fail' WHEN qp > 0 THEN 'Warning' ELSE 'Pas
 _MEDIAN = "b AS (SELECT CASE WHEN p_size >= (SELECT median(p_size) FROM part) THEN 'high' ELSE 'low' END AS label, upper(p_name) AS seq FROM part)"
 
 
+def _spread(check: str, values: str, domain: str) -> str:
+    """Quantiles over all sequences of a class, with a value for every feature of the class."""
+    return f"""SELECT label, '{check}' AS "check", feature, count(*) AS n, round(min(v), 6) AS low, round(max(v), 6) AS high, round(quantile_cont(v, 0.5), 6) AS median, round(quantile_cont(v, 0.25), 6) AS quarter, round(quantile_cont(v, 0.75), 6) AS three_quarters
+FROM (SELECT i.label, d.feature, coalesce(x.v, 0) AS v FROM i JOIN ({domain}) d ON d.label = i.label LEFT JOIN ({values}) x ON x.id = i.id AND x.feature = d.feature) GROUP BY label, feature"""
+
+
+def _report_rows(sql: dict[str, str]) -> str:
+    """All rows of the class report from the queries on its checks, each as a subquery."""
+    names = ("Unique bases", "Sequence Duplications within Labels", "Duplicate Sequences between Labels", "Sequence lengths", "Per sequence GC content", "Per sequence nucleotide content", "Per sequence dinucleotide content", "Per position nucleotide content", "Per position reversed nucleotide content")
+    metrics, worst = "auroc, aupr, accuracy", "max(auroc) AS auroc, max(aupr) AS aupr, max(accuracy) AS accuracy"
+    none = "NULL::double AS auroc, NULL::double AS aupr, NULL::double AS accuracy"
+    parts = []
+
+    def part(place: int, name: str, headline: bool, key: str, values: str, rows: str, group: str = "") -> None:
+        flag = _FLAG.removesuffix(" AS flag") if group else "flag"
+        parts.append(f"SELECT label_1, label_2, {place} AS place, {name} AS \"check\", {headline} AS headline, {key} AS key, {metrics}, {flag} AS flag FROM (SELECT label_1, label_2, {values} FROM ({rows}) {group})")
+
+    for i, q in enumerate(("alphabet_check", "dup_within_check", "dup_between_check")):
+        part(i, f"'{names[i]}'", True, "''", f"{none}, flag", sql[q])
+    for i, q in ((3, "length_metrics"), (4, "gc_metrics")):
+        part(i, f"'{names[i]}'", True, "''", f"{metrics}, flag", sql[q])
+    for i, q in ((5, "base_metrics"), (6, "dinuc_metrics")):
+        part(i, f"'{names[i]} - ' || feature", False, "feature", f"feature, {metrics}, flag", sql[q])
+        part(i, f"'{names[i]}'", True, "''", worst, sql[q], "GROUP BY label_1, label_2")
+    for i, q in ((7, "position_metrics_fwd"), (8, "position_metrics_rev")):
+        part(i, f"'{names[i]} - ' || base || ' position ' || pos", False, "base || lpad(pos::varchar, 12, '0')", f"base, pos, {metrics}, flag", sql[q])
+        part(i, f"'{names[i]} - ' || base", False, "base || '~'", f"base, {worst}", sql[q], "GROUP BY label_1, label_2, base")
+        part(i, f"'{names[i]}'", True, "''", worst, sql[q], "GROUP BY label_1, label_2")
+    return " UNION ALL ".join(parts)
+
+
 def oracle_sql() -> dict[str, str]:
+    sql = _single_sql()
+    rows = _report_rows(sql)
+    return sql | {
+        "class_report": f"SELECT label_1, label_2, CAST(row_number() OVER (PARTITION BY label_1, label_2 ORDER BY headline DESC, place, key, \"check\") AS int) AS row, \"check\", headline, flag, auroc, aupr, accuracy FROM ({rows})",
+        "feature_distribution": f"WITH {_S}, {_IDS}, {_ALPHABET} " + " UNION ALL ".join(_spread(check, values.replace("SELECT label,", "SELECT id, label,", 1), domain) for check, values, domain in (
+            ("Sequence lengths", _LENGTH, "SELECT DISTINCT label, '' AS feature FROM s"), ("Per sequence GC content", _GC, "SELECT DISTINCT label, '' AS feature FROM s"),
+            ("Per sequence nucleotide content", _BASE, "SELECT label, ch AS feature FROM alpha"), ("Per sequence dinucleotide content", _DINUC, "SELECT x.label, x.ch || y.ch AS feature FROM alpha x JOIN alpha y USING (label)"))),
+        "class_verdict": f"SELECT label_1, label_2, flag, count(*) AS checks FROM ({rows}) WHERE headline GROUP BY ALL",
+    }
+
+
+def _single_sql() -> dict[str, str]:
     lengths = ("Sequence lengths", _LENGTH, _NO_DOMAIN)
     return {
         "length_metrics": _metrics(*lengths),

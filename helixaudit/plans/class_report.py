@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..operators import duplicates
 from ..operators.features import BASES, BETWEEN, CHECKS, FEATURES, FORWARD, REVERSED, WITHIN, Feature, alphabets
 from ..operators.metrics import FLOOR, class_pairs, feature_metrics, worst_case
-from ..operators.positions import position_metrics
+from ..operators.positions import length_counts, position_metrics
+from ..session import write_once
 
 METRICS = ("auroc", "aupr", "accuracy")
 
@@ -26,22 +27,24 @@ def class_report(s: DataFrame, end_position: int | None = None, min_coverage: fl
     base by base, each base followed by its own headline. Rule checks have no metrics. A check
     without any sub-check has no headline.
     """
-    pairs = class_pairs(s, order)
-    alphabet = alphabets(s)
+    # What is read several times is small and written once: else each use would scan the sequences again.
+    lengths = write_once(length_counts(s), "lengths")
+    pairs = write_once(class_pairs(s, order, lengths.groupBy("label").agg(F.sum("n").alias("n"))), "pairs")
+    alphabet = write_once(alphabets(s), "alphabets")
     lit = F.lit
     parts = [
         _rows(duplicates.alphabet_check(s, alphabet, pairs), lit(BASES), lit(BASES), True, []),
         _rows(duplicates.within_check(s, pairs), lit(WITHIN), lit(WITHIN), True, []),
         _rows(duplicates.between_check(s, pairs), lit(BETWEEN), lit(BETWEEN), True, []),
     ]
-    single = feature_metrics(s, features, floor, pairs)
+    single = write_once(feature_metrics(s, features, floor, pairs, alphabet), "features")
     check, feature = F.col("check"), F.col("feature")
     parts.append(_rows(single.where(feature == ""), check, check, True, []))
     many = single.where(feature != "")
     parts.append(_rows(many, check, F.concat(check, lit(" - "), feature), False, [feature]))
     parts.append(_rows(worst_case(many, ["label_1", "label_2", "check"]), check, check, True, []))
     for reverse in (False, True):
-        places = position_metrics(s, reverse, end_position, min_coverage, floor, pairs)
+        places = write_once(position_metrics(s, reverse, end_position, min_coverage, floor, pairs, alphabet, lengths), "positions")
         base = F.col("base")
         # Code points keep the order of bases where the names would not.
         by_base = F.lpad(F.ascii("base").cast("string"), 8, "0")

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import naming
 from ..operators import duplicates, features, leakage, positions, similarity
+from ..session import spread
 from ..sources import fasta, tables
 from ..sources.hits import read_hits
 from . import class_report, html
@@ -78,7 +79,7 @@ def evaluate_classes(spark: SparkSession, inputs: list[str], out_folder: str = "
     for column, s, labels, slugs in class_inputs(spark, inputs, sequence_columns or ["sequence"], label_column, label_list, regression):
         slug_of = dict(zip(labels, slugs))
         ordered = sorted(labels, key=slug_of.get)
-        s = s.persist()
+        s = spread(s).persist()
         try:
             if "json" in report_types:
                 folders.append(_write_class_json(s, naming.comparison_folder(out_folder, "class", column) / PER_CLASS, slug_of))
@@ -89,6 +90,7 @@ def evaluate_classes(spark: SparkSession, inputs: list[str], out_folder: str = "
             for r in rows.orderBy("label_1", "label_2", "row").toLocalIterator():
                 by_pair.setdefault((r["label_1"], r["label_2"]), []).append(r)
             shared = duplicates.shared(s).persist()
+            places = position_payload(s, end_position, min_coverage) if "html" in report_types else {}
             for one, two in combinations(ordered, 2):
                 folder = naming.comparison_folder(out_folder, "class", column, slug_of[one], slug_of[two])
                 folder.mkdir(parents=True, exist_ok=True)
@@ -98,7 +100,7 @@ def evaluate_classes(spark: SparkSession, inputs: list[str], out_folder: str = "
                 both = shared.where(F.least("label_1", "label_2").eqNullSafe(min(one, two)) & F.greatest("label_1", "label_2").eqNullSafe(max(one, two)))
                 _write_duplicates(both, folder / DUPLICATES_FILE)
                 if "html" in report_types:
-                    (folder / HTML_FILE).write_text(_class_page(s, one, two, own, both), encoding="utf-8")
+                    (folder / HTML_FILE).write_text(_class_page(s, one, two, own, both, places), encoding="utf-8")
                 folders.append(folder)
             shared.unpersist()
         finally:
@@ -106,6 +108,26 @@ def evaluate_classes(spark: SparkSession, inputs: list[str], out_folder: str = "
     return folders
 
 
+def position_payload(s: DataFrame, end_position: int | None, min_coverage: float) -> dict[str, dict]:
+    """By class: the share of each base at each reported position in both directions, and the coverage, to three decimals.
+
+    Its size is positions times bases of the classes, whatever the number of sequences.
+    """
+    lengths = positions.length_counts(s)
+    window = positions.windows(lengths, end_position, min_coverage)
+    last = {r["label"]: r["end_position"] for r in window.collect()}
+    out = {label: {"coverage": [0.0] * n, "forward": {}, "reversed": {}} for label, n in last.items()}
+    reach: dict[tuple[str, int], int] = {}
+    for r in positions.cohorts(lengths).join(F.broadcast(window.select("label", "end_position")), "label").where(F.col("pos") <= F.col("end_position")).toLocalIterator():
+        out[r["label"]]["coverage"][r["pos"] - 1] = round(r["coverage"], 3)
+        reach[r["label"], r["pos"]] = r["cohort"]
+    for name, reverse in (("forward", False), ("reversed", True)):
+        for r in positions.position_counts(s, reverse, window.select("label", F.col("end_position").alias("last"))).toLocalIterator():
+            line = out[r["label"]][name].setdefault(r["base"], [0.0] * last[r["label"]])
+            line[r["pos"] - 1] = round(r["n"] / reach[r["label"], r["pos"]], 3)
+    return out
+
+
 def _write_duplicates(both: DataFrame, path: Path) -> None:
     """Sequences of both classes in order, one a line; no file without any. They stream through the driver, partition by partition."""
     rows = both.select("seq").orderBy("seq").toLocalIterator()
@@ -135,7 +157,7 @@ def _write_class_json(s: DataFrame, folder: Path, slug_of: dict[str, str]) -> Pa
     return folder
 
 
-def _class_page(s: DataFrame, one: str, two: str, rows: list, both: DataFrame) -> str:
+def _class_page(s: DataFrame, one: str, two: str, rows: list, both: DataFrame, places: dict) -> str:
     head = [r for r in rows if r["headline"]]
     summary = {r["label"]: r for r in features.class_summary(s.where(F.col("label").isin(one, two))).collect()}
     names = ("sequences", "bases", "unique_bases", "gc", "distinct_sequences", "empty_sequences", "min_length", "mean_length", "max_length")
@@ -150,7 +172,7 @@ def _class_page(s: DataFrame, one: str, two: str, rows: list, both: DataFrame) -
     if any(r["check"] == features.BETWEEN and r["flag"] == "Fail" for r in head):
         first = [r["seq"] for r in both.orderBy("seq").limit(10).collect()]
         sections.append(("Sequences of both classes", "<pre>" + "\n".join(html.escaped(x if len(x) <= 100 else x[:97] + "...") for x in first) + "</pre>"))
-    data = {"rows": [[r["check"], r["flag"], None if r["auroc"] is None else round(r["auroc"], 3)] for r in rows]}
+    data = {"positions": {c: places.get(c, {}) for c in (one, two)}, "rows": [[r["check"], r["flag"], None if r["auroc"] is None else round(r["auroc"], 3)] for r in rows]}
     return html.page(f"{one} and {two}", sections).replace("</body>", f'<script type="application/json" id="rows">{html.payload(data)}</script></body>')
 
 

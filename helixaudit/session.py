@@ -43,6 +43,16 @@ def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows on at least as many partitions as the session has cores.
+
+    For stages whose work is far larger than their bytes: a small input of one file would run on one core.
+    Inputs of enough partitions, as all large ones are, come back unchanged and are not shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the Python workers of the session, once, so that executors need no install."""
     context = spark.sparkContext

@@ -165,3 +165,20 @@ def test_empty_input_gives_empty_report(spark):
     assert class_report.class_report(frame(spark, [("only", "ACGT")])).count() == 0
     two = class_report.class_report(frame(spark, [("a", ""), ("b", "")])).collect()
     assert {r["check"] for r in two if r["headline"]} == {features.BASES, features.WITHIN, features.BETWEEN, features.LENGTHS, features.GC}
+
+
+def test_distribution_of_values(spark):
+    from helixaudit.operators import distribution
+
+    rows = [("a", "A" * n + "C" * (n % 3)) for n in range(1, 20)] + [("b", "GG"), ("b", "")]
+    s = frame(spark, rows)
+    sizes = s.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    filled = distribution.with_zeros(features.histograms(s), features.alphabets(s), sizes).cache()
+    assert {(r["label"], r["n"]) for r in filled.groupBy("label", "check", "feature").agg(F.sum("n").alias("n")).collect()} == {("a", 19), ("b", 2)}
+    got = {(r["label"], r["check"], r["feature"]): r for r in distribution.letter_values(filled, 2).collect()}
+    share = sorted((n % 3) / (n + n % 3) for n in range(1, 20))
+    own = got["a", features.NUCLEOTIDES, "C"]
+    assert own["letters"][0] == pytest.approx(share[9]) and (own["low"], own["high"]) == pytest.approx((share[0], share[-1]))
+    assert got["b", features.LENGTHS, ""]["letters"] == [1.0, 0.5, 1.5]
+    cells = distribution.grid(filled, 4).where(F.col("check") == features.LENGTHS).groupBy("label").agg(F.sum("n").alias("n"), F.max("cell").alias("top")).collect()
+    assert {(r["label"], r["n"], r["top"]) for r in cells} == {("a", 19, 3), ("b", 2, 0)}
