@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.cleaning import cleaned
-from ..session import parallelism, write_once
+from ..session import parallelism, spread, write_once
 from ..sources.hits import complete_hits, id_number
 from . import hot_seeds, kmers
 from .near_duplicates import BUCKET_POSTINGS, bucket_count, verified
@@ -83,7 +83,7 @@ def index(texts: DataFrame, buckets: int, threshold: float) -> DataFrame:
                 yield from out.add(keyed(h[take]), d[rec], size_class(sizes)[rec])
         yield from out.flush()
 
-    return texts.select("d", "text").mapInArrow(run, Exchange.ddl)
+    return spread(texts.select("d", "text")).mapInArrow(run, Exchange.ddl)
 
 
 def seed_bitmap(rows: DataFrame, buckets: int, bits: int) -> np.ndarray:
@@ -121,7 +121,7 @@ def probes(texts: DataFrame, bitmap, bits: int, buckets: int) -> DataFrame:
                     yield from out.add(keyed(h[take]), d[rec], size_class(set_sizes(letters, offsets, owner))[rec])
         yield from out.flush()
 
-    return texts.select("d", "text").mapInArrow(run, Exchange.ddl)
+    return spread(texts.select("d", "text")).mapInArrow(run, Exchange.ddl)
 
 
 def pair_blocks(seed_a, d_a, size_a, seed_b, d_b, size_b, span: int):

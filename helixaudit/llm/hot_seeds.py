@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ..session import spread
 from . import kmers
 from .seeds import KEY_BITS, LEAST_GAP, SEED, WINDOW, Exchange, by_bucket, gathered, keyed, set_sizes, size_class
 
@@ -69,7 +70,7 @@ def seeds_once(texts: DataFrame, buckets: int) -> DataFrame:
                 yield from out.add(all_seeds(letters, offsets)[1])
         yield from out.flush()
 
-    return texts.select("text").mapInArrow(run, Exchange.ddl)
+    return spread(texts.select("text")).mapInArrow(run, Exchange.ddl)
 
 
 def bitmap(rows: DataFrame, buckets: int, bits: int, least: int) -> np.ndarray:
@@ -119,7 +120,7 @@ def prefix_postings(texts: DataFrame, buckets: int, threshold: float, known, bit
                 yield from out.add(seed, rep[first + rec], size_class(sizes)[rec])
         yield from out.flush()
 
-    return texts.select("rep", "text").mapInArrow(run, Exchange.ddl)
+    return spread(texts.select("rep", "text")).mapInArrow(run, Exchange.ddl)
 
 
 def frequent_seeds(texts: DataFrame, buckets: int):

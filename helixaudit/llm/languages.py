@@ -19,6 +19,7 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import spread
 from . import kmers
 
 #: The languages, with the codes and English names that stand for them (fixed values).
@@ -296,7 +297,7 @@ def identify(documents: DataFrame, sample: int = SAMPLE) -> DataFrame:
             )
 
     rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), named_language(F.col("lang")).alias("named"))
-    return rows.mapInArrow(run, kind)
+    return spread(rows).mapInArrow(run, kind)
 
 
 def main_languages(documents: DataFrame, sample: int = SAMPLE) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.cleaning import cleaned
-from ..session import parallelism, write_once
+from ..session import parallelism, spread, write_once
 from . import hot_seeds, kmers
 from .components import components
 from .seeds import Exchange, by_bucket, class_span, common_windows, gathered, minimum_seeds
@@ -65,7 +65,7 @@ def postings(texts: DataFrame, buckets: int, threshold: float) -> DataFrame:
                 yield from out.add(seed, rep[first + rec], size)
         yield from out.flush()
 
-    return texts.select("rep", "text").mapInArrow(run, Exchange.ddl)
+    return spread(texts.select("rep", "text")).mapInArrow(run, Exchange.ddl)
 
 
 def block_pairs(size: np.ndarray, group: np.ndarray, span: int):

@@ -125,10 +125,16 @@ f AS (SELECT seq_no, min(i) AS span_start, max(i) + 59 AS span_end FROM g GROUP
 
 
 def oracle_sql() -> dict[str, str]:
-    """No SQL for tokenising, mixing, language models and the transitive closures: their tests hold them against brute force."""
+    """No SQL for tokenising, mixing, language models and families: their tests hold them against brute force."""
     return {
         "p1_found": _P1,
         "p2_found": _P2,
+        "p2_report": f"""SELECT split, test_source, train_source, count(*) AS n_pairs, count(DISTINCT test_no) AS n_test, count(DISTINCT train_no) AS n_train FROM ({_P2}) p
+JOIN (SELECT seq_no AS test_no, min(split) AS split, min(source) AS test_source FROM enhancers_test GROUP BY seq_no) a USING (test_no)
+JOIN (SELECT seq_no AS train_no, min(source) AS train_source FROM enhancers_train GROUP BY seq_no) b USING (train_no) GROUP BY split, test_source, train_source""",
+        "p6_found": f"""WITH RECURSIVE {_HITS}, e AS (SELECT query AS a, target AS b FROM hits UNION SELECT target, query FROM hits),
+r AS (SELECT a AS id, a AS root FROM e UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.id)
+SELECT id AS record_id, min(root) AS group_id FROM r GROUP BY id""",
         "p3_found": f"""WITH {_HITS},
 b AS (SELECT query, target, max(pident) AS pident FROM hits GROUP BY query, target)
 SELECT query, target FROM b QUALIFY row_number() OVER (PARTITION BY query ORDER BY pident DESC, try_cast(regexp_extract(target, '^seq_([0-9]+)_train$', 1) AS bigint) NULLS LAST, target) <= 5""",

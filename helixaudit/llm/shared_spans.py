@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.cleaning import cleaned
-from ..session import write_once
+from ..session import spread, write_once
 from . import kmers
 from .hot_seeds import bitmap as bitmap_of
 from .near_duplicates import bucket_count, distinct_texts
@@ -83,7 +83,7 @@ def keys(texts: DataFrame, buckets: int, span: int) -> DataFrame:
                 yield from out.add(one & ((1 << KEY_BITS) - 1))
         yield from out.flush()
 
-    return texts.select("text").mapInArrow(run, Exchange.ddl)
+    return spread(texts.select("text")).mapInArrow(run, Exchange.ddl)
 
 
 def sent_chunks(texts: DataFrame, bitmap, bits: int, buckets: int, span: int) -> DataFrame:
@@ -120,7 +120,7 @@ def sent_chunks(texts: DataFrame, bitmap, bits: int, buckets: int, span: int) ->
         if held:
             yield from packed_rows(held)
 
-    return texts.select("rep", "text").mapInArrow(run, CHUNK_DDL)
+    return spread(texts.select("rep", "text")).mapInArrow(run, CHUNK_DDL)
 
 
 def shared_runs(rep: np.ndarray, start: np.ndarray, runs: np.ndarray, letters: np.ndarray, span: int):

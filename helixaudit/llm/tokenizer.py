@@ -23,6 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
 from . import kmers
 
 #: Where the vocabulary lies; a parameter of every operator.
@@ -310,4 +311,4 @@ def encoded(df: DataFrame, text: str = "text", key: str = "doc_id", vocabulary:
                     result = pa.ListArray.from_arrays(pa.array(offsets), pa.Array.from_buffers(pa.int32(), int(offsets[-1]), [None, pa.py_buffer(np.ascontiguousarray(ids))]))
                 yield pa.record_batch([batch.column(0), result], names=[key, "tokens" if counts_only else "ids"])
 
-    return df.select(key, F.col(text).cast("string").alias(text)).mapInArrow(run, f"`{key}` {kind}, {'tokens bigint' if counts_only else 'ids array<int>'}")
+    return spread(df.select(key, F.col(text).cast("string").alias(text))).mapInArrow(run, f"`{key}` {kind}, {'tokens bigint' if counts_only else 'ids array<int>'}")
