@@ -78,7 +78,8 @@ def bitmap(rows: DataFrame, buckets: int, bits: int, least: int) -> np.ndarray:
 
     def run(table: pa.Table) -> pa.Table:
         seed = np.sort(gathered(x.as_py() for x in table.column("postings"))[0])
-        at = np.unique(seed[least - 1 :][seed[least - 1 :] == seed[: len(seed) - least + 1]] >> (KEY_BITS - bits))
+        # A bucket of fewer postings has none: its stop index would count from the end.
+        at = np.unique(seed[least - 1 :][seed[least - 1 :] == seed[: max(0, len(seed) - least + 1)]] >> (KEY_BITS - bits))
         if not len(at):
             return pa.table({"at": pa.array([], pa.int64()), "marks": pa.array([], pa.binary())})
         low = int(at[0]) >> 3 << 3

@@ -247,3 +247,18 @@ def test_frequent_seeds_take_the_second_index(spark, monkeypatch):
     test, train = [(1000 + n, t) for n, t in rows if n % 2], [(n, t) for n, t in rows if n % 2 == 0]
     found = {tuple(r) for r in cross_split.overlaps_by_text(frame(spark, test), frame(spark, train)).collect()}
     assert found == {(1000 + (a if a % 2 else b), b if a % 2 else a) for a, b in want if (a + b) % 2}
+
+
+def test_buckets_of_fewer_postings_than_a_frequent_seed(spark):
+    """One family of 60 with the production bound, over so many buckets that most hold fewer than 48 postings."""
+    from helixaudit.llm import hot_seeds
+
+    rng = random.Random(13)
+    family = "".join(rng.choice("ACGT") for _ in range(300))
+    rows = list(enumerate(edited(rng, family, 6) for _ in range(60)))
+    sets = {n: windows(t) for n, t in rows}
+    want = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.5}
+    texts = near_duplicates.distinct_texts(frame(spark, rows), 40).cache()
+    assert hot_seeds.FREQUENT == 48
+    assert hot_seeds.frequent_seeds(texts, 200)[0].any()
+    assert want <= {tuple(r) for r in near_duplicates.candidates(texts, 200, 0.5).collect()}
