@@ -182,6 +182,48 @@ def test_similarity_join_recall(spark):
     assert {r["query"] for r in leakage.leaked_hits(only).collect()} == set(leaked)
 
 
+def best_score(a, b):
+    """Score of the best local alignment, cell by cell."""
+    before, best = [0] * (len(b) + 1), 0
+    for x in a:
+        row = [0]
+        for j, y in enumerate(b, 1):
+            row.append(max(0, before[j - 1] + (similarity.MATCH if x == y else similarity.MISMATCH), before[j] + similarity.GAP, row[-1] + similarity.GAP))
+        best, before = max(best, max(row)), row
+    return best
+
+
+def test_alignment_is_the_best_of_the_whole_texts():
+    rng = random.Random(21)
+    text = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+    pairs = [(text(rng.randint(1, 60)), text(rng.randint(1, 60))) for _ in range(40)]
+    for n, cut in ((400, 25), (400, 30), (600, 45), (800, 60)):
+        a = text(n)
+        pairs += [(a, a[: n // 2] + a[n // 2 + cut :]), (a[: n // 3] + text(cut) + a[n // 3 :], a)]
+    pairs += [("ÄC" * 9, "C" + "ÄC" * 8), ("A" * 30, "A" * 20)]
+    want = [best_score(a, b) for a, b in pairs]
+    # All rows held, and computed again from some of them.
+    for cells in (similarity.CELLS, 0):
+        for chosen in similarity.blocks(pairs, similarity.CELLS // 8):
+            for k, (score, a0, a1, b0, b1, top, low) in zip(chosen, similarity.align([pairs[k] for k in chosen], cells)):
+                a, b = pairs[k]
+                assert score == want[k]
+                assert (top.replace("-", ""), low.replace("-", "")) == (a[a0:a1], b[b0:b1]) and len(top) == len(low)
+                assert score == sum(similarity.GAP if "-" in (x, y) else similarity.MATCH if x == y else similarity.MISMATCH for x, y in zip(top, low))
+
+
+def test_similarity_join_finds_leaks_with_long_gaps(spark):
+    rng = random.Random(22)
+    text = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+    train = [text(n) for n in (400, 400, 500, 600, 800, 800)]
+    cuts = (30, 25, 40, 45, 60, 60)
+    test = [t[: len(t) // 2] + t[len(t) // 2 + c :] for t, c in zip(train[:5], cuts)] + [train[5][:300] + text(60) + train[5][300:]]
+    pair = lambda rows: spark.createDataFrame(list(enumerate(rows)), "no bigint, seq string")
+    rows = {r["query"]: r for r in leakage.leaked_hits(similarity.similarity_join(pair(test), pair(train))).collect()}
+    assert {q: r["target"] for q, r in rows.items()} == {f"seq_{i}_test": f"seq_{i}_train" for i in range(6)}
+    assert round(rows["seq_0_test"]["similarity"], 1) == 92.5
+
+
 def test_alignment_text():
     hit = HIT | dict(qaln="AC-GT", taln="ACTGA", qstart=3, tstart=1, qend=6, tend=5)
     assert html.midline("AC-GT", "ACTGA") == "|| |."
