@@ -202,7 +202,7 @@ def evaluate_splits(spark: SparkSession, train_input: list[str], test_input: lis
     columns = sequence_columns or ["sequence"]
     test, train = (split_half(spark, p, columns, h).persist() for p, h in ((test_input, "test"), (train_input, "train")))
     try:
-        hits = (read_hits(spark, hits_path) if hits_path else similarity.similarity_join(test, train)).persist()
+        hits = (read_hits(spark, hits_path) if hits_path else similarity.similarity_join(test, train, leak=similarity_threshold)).persist()
         n_test, n_train = test.count(), train.count()
         stats = leakage.threshold_stats(hits, n_test, n_train, similarity_threshold).persist()
         fasta_only = tables.infer_format(test_input) == "fasta"

@@ -224,6 +224,37 @@ def test_similarity_join_finds_leaks_with_long_gaps(spark):
     assert round(rows["seq_0_test"]["similarity"], 1) == 92.5
 
 
+@pytest.mark.parametrize("least", [90.0, 80.0])
+def test_similarity_join_misses_no_leak_on_short_sequences(spark, least):
+    """Against the alignment of every pair: random errors of all kinds up to the threshold, most without two common seeds."""
+    rng = random.Random(23)
+    text = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+    train = [text(n) for n in (1, 2, 4, 8, 9, 13, 14, 15, 16, 19, 20, 28, 31, 39, 40, 40, 47, 60, 75, 90, 100, 120, 128) for _ in range(4)]
+    test = []
+    for t in train:
+        s, errors = list(t), int(len(t) * (1 - least / 100))
+        evenly = rng.random() < 0.5
+        for e in range(rng.randint(0, 1) if errors == 0 else errors):
+            at = min(len(s) - 1, (e + 1) * len(s) // (errors + 1) if evenly else rng.randrange(len(s)))
+            kind = rng.random()
+            if kind < 0.8 or len(s) < 2:
+                s[at] = rng.choice("ACGT")
+            elif kind < 0.9:
+                s.insert(at, rng.choice("ACGT"))
+            else:
+                del s[at]
+        test.append("".join(s))
+    want, every = set(), [(i, j) for i in range(len(test)) for j in range(len(train)) if least / 100 <= len(test[i]) / len(train[j]) <= 100 / least]
+    for (i, j), (_, a0, a1, b0, b1, top, low) in zip(every, similarity.align([(test[i], train[j]) for i, j in every])):
+        if top and min((a1 - a0) / len(test[i]), (b1 - b0) / len(train[j])) * (100.0 * sum(x == y for x, y in zip(top, low)) / len(top)) >= least:
+            want.add((f"seq_{i}_test", f"seq_{j}_train"))
+    pair = lambda rows: spark.createDataFrame(list(enumerate(rows)), "no bigint, seq string").repartition(3)
+    got = [tuple(r) for r in leakage.leaked_hits(similarity.similarity_join(pair(test), pair(train), leak=least), least).select("query", "target").collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 60
+    seeds = lambda s: {s[i : i + similarity.SEED] for i in range(len(s) - similarity.SEED + 1)}
+    assert sum(len(seeds(test[int(q.split("_")[1])]) & seeds(train[int(t.split("_")[1])])) < 2 for q, t in want) > 10
+
+
 def test_alignment_text():
     hit = HIT | dict(qaln="AC-GT", taln="ACTGA", qstart=3, tstart=1, qend=6, tend=5)
     assert html.midline("AC-GT", "ACTGA") == "|| |."
