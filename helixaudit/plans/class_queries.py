@@ -167,20 +167,29 @@ def leak_check(spark, folder):
     return rows.toDF("check", "flag", "leaked_queries", "leaked_targets")
 
 
-def _numbered(spark, folder, name):
+def _numbered(spark, folder, name, least):
     rows = table(spark, folder, name).select(F.col("seq_no").alias("no"), cleaned(F.col("sequence")).alias("seq"))
-    return rows.where(F.length("seq") >= 40).distinct()
+    return rows.where(F.length("seq") >= least).distinct()
 
 
-def leak_exact(spark, folder):
-    test, train = _numbered(spark, folder, "enhancers_test"), _numbered(spark, folder, "enhancers_train")
+def _exact(spark, folder, least):
+    test, train = (_numbered(spark, folder, t, least) for t in ("enhancers_test", "enhancers_train"))
     # Texts first: a text is joined once, however many records have it on either side.
     held = train.groupBy("seq").agg(F.count(F.lit(1)).alias("n_train"))
     return test.groupBy("seq").agg(F.min("no").alias("first_test_no"), F.count(F.lit(1)).alias("n_test")).join(held, "seq").select("first_test_no", "n_test", "n_train")
 
 
+def leak_exact(spark, folder):
+    """Exact copies of 40 letters or more, as its SQL bounds them; ``leak_exact_all`` has those of all lengths."""
+    return _exact(spark, folder, 40)
+
+
+def leak_exact_all(spark, folder):
+    return _exact(spark, folder, 1)
+
+
 def similarity_join(spark, folder):
-    rows = similarity.similarity_join(_numbered(spark, folder, "enhancers_test"), _numbered(spark, folder, "enhancers_train"), leaks_only=80.0)
+    rows = similarity.similarity_join(*(_numbered(spark, folder, t, 1) for t in ("enhancers_test", "enhancers_train")))
     return _rounded(rows, "qcov", "tcov", "pident")
 
 
@@ -189,7 +198,7 @@ def queries():
         "length_metrics": _family(features.LENGTHS), "gc_metrics": _family(features.GC),
         "base_metrics": _family(features.NUCLEOTIDES), "dinuc_metrics": _family(features.DINUCLEOTIDES),
     }
-    plain = (class_summary, alphabet_check, dup_levels, dup_bins, dup_within_check, dup_between, dup_between_check, position_counts_fwd, position_counts_rev, position_cohorts, position_windows, position_metrics_fwd, position_metrics_rev, position_headline, regression_split, regression_metrics, label_pairs, class_report, class_verdict, feature_distribution, hits_complete, best_similarity, hit_summary, leak_listing, leak_hist, leak_stats, leak_check, leak_exact, similarity_join)
+    plain = (class_summary, alphabet_check, dup_levels, dup_bins, dup_within_check, dup_between, dup_between_check, position_counts_fwd, position_counts_rev, position_cohorts, position_windows, position_metrics_fwd, position_metrics_rev, position_headline, regression_split, regression_metrics, label_pairs, class_report, class_verdict, feature_distribution, hits_complete, best_similarity, hit_summary, leak_listing, leak_hist, leak_stats, leak_check, leak_exact, leak_exact_all, similarity_join)
     return named | {f.__name__: f for f in plain}
 
 
@@ -347,4 +356,6 @@ def _single_sql() -> dict[str, str]:
         "leak_check": f"{_STATS} SELECT 'Data Leakage' AS \"check\", {_LEAK_FLAG}, printf('%.2f%%', qp) AS leaked_queries, printf('%.2f%%', tp) AS leaked_targets FROM st",
         "leak_exact": """WITH a AS (SELECT DISTINCT seq_no, regexp_replace(upper(sequence), '[^A-Z]', '', 'g') AS seq FROM enhancers_test), b AS (SELECT DISTINCT seq_no, regexp_replace(upper(sequence), '[^A-Z]', '', 'g') AS seq FROM enhancers_train)
 SELECT min(a.seq_no) AS first_test_no, count(DISTINCT a.seq_no) AS n_test, count(DISTINCT b.seq_no) AS n_train FROM a JOIN b USING (seq) WHERE length(seq) >= 40 GROUP BY seq""",
+        "leak_exact_all": """WITH a AS (SELECT DISTINCT seq_no, regexp_replace(upper(sequence), '[^A-Z]', '', 'g') AS seq FROM enhancers_test), b AS (SELECT DISTINCT seq_no, regexp_replace(upper(sequence), '[^A-Z]', '', 'g') AS seq FROM enhancers_train)
+SELECT min(a.seq_no) AS first_test_no, count(DISTINCT a.seq_no) AS n_test, count(DISTINCT b.seq_no) AS n_train FROM a JOIN b USING (seq) WHERE length(seq) >= 1 GROUP BY seq""",
     }

@@ -53,3 +53,21 @@ def test_queries_agree_with_their_sql(spark, small, name):
     assert sorted(names) == sorted(got.columns)
     want = sorted(tuple(map(str, (r[names.index(c)] for c in sorted(names)))) for r in result.fetchall())
     assert sorted(tuple(map(str, (r[c] for c in sorted(names)))) for r in got.collect()) == want
+
+
+def test_leak_queries_cover_sequences_of_all_lengths(spark, tmp_path):
+    import duckdb
+
+    base = "ACGTTGCA" * 40
+    tables = {"enhancers_train": ["ACGTACG", "ACG TACGTACGTACGTACGT", base, "", None], "enhancers_test": ["acgtacg", "ACGTACGTACGTACGTACGT", base[:150], "-", None]}
+    db = duckdb.connect()
+    for name, rows in tables.items():
+        df = spark.createDataFrame(list(enumerate(rows)), "seq_no bigint, sequence string")
+        df.write.parquet(f"{tmp_path}/{name}.parquet")
+        db.execute(f"create view {name} as select * from '{tmp_path}/{name}.parquet/*.parquet'").fetchall()
+    entry = fresh_entry()
+    got = sorted(tuple(r) for r in entry.queries()["leak_exact_all"](spark, str(tmp_path)).select("first_test_no", "n_test", "n_train").collect())
+    assert got == sorted(db.execute(entry.oracle_sql()["leak_exact_all"]).fetchall()) == [(0, 1, 1), (1, 1, 1)]
+    hits = {(r["query"], r["target"]) for r in entry.queries()["similarity_join"](spark, str(tmp_path)).collect()}
+    # The last is half as long as its target: a hit, though no leak.
+    assert hits >= {("seq_0_test", "seq_0_train"), ("seq_1_test", "seq_1_train"), ("seq_2_test", "seq_2_train")}
