@@ -197,17 +197,33 @@ def near_duplicate_pairs(df: DataFrame, threshold: float = 0.5, text: str = "seq
     change nothing. Other columns of ``df``, whatever their names, are not read. An empty table
     gives no rows.
     """
-    texts = write_once(distinct_texts(df, least, text, number), "texts")
+    return text_pairs(write_once(distinct_texts(df, least, text, number), "texts"), threshold)
+
+
+def text_pairs(texts: DataFrame, threshold: float) -> DataFrame:
+    """The pairs of :func:`near_duplicate_pairs` for distinct texts that are written already."""
     pairs = verified(candidates(texts, bucket_count(texts, 4.0), threshold), texts, texts, threshold)
     return pairs.select(F.col("a").alias("seq_a"), F.col("b").alias("seq_b"), "common", "similarity")
 
 
 def families(df: DataFrame, threshold: float = 0.5, text: str = "sequence", number: str = "seq_no", least: int = 40) -> DataFrame:
-    """(seq_no, family, links): each distinct text with a near duplicate, its family (smallest number in it) and its number of links."""
-    pairs = write_once(near_duplicate_pairs(df, threshold, text, number, least).select("seq_a", "seq_b"), "pairs")
-    ends = pairs.select(F.col("seq_a").alias("seq_no")).unionAll(pairs.select(F.col("seq_b").alias("seq_no")))
-    links = ends.groupBy("seq_no").agg(F.count(F.lit(1)).alias("links"))
+    """(seq_no, first_no, family, links): each record of ``least`` letters or more, once.
+
+    ``first_no`` is the smallest number with its text, which stands for the text in the pairs; ``family`` is the smallest
+    number of its family, its own if it has neither a near duplicate nor a copy before it. ``links`` counts the pairs
+    that name the record, so records with ``first_no`` < ``seq_no`` and those without near duplicates have none.
+    """
+    texts = write_once(distinct_texts(df, least, text, number), "texts")
+    pairs = write_once(text_pairs(texts, threshold).select("seq_a", "seq_b"), "pairs")
+    ends = pairs.select(F.col("seq_a").alias("rep")).unionAll(pairs.select(F.col("seq_b").alias("rep")))
+    links = ends.groupBy("rep").agg(F.count(F.lit(1)).alias("links"))
     # Numbers are padded so that the smallest string is the smallest number.
     padded = [F.lpad(F.col(c).cast("string"), 20, "0").alias(c) for c in ("seq_a", "seq_b")]
-    group = components(pairs.select(*padded), "seq_a", "seq_b").select(F.col("record_id").cast("bigint").alias("seq_no"), F.col("group_id").cast("bigint").alias("family"))
-    return links.join(group, "seq_no").select("seq_no", "family", "links")
+    group = components(pairs.select(*padded), "seq_a", "seq_b").select(F.col("record_id").cast("bigint").alias("rep"), F.col("group_id").cast("bigint").alias("family"))
+    digest = lambda c: [F.xxhash64(c).alias("d"), F.xxhash64(F.reverse(c)).alias("d2")]
+    known = texts.select("rep", *digest(F.col("text"))).join(links, "rep", "left").join(group, "rep", "left")
+    known = known.select("d", "d2", F.col("rep").alias("first_no"), F.coalesce("family", "rep").alias("family"), F.coalesce("links", F.lit(0)).alias("links"))
+    rows = df.select(F.col(number).cast("bigint").alias("seq_no"), cleaned(F.col(text)).alias("text")).where(F.col("seq_no").isNotNull() & (F.length("text") >= least))
+    # A text of many records is the skewed side of a join whose other side has it once.
+    rows = rows.select("seq_no", *digest(F.col("text"))).distinct().join(known, ["d", "d2"])
+    return rows.select("seq_no", "first_no", "family", F.when(F.col("seq_no") == F.col("first_no"), F.col("links")).otherwise(0).alias("links"))

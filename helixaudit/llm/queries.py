@@ -18,7 +18,7 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p1_families(spark: SparkSession, folder: str) -> DataFrame:
-    """One row per record with 40 letters or more that has a near duplicate: its family and number of links."""
+    """One row per record with 40 letters or more: the first record with its text, its family and number of links."""
     return near_duplicates.families(_table(spark, folder, "enhancers_train"))
 
 

@@ -78,6 +78,30 @@ def test_families_are_the_components_of_the_pairs(spark, collection):
     assert sum(r["links"] for r in rows.values()) == 2 * len(pairs)
 
 
+def test_families_have_every_record_once(spark, collection):
+    rows = [(100_000 + n, collection[4][1]) for n in range(30)] + [(200_000, "ACGTTGCAAC" * 9 + "TTGAC"), (200_001, "acgttgcaac" * 9 + "ttgac")] + collection
+    first = {}
+    for n, t in sorted((n, clean(t)) for n, t in rows):
+        if len(t) >= 40:
+            first.setdefault(t, n)
+    parent = {n: n for n in first.values()}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    pairs = [tuple(r) for r in near_duplicates.near_duplicate_pairs(frame(spark, rows)).select("seq_a", "seq_b").collect()]
+    for a, b in pairs:
+        a, b = find(a), find(b)
+        parent[max(a, b)] = min(a, b)
+    want = {(n, first[t], find(first[t]), sum(n in p for p in pairs)) for n, t in ((n, clean(t)) for n, t in rows) if len(t) >= 40}
+    got = [tuple(r) for r in near_duplicates.families(frame(spark, rows)).select("seq_no", "first_no", "family", "links").collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    # Copies, a family of copies alone, and records on their own.
+    assert (200_001, 200_000, 200_000, 0) in want and sum(n >= 100_000 for n, *_ in want) == 32 and len({f for *_, f, _ in want}) > 20
+
+
 def test_equal_lists_and_size_blocks():
     import numpy as np
 
