@@ -249,14 +249,14 @@ def worker_scorer(models: Models) -> Scorer:
     return _scorers[0]
 
 
-def identify(documents: DataFrame, sample: int = SAMPLE) -> DataFrame:
+def identify(documents: DataFrame, sample: int = SAMPLE, bare: bool = False) -> DataFrame:
     """(doc_id, cell_no, lang, confidence, characters, named, main) of documents and markdown cells.
 
     ``cell_no`` 0 is the document: the language with the most characters in its markdown cells, with
     the mean confidence of the cells that have it; ``named`` is the language its label names and ``main`` that of the document, on all its rows. Other
     rows are its markdown cells; a rejected cell has a null language. Documents without markdown
-    cells (null, empty and blank texts among them) give no rows; if all cells are rejected the
-    document's language is null.
+    cells (null, empty and blank texts among them) give no rows, or with ``bare`` one of cell 0 without language and confidence;
+    if all cells are rejected the document's language is null.
     """
     models = documents.sparkSession.sparkContext.broadcast(train(documents, sample))
     kind = "doc_id bigint, cell_no int, lang string, confidence double, characters bigint, named string, main string"
@@ -266,13 +266,17 @@ def identify(documents: DataFrame, sample: int = SAMPLE) -> DataFrame:
         for batch in batches:
             found = [markdown_cells(t) if t else [] for t in batch.column(1).to_pylist()]
             cells = [c for f in found for c in f]
-            if not cells:
+            if cells:
+                lang, confidence = decide(*scorer.score([c for _, c in cells]), models.value)
+            elif bare:
+                lang, confidence = np.zeros(0, np.int64), np.zeros(0)
+            else:
                 continue
-            lang, confidence = decide(*scorer.score([c for _, c in cells]), models.value)
-            size = np.array([len(c) for _, c in cells])
+            size = np.array([len(c) for _, c in cells], np.int64)
             doc = np.repeat(np.arange(len(found)), [len(f) for f in found])
-            number = np.array([i for i, _ in cells])
-            some = np.unique(doc)
+            number = np.array([i for i, _ in cells], np.int64)
+            some = np.arange(len(found)) if bare else np.unique(doc)
+            without = np.concatenate([np.bincount(doc, minlength=len(found))[some] == 0, np.zeros(len(doc), bool)])
             weight = np.zeros((len(found), len(LANGUAGES)))
             sure = np.zeros_like(weight)
             ok = lang >= 0
@@ -288,7 +292,7 @@ def identify(documents: DataFrame, sample: int = SAMPLE) -> DataFrame:
                     batch.column(0).take(pa.array(which)),
                     pa.array(np.concatenate([np.zeros(len(some), np.int32), number]), pa.int32()),
                     pa.array(np.array(LANGUAGES, object)[code], pa.string(), mask=code < 0),
-                    pa.array(np.concatenate([np.where(main[some] >= 0, main_confidence[some], 0.0), confidence])),
+                    pa.array(np.concatenate([np.where(main[some] >= 0, main_confidence[some], 0.0), confidence]), mask=without),
                     pa.array(np.concatenate([np.bincount(doc, size, len(found))[some], size]).astype(np.int64)),
                     batch.column(2).take(pa.array(which)),
                     pa.array(np.array(LANGUAGES, object)[main[which]], pa.string(), mask=main[which] < 0),
@@ -300,6 +304,15 @@ def identify(documents: DataFrame, sample: int = SAMPLE) -> DataFrame:
     return spread(rows).mapInArrow(run, kind)
 
 
+def all_languages(documents: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """(doc_id, cell_no, lang, confidence) of every document (cell 0) and every markdown cell.
+
+    A rejected cell, or a document of such cells alone, has a null language and its confidence; a document without
+    markdown cells has a single row of cell 0 with both null.
+    """
+    return identify(documents, sample, True).select("doc_id", "cell_no", "lang", "confidence")
+
+
 def main_languages(documents: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """(doc_id, lang, confidence, named) of the documents with markdown cells."""
     return identify(documents, sample).where(F.col("cell_no") == 0).select("doc_id", "lang", "confidence", "named")

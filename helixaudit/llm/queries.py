@@ -73,8 +73,8 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p10_languages(spark: SparkSession, folder: str) -> DataFrame:
-    """Every document's language with its confidence."""
-    return languages.main_languages(_table(spark, folder, "documents")).select("doc_id", "lang", "confidence")
+    """The language of every document (cell 0) and every markdown cell, with its confidence."""
+    return languages.all_languages(_table(spark, folder, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

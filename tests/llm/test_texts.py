@@ -133,6 +133,19 @@ def test_languages_of_documents_and_cells(spark):
     assert all(0.6 <= r["confidence"] <= 1 for r in main.values() if r["lang"])
 
 
+def test_every_document_and_cell_has_a_confidence(spark):
+    df, _ = language_rows(spark)
+    rows = languages.all_languages(df).collect()
+    found = {(r["doc_id"], r["cell_no"]): (r["lang"], r["confidence"]) for r in rows}
+    assert {d for d, c in found if c == 0} == {r["doc_id"] for r in df.select("doc_id").collect()}
+    # Null, empty, blank and code-only documents; a document whose cells are all rejected keeps its confidence.
+    assert all(found[d, 0] == (None, None) and not any(x == d and c for x, c in found) for d in (600, 601, 602, 603, 605))
+    assert found[604, 0] == (None, 0.0)
+    assert found[500, 7][0] == "fr" and 0.6 <= found[500, 7][1] <= 1 and all(v[1] is not None for (_, c), v in found.items() if c)
+    alone = languages.all_languages(df.where("doc_id < 160 or doc_id = 603").repartition(40)).collect()
+    assert [tuple(r)[1:] for r in alone if r["doc_id"] == 603] == [(0, None, None)]
+
+
 def test_held_out_accuracy(spark):
     df, rows = language_rows(spark)
     models = languages.train(df.where("doc_id % 2 = 0"))
