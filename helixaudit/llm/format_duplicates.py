@@ -22,8 +22,8 @@ def canonical(sequence: Column) -> Column:
     return F.array_join(F.array_sort(F.filter(parts, lambda p: p != "")), "|")
 
 
-def kept_texts(df: DataFrame, least: int = 20, text: str = "sequence", number: str = "seq_no") -> DataFrame:
-    """(text, first_no, last_no, kept_no, copies): each distinct raw text with the record kept for it.
+def kept_texts(df: DataFrame, least: int = 20, text: str = "sequence", number: str = "seq_no", fewest: int = 2) -> DataFrame:
+    """(text, first_no, last_no, kept_no, copies): each distinct raw text of a group of ``fewest`` records or more with the record kept for it.
 
     ``copies`` counts the records (not deliveries) of the whole canonical group, the kept one
     included. Null texts and numbers, and texts whose parts have fewer than ``least`` letters in
@@ -35,7 +35,7 @@ def kept_texts(df: DataFrame, least: int = 20, text: str = "sequence", number: s
     # Written once: both the groups and their members are read from it.
     raw = write_once(raw.withColumn("canon", canonical(F.col("text"))).where(F.length(F.translate("canon", "|", "")) >= least), "raw")
     groups = raw.groupBy("canon").agg(F.min("first_no").alias("kept_no"), F.sum("n").alias("copies"), F.count(F.lit(1)).alias("forms"))
-    return raw.join(groups.where((F.col("copies") > 1)), "canon").select("text", "first_no", "last_no", "kept_no", "copies")
+    return raw.join(groups.where(F.col("copies") >= fewest), "canon").select("text", "first_no", "last_no", "kept_no", "copies")
 
 
 def format_copies(df: DataFrame, least: int = 20, text: str = "sequence", number: str = "seq_no") -> DataFrame:
@@ -52,6 +52,6 @@ def format_copies(df: DataFrame, least: int = 20, text: str = "sequence", number
     return one.unionByName(more).where(F.col("kept_no") != F.col("copy_no"))
 
 
-def format_groups(df: DataFrame, least: int = 20, text: str = "sequence", number: str = "seq_no") -> DataFrame:
-    """(kept_no, copies): one row for each group of two records or more."""
-    return kept_texts(df, least, text, number).groupBy("kept_no").agg(F.max("copies").alias("copies"))
+def format_groups(df: DataFrame, least: int = 20, text: str = "sequence", number: str = "seq_no", fewest: int = 2) -> DataFrame:
+    """(kept_no, copies): one row for each group of ``fewest`` records or more; all groups from 1 are the collapsed collection."""
+    return kept_texts(df, least, text, number, fewest).groupBy("kept_no").agg(F.max("copies").alias("copies"))

@@ -44,6 +44,11 @@ def p4_shared(spark: SparkSession, folder: str) -> DataFrame:
     return shared_spans.shared_letters(_table(spark, folder, "enhancers_train"))
 
 
+def p4_letters(spark: SparkSession, folder: str) -> DataFrame:
+    """Shared letters of every record, 0 for those that share nothing; p4_shared has only the others."""
+    return shared_spans.shared_letters(_table(spark, folder, "enhancers_train"), every=True)
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return format_duplicates.format_copies(_table(spark, folder, "enhancers_train"))
 
@@ -52,6 +57,11 @@ def p5_groups(spark: SparkSession, folder: str) -> DataFrame:
     return format_duplicates.format_groups(_table(spark, folder, "enhancers_train"))
 
 
+def p5_collapsed(spark: SparkSession, folder: str) -> DataFrame:
+    """The collapsed collection with counts, groups of one included; p5_groups has only larger ones."""
+    return format_duplicates.format_groups(_table(spark, folder, "enhancers_train"), fewest=1)
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return components.hit_groups(_table(spark, folder, "mmseqs2_search_result"))
 
@@ -78,7 +88,7 @@ def p10_languages(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_families, p2_found, p2_report, p3_found, p4_found, p4_shared, p5_found, p5_groups, p6_found, p8_ids, p9_mix, p9_shares, p10_found, p10_languages)}
+    return {f.__name__: f for f in (p1_found, p1_families, p2_found, p2_report, p3_found, p4_found, p4_shared, p4_letters, p5_found, p5_groups, p5_collapsed, p6_found, p8_ids, p9_mix, p9_shares, p10_found, p10_languages)}
 
 
 def _cleaned(c: str) -> str:
@@ -142,4 +152,6 @@ SELECT query, target FROM b QUALIFY row_number() OVER (PARTITION BY query ORDER
         "p4_shared": f"{_SPANS} SELECT f.seq_no, any_value(length(s))::int AS letters, count(*) AS spans, sum(span_end - span_start + 1)::bigint AS shared FROM f JOIN r USING (seq_no) GROUP BY f.seq_no",
         "p5_found": f"SELECT kept_no, seq_no AS copy_no FROM ({_GROUPS}) WHERE seq_no <> kept_no",
         "p5_groups": f"SELECT kept_no, count(*) AS copies FROM ({_GROUPS}) GROUP BY kept_no HAVING count(*) > 1",
+        "p4_letters": f"{_SPANS} SELECT r.seq_no, any_value(length(s))::int AS letters, count(span_end) AS spans, coalesce(sum(span_end - span_start + 1), 0)::bigint AS shared FROM r LEFT JOIN f USING (seq_no) GROUP BY r.seq_no",
+        "p5_collapsed": f"SELECT kept_no, count(*) AS copies FROM ({_GROUPS}) GROUP BY kept_no",
     }

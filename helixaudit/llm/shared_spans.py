@@ -213,8 +213,12 @@ def shared_spans(df: DataFrame, span: int = 60, text: str = "sequence", number:
     return single.unionByName(whole)
 
 
-def shared_letters(df: DataFrame, span: int = 60, text: str = "sequence", number: str = "seq_no") -> DataFrame:
-    """(seq_no, letters, spans, shared): for each record with a shared span, its letters, and how many of them are shared."""
+def shared_letters(df: DataFrame, span: int = 60, text: str = "sequence", number: str = "seq_no", every: bool = False) -> DataFrame:
+    """(seq_no, letters, spans, shared): for each record with a shared span, its letters, and how many of them are shared.
+
+    With ``every``, records that share nothing have a row too, with no spans and 0 letters shared.
+    """
     rows = df.select(F.col(number).cast("bigint").alias("seq_no"), F.length(cleaned(F.col(text))).alias("letters")).dropna().distinct()
     found = shared_spans(df, span, text, number).groupBy("seq_no").agg(F.count(F.lit(1)).alias("spans"), F.sum(F.col("span_end") - F.col("span_start") + 1).alias("shared"))
-    return rows.join(found, "seq_no").select("seq_no", "letters", "spans", "shared")
+    rows = rows.join(found, "seq_no", "left" if every else "inner")
+    return rows.select("seq_no", "letters", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("spans", "shared")])

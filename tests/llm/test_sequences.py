@@ -286,3 +286,15 @@ def test_buckets_of_fewer_postings_than_a_frequent_seed(spark):
     assert hot_seeds.FREQUENT == 48
     assert hot_seeds.frequent_seeds(texts, 200)[0].any()
     assert want <= {tuple(r) for r in near_duplicates.candidates(texts, 200, 0.5).collect()}
+
+
+def test_records_that_share_nothing_and_groups_of_one(spark):
+    rng = random.Random(17)
+    text = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+    base = text(100)
+    rows = list(enumerate([base, base[20:] + text(30), text(90), text(30), "", None, base.lower()]))
+    got = {tuple(r) for r in shared_spans.shared_letters(frame(spark, rows), every=True).collect()}
+    assert {r for r in got if r[0] in (2, 3, 4, 5)} == {(2, 90, 0, 0), (3, 30, 0, 0), (4, 0, 0, 0), (5, 0, 0, 0)}
+    assert len(got) == 7 and {r for r in got if r[3]} == {tuple(r) for r in shared_spans.shared_letters(frame(spark, rows)).collect()}
+    groups = {tuple(r) for r in format_duplicates.format_groups(frame(spark, rows), fewest=1).collect()}
+    assert groups == {(0, 2), (1, 1), (2, 1), (3, 1)}
