@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from pathlib import Path, PurePath
 
 from ..sources.tables import COMPRESSED, FORMATS
@@ -26,30 +24,40 @@ def stem(path: str) -> str:
     return name[: len(name) - len(known)]
 
 
+#: Characters of a segment besides letters; a dash stands for every stretch of others.
+PLAIN = frozenset("abcdefghijklmnopqrstuvwxyz0123456789._-")
+
+
+def _cut(name: str, room: int = LONGEST) -> str:
+    """The first ``room`` characters without marks at either end."""
+    return name.strip(TRIM)[:room].strip(TRIM)
+
+
 def slug(text: object, fallback: str = FALLBACK) -> str:
-    """Lower case; all but letters a-z, digits, dot, dash and underscore become dashes; at most ``LONGEST`` characters."""
-    out = re.sub(r"[^a-z0-9._-]+", "-", str(text).strip().lower())
-    out = re.sub("-{2,}", "-", out).strip(TRIM)[:LONGEST].strip(TRIM)
-    return fallback if not out or out in RESERVED else out
+    """Lower case; every stretch of dashes and of other characters than ``PLAIN`` is one dash; no marks at the ends; at most ``LONGEST`` characters."""
+    spaced = "".join(c if c in PLAIN and c != "-" else " " for c in str(text).strip().lower())
+    name = _cut("-".join(f" {spaced} ".split()))
+    return name if name and name not in RESERVED else fallback
+
+
+def _numbered(base: str, number: int) -> str:
+    tail = f"-{number}" if number > 1 else ""
+    return _cut(base, LONGEST - len(tail)) + tail
 
 
 def unique_slugs(texts: list, hints: list | None = None) -> list[str]:
     """One slug per text, all different. Slugs that are unique stay; others get their hint (as a parent folder) before them, then a number."""
-    plain = [slug(t) for t in texts]
-    often = Counter(plain)
-    taken = {p for p in plain if often[p] == 1}
-    out = []
-    for text, own, hint in zip(texts, plain, hints or [None] * len(texts)):
-        if often[own] > 1:
-            lead = slug(hint, "") if hint is not None else ""
-            start = f"{lead}-{own}"[:LONGEST].strip(TRIM) if lead else own
-            own, k = start, 1
-            while own in taken:
-                k += 1
-                own = start[: LONGEST - len(f"-{k}")].strip(TRIM) + f"-{k}"
-            taken.add(own)
-        out.append(own)
-    return out
+    groups: dict[str, list[int]] = {}
+    for place, text in enumerate(texts):
+        groups.setdefault(slug(text), []).append(place)
+    names = {places[0]: name for name, places in groups.items() if len(places) == 1}
+    clashing = sorted((place, name) for name, places in groups.items() if len(places) > 1 for place in places)
+    for place, name in clashing:
+        parent = slug(hints[place], "") if hints and hints[place] is not None else ""
+        base = _cut("-".join(filter(None, (parent, name))))
+        held = set(names.values())
+        names[place] = next(n for n in (_numbered(base, k) for k in range(1, len(texts) + 2)) if n not in held)
+    return [names[place] for place in range(len(texts))]
 
 
 def column_folders(columns: list[str]) -> list[str]:

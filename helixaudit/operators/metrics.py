@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from ..session import write_once
 from .features import FEATURES, Feature, alphabets, histograms
 
+#: Type of counts that are multiplied with one another.
+COUNT = "decimal(15,0)"
 #: Sequences that the smaller class needs to be scored (fixed value).
 FLOOR = 250
 #: AU-ROC above which a feature is a warning or a failure (fixed values).
@@ -83,17 +85,18 @@ def tie_group_metrics(counts: DataFrame, keys: list[str]) -> DataFrame:
     out = rows.groupBy(*keys).agg(
         F.first("n1").alias("n1"),
         F.first("n2").alias("n2"),
-        F.sum(a * (2 * (cb - b) + b)).alias("u2"),
+        F.sum(a.cast(COUNT) * (2 * (cb - b) + b).cast(COUNT)).alias("u2"),
         F.sum(F.try_divide(share * above_a, above_a + above_b)).alias("ap_up"),
         F.sum(F.try_divide(share * ca, ca + cb)).alias("ap_down"),
         F.max(n1 - ca + cb).alias("cut_up"),
         F.max(ca + n2 - cb).alias("cut_down"),
     )
-    down = F.col("u2") < n1 * n2
+    both = n1.cast(COUNT) * n2.cast(COUNT)
+    down = F.col("u2") < both
     best = F.greatest(n1, n2, F.when(down, F.col("cut_down")).otherwise(F.col("cut_up")))
     return out.select(
         *keys,
-        F.try_divide(F.greatest(F.col("u2"), 2 * n1 * n2 - F.col("u2")).cast("double"), 2.0 * n1 * n2).alias("auroc"),
+        F.try_divide(F.greatest(F.col("u2"), 2 * both - F.col("u2")).cast("double"), (2 * both).cast("double")).alias("auroc"),
         F.when(down, F.col("ap_down")).otherwise(F.col("ap_up")).alias("aupr"),
         F.try_divide(best.cast("double"), n1 + n2).alias("accuracy"),
     )
@@ -102,19 +105,25 @@ def tie_group_metrics(counts: DataFrame, keys: list[str]) -> DataFrame:
 def two_by_two(m1: Column, c1: Column, m2: Column, c2: Column) -> tuple[Column, Column, Column]:
     """AU-ROC, average precision and best accuracy of a yes/no feature, in closed form.
 
-    ``m`` of the ``c`` sequences of a class have it. Agrees with :func:`tie_group_metrics` on the two values.
+    ``m`` of the ``c`` sequences of a class have it. The feature has two tie groups, with and without it, so these are the
+    sums of :func:`tie_group_metrics` written out for both ways of ranking them: twice the Mann-Whitney statistic is
+    m1 * (2 * (c2 - m2) + m2) + (c1 - m1) * (c2 - m2), and either way the group ranked last holds all sequences.
     """
-    m1, c1, m2, c2 = (c.cast("double") for c in (m1, c1, m2, c2))
-    p1, p2 = m1 / c1, m2 / c2
-    turned = p1 < p2
-    h1, h2 = F.when(turned, c1 - m1).otherwise(m1), F.when(turned, c2 - m2).otherwise(m2)
-    prevalence = c1 / (c1 + c2)
-    recall = h1 / c1
-    precision = F.coalesce(F.try_divide(h1, h1 + h2), F.lit(0.0))
+    # Products of two counts pass 64 bits at some billions of sequences.
+    m1, c1, m2, c2 = (c.cast(COUNT) for c in (m1, c1, m2, c2))
+    twice = m1 * (2 * c2 - m2) + (c1 - m1) * (c2 - m2)
+    without = twice < c1 * c2
+
+    def ranked_first(a: Column, b: Column) -> tuple[Column, Column]:
+        # The group of a and b sequences comes first; all c1 + c2 follow. An empty group adds nothing.
+        head = F.coalesce(F.try_divide((a * a).cast("double"), (c1 * (a + b)).cast("double")), F.lit(0.0))
+        return head + F.try_divide((c1 - a).cast("double"), (c1 + c2).cast("double")), F.greatest(a + c2 - b, c1, c2)
+
+    (with_ap, with_hit), (other_ap, other_hit) = ranked_first(m1, m2), ranked_first(c1 - m1, c2 - m2)
     return (
-        0.5 + 0.5 * F.abs(p1 - p2),
-        F.when(h1 + h2 > 0, precision * recall + prevalence * (1.0 - recall)).otherwise(prevalence),
-        F.greatest(c1, c2, h1 + c2 - h2) / (c1 + c2),
+        F.try_divide(F.greatest(twice, 2 * c1 * c2 - twice).cast("double"), (2 * c1 * c2).cast("double")),
+        F.when(without, other_ap).otherwise(with_ap),
+        F.try_divide(F.when(without, other_hit).otherwise(with_hit).cast("double"), (c1 + c2).cast("double")),
     )
 
 
