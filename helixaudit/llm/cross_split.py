@@ -31,7 +31,7 @@ from ..functions.cleaning import cleaned
 from ..session import parallelism, spread, write_once
 from ..sources.hits import complete_hits, id_number
 from . import hot_seeds, kmers
-from .near_duplicates import BUCKET_POSTINGS, bucket_count, verified
+from .near_duplicates import BUCKET_POSTINGS, MOST_BUCKETS, bucket_count, verified
 from .seeds import KEY_BITS, SEED, WINDOW, Exchange, by_bucket, class_span, gathered, keyed, longest_run, set_sizes, size_class
 
 #: Bits of the seed bitmap: 64 for each indexed seed, within these bounds (at most 128 MB).
@@ -198,7 +198,7 @@ def candidates(left: DataFrame, right: DataFrame, indexed: DataFrame, probed: Da
         buckets = bucket_count(every, 1.0)
         marks, bits = hot_seeds.frequent_seeds(every, buckets)
         known = left.sparkSession.sparkContext.broadcast(marks)
-        sides = [hot_seeds.prefix_postings(t, buckets, threshold, known, bits) for t in texts]
+        sides = [hot_seeds.prefix_postings(t, buckets, threshold, known, bits, kinds=False) for t in texts]
         pairs = pairs.unionAll(meet(*sides, buckets, threshold).select("a", "b"))
     return pairs.distinct()
 
@@ -222,7 +222,7 @@ def overlaps_by_text(evaluation: DataFrame, training: DataFrame, threshold: floa
     letters = left.agg(F.sum(F.length("text").cast("bigint"))).first()[0] or 0
     seeds = letters // 8 + 1
     bits = int(min(max(LEAST_BITS, (64 * seeds - 1).bit_length()), MOST_BITS))
-    buckets = int(min(max(parallelism(spark), 2 * seeds / BUCKET_POSTINGS), 1 << 18))
+    buckets = int(min(max(parallelism(spark), 2 * seeds / BUCKET_POSTINGS), MOST_BUCKETS))
     indexed = write_once(index(left, buckets, threshold), "index")
     bitmap = spark.sparkContext.broadcast(seed_bitmap(indexed, buckets, bits))
     pairs = write_once(candidates(left, right, indexed, probes(right, bitmap, bits, buckets), buckets, threshold), "candidates")

@@ -25,6 +25,8 @@ from .seeds import KEY_BITS, LEAST_GAP, SEED, WINDOW, Exchange, by_bucket, gathe
 
 #: Records that make a seed frequent.
 FREQUENT = 48
+#: Members of one block of a frequent seed in the second index.
+BLOCK_MEMBERS = 1_000_000
 #: Bits of the bitmap, at least and at most (32 MB).
 LEAST_BITS, MOST_BITS = 20, 28
 
@@ -60,6 +62,28 @@ def all_seeds(letters: np.ndarray, offsets: np.ndarray):
     return pair >> KEY_BITS, pair & ((1 << KEY_BITS) - 1), sizes, np.bincount(rec, minlength=len(sizes))
 
 
+def blocks_for(texts: DataFrame) -> int:
+    """Blocks into which the members of frequent seeds are split: as many as hold ``BLOCK_MEMBERS`` of all the texts."""
+    return -(-texts.count() // BLOCK_MEMBERS) or 1
+
+
+def blocks_of(pair: int, salts: int) -> tuple[int, int]:
+    """The two blocks of a pair number: (0, 0), (0, 1), ..., (1, 1), ..."""
+    return next((one, one + pair - before) for one in range(salts - 1, -1, -1) if (before := one * salts - one * (one - 1) // 2) <= pair)
+
+
+def split_postings(number: np.ndarray, seed: np.ndarray, often: np.ndarray, buckets: int, salts: int):
+    """(row, bucket) of each posting to send: those of frequent seeds go to all pairs of blocks with theirs, others to their bucket."""
+    bucket = seed * buckets >> KEY_BITS
+    if salts == 1:
+        return np.arange(len(seed)), bucket
+    plain, hot = np.flatnonzero(~often), np.repeat(np.flatnonzero(often), salts)
+    own, other = number[hot] % salts, np.tile(np.arange(salts), int(often.sum()))
+    one, two = np.minimum(own, other), np.maximum(own, other)
+    pair = one * salts - one * (one - 1) // 2 + two - one
+    return np.concatenate([plain, hot]), np.concatenate([bucket[plain], bucket[hot] + buckets * (1 + pair)])
+
+
 def seeds_once(texts: DataFrame, buckets: int) -> DataFrame:
     """(bucket, postings) of all distinct seeds of each text, without the text."""
 
@@ -94,10 +118,11 @@ def bitmap(rows: DataFrame, buckets: int, bits: int, least: int) -> np.ndarray:
     return whole
 
 
-def prefix_postings(texts: DataFrame, buckets: int, threshold: float, known, bits: int) -> DataFrame:
-    """(bucket, postings) of (rep, text): seed, rep, size class, for the seeds a text may not drop.
+def prefix_postings(texts: DataFrame, buckets: int, threshold: float, known, bits: int, salts: int = 1, kinds: bool = True) -> DataFrame:
+    """(bucket, postings) of (rep, text): seed, rep, kind (or size class), for the seeds a text may not drop.
 
-    Texts with many repeats inside, where seeds and windows don't run in parallel, drop nothing.
+    With ``salts`` over 1 the members of a frequent seed are split into so many blocks, and each pair of blocks
+    has a bucket of its own, so a seed that a third of all texts hold fills no task. Texts with many repeats inside, where seeds and windows don't run in parallel, drop nothing.
     """
 
     def run(batches):
@@ -117,8 +142,10 @@ def prefix_postings(texts: DataFrame, buckets: int, threshold: float, known, bit
                 keep = n - np.where(plain, least_common(sizes, threshold) - 1, 0)
                 rank = np.arange(len(rec)) - (np.cumsum(n) - n)[rec]
                 use = rank < keep[rec]
-                rec, seed = rec[use], seed[use]
-                yield from out.add(seed, rep[first + rec], size_class(sizes)[rec])
+                rec, seed, often = rec[use], seed[use], often[order][use].astype(bool)
+                row, bucket = split_postings(rep[first + rec], seed, often, buckets, salts)
+                rec, seed = rec[row], seed[row]
+                yield from out.add(seed, rep[first + rec], size_class(sizes)[rec] << kinds, bucket=bucket)
         yield from out.flush()
 
     return spread(texts.select("rep", "text")).mapInArrow(run, Exchange.ddl)

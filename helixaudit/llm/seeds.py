@@ -60,6 +60,37 @@ def size_class(sizes: np.ndarray) -> np.ndarray:
     return np.floor(8 * np.log2(np.maximum(sizes, 1))).astype(np.int64).clip(0, 255)
 
 
+def class_bounds() -> tuple[np.ndarray, np.ndarray]:
+    """Sizes that each class spans, a little wide of rounding."""
+    edge = 2.0 ** (np.arange(257) / 8)
+    return np.ceil(edge[:-1] - 1e-6), np.ceil(edge[1:] + 1e-6) - 1
+
+
+@lru_cache(maxsize=8)
+def shared_seeds(threshold: float) -> np.ndarray:
+    """[class, class]: selected seeds that two similar records of these size classes have in common, at least.
+
+    It holds for records all of whose windows are distinct. They have O >= t/(1+t)*(m+b) windows in common, in at most
+    R = (m-O)/LEAST_GAP + 1 runs. A run of L windows holds L-6 seeds, so at least (L-6-(w-1))/w minima of width
+    w, and w is that of the larger record. The bound (O - R*(w+5))/w is linear in both sizes, so it is least at the ends of the
+    classes; from the largest table size on, where widths no longer grow, it stays valid.
+    """
+    low, high = class_bounds()
+    width = widths(np.ceil(np.minimum(high, 1e6) * threshold).astype(np.int64), threshold).astype(float)
+    out = np.ones((256, 256), np.int64)
+    for ends in (low, high):
+        m = ends[:, None]
+        b = np.maximum(low[None, :], m)
+        common = threshold / (1 + threshold) * (m + b)
+        runs = np.maximum(m - common, 0) / LEAST_GAP + 1
+        w = width[None, :]
+        bound = np.ceil((common - runs * (w + SEED - WINDOW - 1)) / w - 1e-6).clip(1, 1 << 30).astype(np.int64)
+        out = bound if ends is low else np.minimum(out, bound)
+    # The row is the smaller one of the two classes.
+    upper = np.triu(out)
+    return upper + np.triu(out, 1).T
+
+
 def class_span(threshold: float) -> int:
     """Classes that the sizes of two similar records can lie apart."""
     return math.ceil(8 * math.log2(1 / threshold)) + 1
@@ -80,7 +111,8 @@ def keyed(h: np.ndarray) -> np.ndarray:
 
 
 def minimum_seeds(letters: np.ndarray, offsets: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(record, seed of KEY_BITS bits, size class) of the seeds that are local minima.
+    """(record, seed of KEY_BITS bits, kind) of the seeds that are local minima; ``kind`` is twice the size class, and one more
+    for a record whose windows are all distinct.
 
     A record uses the width that is safe for the smallest partner it can have. Minima of a wide
     window are minima of the narrower windows in it, so a pair meets in the seeds that the
@@ -93,71 +125,101 @@ def minimum_seeds(letters: np.ndarray, offsets: np.ndarray, threshold: float) ->
         return none, none, none
     sizes = set_sizes(letters, offsets, owner)
     width = widths(np.ceil(sizes * threshold).astype(np.int64), threshold)
-    chosen = np.zeros(len(h), bool)
+    kind = 2 * size_class(sizes) + (sizes == np.maximum(np.diff(offsets) - WINDOW + 1, 0))
+    parts = []
     for w in np.unique(width):
-        if w == 1:
-            own = np.flatnonzero(inside)
-        else:
-            own = kmers.local_minima(h, owner, SEED, int(w))
-        own = own[width[owner[own]] == w]
-        chosen[own] = True
-    at = np.flatnonzero(chosen & inside)
-    rec = owner[at]
-    return rec.astype(np.int64), keyed(h[at]), size_class(sizes)[rec]
-
-
-_DTYPES = (np.uint8, np.uint16, np.uint32, np.uint64)
+        # Each width works on the letters of its own records.
+        own = np.flatnonzero((width == w)[owner]) if len(width) > 1 else np.arange(len(letters))
+        # No seed begins in the last letters of the last record.
+        begin = own[: max(0, len(own) - SEED + 1)]
+        own_h, own_inside, own_owner = h[begin], inside[begin], owner[own]
+        at = np.flatnonzero(own_inside) if w == 1 else kmers.local_minima(own_h, own_owner, SEED, int(w))
+        at = at[own_inside[at]]
+        parts.append((own_owner[at].astype(np.int64), own_h[at]))
+    rec, h = (np.concatenate(x) for x in zip(*parts))
+    return rec, keyed(h), kind[rec]
 
 
 def packed(values: np.ndarray) -> bytes:
-    """Integers as an offset and the narrowest unsigned type that holds them."""
+    """Integers as an offset and the fewest bytes each that hold them."""
     values = values.astype(np.int64)
     low = int(values.min()) if len(values) else 0
     span = int(values.max()) - low if len(values) else 0
-    code = 0 if span < 1 << 8 else 1 if span < 1 << 16 else 2 if span < 1 << 32 else 3
-    head = np.array([code, low, len(values)], np.int64).tobytes()
-    return head + (values - low).astype(_DTYPES[code]).tobytes()
+    width = max(1, (span.bit_length() + 7) // 8)
+    head = np.array([width, low, len(values)], np.int64).tobytes()
+    return head + np.ascontiguousarray((values - low).view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
 
 
 def unpacked(data: memoryview) -> tuple[np.ndarray, memoryview]:
     """The first packed array of ``data`` and what follows it."""
-    code, low, n = (int(x) for x in np.frombuffer(data[:24], np.int64))
-    kind = np.dtype(_DTYPES[code])
-    end = 24 + n * kind.itemsize
-    return np.frombuffer(data[24:end], kind).astype(np.int64) + low, data[end:]
+    width, low, n = (int(x) for x in np.frombuffer(data[:24], np.int64))
+    end = 24 + n * width
+    wide = np.zeros((n, 8), np.uint8)
+    wide[:, :width] = np.frombuffer(data[24:end], np.uint8).reshape(n, width)
+    return wide.view(np.int64).reshape(-1) + low, data[end:]
 
 
 class Exchange:
-    """Collects postings of a map task and turns them into one packed row per bucket."""
+    """Collects postings of a map task and turns them into one packed row per bucket.
+
+    With ``longest``, only so many postings of a seed and one more are sent from each flush (the seed is longer than that for
+    all tasks then), and the numbers in the first column of the others are sent once, in buckets below zero, so that
+    no seed, however frequent, fills a bucket.
+    """
 
-    schema = pa.schema([("bucket", pa.int32()), ("postings", pa.binary())])
-    ddl = "bucket int, postings binary"
+    schema = pa.schema([("bucket", pa.int64()), ("postings", pa.binary())])
+    ddl = "bucket bigint, postings binary"
 
-    def __init__(self, buckets: int, most: int = 3_000_000):
-        self.buckets, self.most, self.held, self.n = buckets, most, [], 0
+    def __init__(self, buckets: int, most: int = 3_000_000, longest: int | None = None):
+        self.buckets, self.most, self.longest, self.held, self.n = buckets, most, longest, [], 0
 
-    def add(self, seed: np.ndarray, *columns: np.ndarray):
-        """Take postings; yields packed rows when enough are held."""
-        self.held.append((seed, *columns))
+    def add(self, seed: np.ndarray, *columns: np.ndarray, bucket: np.ndarray | None = None):
+        """Take postings; yields packed rows when enough are held. Without ``bucket`` it is the seed's range."""
+        self.held.append((seed, seed * self.buckets >> KEY_BITS if bucket is None else bucket, *columns))
         self.n += len(seed)
         if self.n >= self.most:
             yield from self.flush()
 
+    def rows(self, bucket: np.ndarray, blobs: list[bytes]):
+        # Rows go out in small batches: a blob column of a wide batch would be hundreds of MB.
+        for i in range(0, len(blobs), 64):
+            yield pa.record_batch([pa.array(bucket[i : i + 64], pa.int64()), pa.array(blobs[i : i + 64], pa.binary())], schema=self.schema)
+
     def flush(self):
         if not self.n:
             return
-        seed, *columns = (np.concatenate(x) for x in zip(*self.held))
+        seed, bucket, *columns = (np.concatenate(x) for x in zip(*self.held))
         self.held, self.n = [], 0
         order = np.argsort(seed)
-        seed = seed[order]
-        columns = [c[order] for c in columns]
-        bucket = seed * self.buckets >> KEY_BITS
+        if (np.diff(bucket[order]) < 0).any():
+            order = np.lexsort((seed, bucket))
+        seed, bucket, columns = seed[order], bucket[order], [c[order] for c in columns]
+        if self.longest is not None:
+            drop = surplus(seed, columns[0], self.longest)
+            if drop.any():
+                alone = np.unique(columns[0][drop])
+                at = alone % self.buckets
+                order = np.argsort(at)
+                alone, at = alone[order], at[order]
+                cuts = np.append(np.flatnonzero(np.diff(at, prepend=-1)), len(at))
+                yield from self.rows(-1 - at[cuts[:-1]], [packed(alone[a:b]) for a, b in zip(cuts[:-1], cuts[1:])])
+                seed, bucket, columns = seed[~drop], bucket[~drop], [c[~drop] for c in columns]
         cuts = np.flatnonzero(np.diff(bucket)) + 1
         starts, ends = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(seed)]])
-        blobs = [packed(np.diff(seed[a:b], prepend=0)) + b"".join(packed(c[a:b]) for c in columns) for a, b in zip(starts, ends)]
-        # Rows go out in small batches: a blob column of a wide batch would be hundreds of MB.
-        for i in range(0, len(blobs), 64):
-            yield pa.record_batch([pa.array(bucket[starts[i : i + 64]], pa.int32()), pa.array(blobs[i : i + 64], pa.binary())], schema=self.schema)
+        yield from self.rows(bucket[starts], [packed(np.diff(seed[a:b], prepend=0)) + b"".join(packed(c[a:b]) for c in columns) for a, b in zip(starts, ends)])
+
+
+def surplus(seed: np.ndarray, number: np.ndarray, longest: int) -> np.ndarray:
+    """Marks the postings of sorted ``seed`` beyond ``longest`` + 1 different numbers of a seed, and their repetitions."""
+    start = np.flatnonzero(np.diff(seed, prepend=-1))
+    length = np.diff(np.append(start, len(seed)))
+    drop = np.zeros(len(seed), bool)
+    for at, n in zip(start[length > longest], length[length > longest]):
+        _, once = np.unique(number[at : at + n], return_index=True)
+        if len(once) > longest:
+            drop[at : at + n] = True
+            drop[at + once[: longest + 1]] = False
+    return drop
 
 
 def by_bucket(rows, buckets: int):

@@ -24,7 +24,7 @@ from ..functions.cleaning import cleaned
 from ..session import spread, write_once
 from . import kmers
 from .hot_seeds import bitmap as bitmap_of
-from .near_duplicates import bucket_count, distinct_texts
+from .near_duplicates import MOST_BUCKETS, bucket_count, distinct_texts, ranges
 from .seeds import KEY_BITS, Exchange, by_bucket, gathered, keyed, packed, unpacked
 
 #: Letters the gear hash rolls over.
@@ -65,12 +65,6 @@ def chunks(letters: np.ndarray, offsets: np.ndarray, span: int):
     return rec, first - offsets[rec], runs, keyed(gear[place[first]])
 
 
-def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Indices of all elements of the given ranges, one range after the other."""
-    ends = np.cumsum(lengths)
-    return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - lengths, lengths) + np.repeat(starts, lengths)
-
-
 def keys(texts: DataFrame, buckets: int, span: int) -> DataFrame:
     """(bucket, postings): chunk keys, each once per text."""
 
@@ -201,7 +195,7 @@ def shared_spans(df: DataFrame, span: int = 60, text: str = "sequence", number:
     bits = int(min(max(LEAST_BITS, (64 * (letters // 20 + 1)).bit_length()), MOST_BITS))
     bitmap = spark.sparkContext.broadcast(bitmap_of(keys(texts, buckets, span), buckets, bits, 2))
     # Chunks overlap: their letters are about 4 times those of the texts.
-    buckets = int(min(max(buckets, 4 * letters / BUCKET_LETTERS), 1 << 18))
+    buckets = int(min(max(buckets, 4 * letters / BUCKET_LETTERS), MOST_BUCKETS))
     alone = joined(covered(sent_chunks(texts, bitmap, bits, buckets, span), buckets, span))
     copied = texts.where(F.col("rep") != F.col("last"))
     # A text of several records is shared whole; the spans found above count for the others.

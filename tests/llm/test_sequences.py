@@ -102,16 +102,86 @@ def test_families_have_every_record_once(spark, collection):
     assert (200_001, 200_000, 200_000, 0) in want and sum(n >= 100_000 for n, *_ in want) == 32 and len({f for *_, f, _ in want}) > 20
 
 
+def joined_lists(seed, rep, size):
+    """Seeds in common of every pair of the lists of a bucket, as the operator counts them."""
+    import numpy as np
+
+    lists = near_duplicates.posting_lists(np.array(seed), np.array(rep), 2 * np.array(size))
+    found = defaultdict(int)
+    for a, b, common, _ in near_duplicates.join_lists(*lists, 0.5):
+        for x, y, n in zip(a.tolist(), b.tolist(), common.tolist()):
+            found[x, y] += n
+    return {p: n for p, n in found.items() if n}
+
+
 def test_equal_lists_and_size_blocks():
+    # Sizes 50 and 90 are too far apart, and equal lists count twice though they are joined once.
+    found = joined_lists([1, 1, 1, 2, 2, 2, 3, 3], [7, 8, 9, 7, 8, 9, 7, 10], [50, 52, 90, 50, 52, 90, 50, 51])
+    assert found == {(7, 8): 2, (7, 10): 1}
+
+
+def test_answers_derived_from_similar_lists(monkeypatch):
+    import numpy as np
+
+    rng = random.Random(19)
+    size_of = [rng.randrange(40, 70) for _ in range(60)]
+    lists = []
+    for _ in range(25):
+        base = set(rng.sample(range(60), rng.choice((2, 3, 8, 20))))
+        for _ in range(rng.choice((1, 4, 9))):
+            lists.append(base)
+            base = set(base)
+            for x in rng.sample(range(60), rng.choice((0, 0, 1, 2))):
+                base ^= {x}
+    postings = [(seed, rep) for seed, members in enumerate(lists) for rep in members] * 2
+    rng.shuffle(postings)
+    want = defaultdict(int)
+    for members in lists:
+        for a in members:
+            for b in members:
+                if a < b and abs(size_of[a] - size_of[b]) <= seeds.class_span(0.5):
+                    want[a, b] += 1
+    for block in (3, 500_000):
+        monkeypatch.setattr(near_duplicates, "PAIR_BLOCK", block)
+        assert joined_lists([s for s, _ in postings], [r for _, r in postings], [size_of[r] for _, r in postings]) == want
+    arrays = near_duplicates.posting_lists(*(np.array(x) for x in zip(*[(s, r, 2 * size_of[r]) for s, r in postings])))
+    tables = near_duplicates.list_tables(*arrays)
+    # Most lists are much like another one: fewer pairs are made than the lists have.
+    made = sum(len(i) for i, _ in near_duplicates.table_pairs(tables, seeds.class_span(0.5)))
+    assert made < 0.7 * sum(want.values()) and (tables.weight < 0).any() and (tables.weight > 2).any()
+
+
+def test_a_seed_of_very_many_texts_is_cut_short_before_the_exchange():
     import numpy as np
 
-    seed = np.array([1, 1, 1, 2, 2, 2, 3, 3])
-    rep = np.array([7, 8, 9, 7, 8, 9, 7, 10])
-    size = np.array([50, 52, 90, 50, 52, 90, 50, 51])
-    rep, size, group, length = near_duplicates.posting_lists(seed, rep, size)
-    assert length.tolist() == [3, 3, 2]
-    found = [tuple(p) for a, b in near_duplicates.join_lists(rep, size, group, 9) for p in zip(a.tolist(), b.tolist())]
-    assert sorted(found) == [(7, 8), (7, 10)]
+    out = seeds.Exchange(4, longest=3)
+    seed = np.array([5] * 100 + [1 << 39] * 2 + [9] * 40)
+    number = np.concatenate([np.arange(100), [1, 2], [7] * 40])
+    parts = list(out.add(seed, number)) + list(out.flush())
+    rows = [(b, p) for part in parts for b, p in zip(part.column(0).to_pylist(), part.column(1).to_pylist())]
+    alone = np.concatenate([seeds.unpacked(memoryview(p))[0] for b, p in rows if b < 0])
+    got_seed, got_number = seeds.gathered([p for b, p in rows if b >= 0])
+    assert (got_seed == 5).sum() == 4 and sorted(alone.tolist() + got_number[got_seed == 5].tolist()) == list(range(100))
+    # One text that repeats a seed is no frequent seed.
+    assert (got_seed == 9).sum() == 40 and (got_seed == 1 << 39).sum() == 2
+    assert all(b == -1 - n % 4 for b, p in rows if b < 0 for n in seeds.unpacked(memoryview(p))[0].tolist())
+
+
+def test_blocks_of_a_frequent_seed_meet_once(spark, monkeypatch):
+    from helixaudit.llm import hot_seeds
+
+    assert [hot_seeds.blocks_of(k, 3) for k in range(6)] == [(0, 0), (0, 1), (0, 2), (1, 1), (1, 2), (2, 2)]
+    monkeypatch.setattr(hot_seeds, "FREQUENT", 6)
+    monkeypatch.setattr(hot_seeds, "BLOCK_MEMBERS", 15)
+    rng = random.Random(23)
+    family = "".join(rng.choice("ACGT") for _ in range(200))
+    rows = list(enumerate(edited(rng, family, 3) for _ in range(70)))
+    sets = {n: windows(t) for n, t in rows}
+    want = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.5}
+    texts = near_duplicates.distinct_texts(frame(spark, rows), 40).cache()
+    assert hot_seeds.blocks_for(texts) == 5
+    got = [tuple(r) for r in near_duplicates.near_duplicate_pairs(frame(spark, rows)).select("seq_a", "seq_b").collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 1000
 
 
 def test_packed_integers_survive_a_round_trip():
