@@ -2,17 +2,19 @@
 
 Plan
 ----
-The evaluation side is the small one and is indexed; the training side only probes.
+The evaluation side is the small one and is indexed; the training side only probes. Both are cleaned once and written.
 
 1. Evaluation index. Of every record, seeds at a stride are taken; the stride is the most for
    which any training record of the wanted similarity must contain one of them, at whatever
    offset (``seeds.longest_run``). This is the prefix of the prefix filter: about 35 of 300
    shingles. Single 12-letter windows can't serve as shingles: there are only 4^12 of them, so in
    a large corpus none is rare and the candidates would grow with the square of the input.
-2. A bitmap of the indexed seeds (at most ``MOST_BITS`` bits, whatever the input) goes to the
-   training tasks. It only filters: a false positive costs a posting, never a result.
+2. A bitmap of the indexed seeds (at most 2^``MOST_BITS`` bits, whatever the input) goes to the
+   training tasks. It only filters: a false positive costs a posting, never a result. Where more seeds are indexed, the
+   seeds are taken in so many ranges, one after the other, that each range's bitmap is small enough.
 3. Training records probe with the seeds at all positions; postings that pass are exchanged by
-   seed bucket and joined with the index there, under the length filter.
+   seed bucket and joined with the index there, under the length filter. The seeds that a pair has in common are counted;
+   pairs with fewer than similar records of their sizes must have (``needed``) are dropped.
 4. Texts that meet in a seed of very many texts are indexed again with all their seeds under a prefix filter
    that leaves frequent ones out (:mod:`hot_seeds`).
 5. Candidates are verified on their full sets of windows and expanded to all copies.
@@ -21,6 +23,7 @@ The evaluation side is the small one and is indexed; the training side only prob
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,10 +34,10 @@ from ..functions.cleaning import cleaned
 from ..session import parallelism, spread, write_once
 from ..sources.hits import complete_hits, id_number
 from . import hot_seeds, kmers
-from .near_duplicates import BUCKET_POSTINGS, MOST_BUCKETS, bucket_count, verified
-from .seeds import KEY_BITS, SEED, WINDOW, Exchange, by_bucket, class_span, gathered, keyed, longest_run, set_sizes, size_class
+from .near_duplicates import BUCKET_POSTINGS, MOST_BUCKETS, PAIRS_A_TASK, bucket_count, checked, enough
+from .seeds import KEY_BITS, SEED, WINDOW, Exchange, by_bucket, class_bounds, class_span, gathered, keyed, longest_run, seed_bound, set_sizes, size_class, unpacked
 
-#: Bits of the seed bitmap: 64 for each indexed seed, within these bounds (at most 128 MB).
+#: Bits of the seed bitmap: 64 for each indexed seed of a range, within these bounds (at most 128 MB).
 LEAST_BITS, MOST_BITS = 20, 30
 #: Candidate pairs generated at once inside a bucket.
 PAIR_BLOCK = 1_000_000
@@ -55,6 +58,29 @@ def strides(sizes: np.ndarray, threshold: float) -> np.ndarray:
     return run[np.minimum(np.ceil(sizes * threshold).astype(np.int64), top)]
 
 
+@lru_cache(maxsize=8)
+def needed_seeds(threshold: float) -> np.ndarray:
+    """[evaluation class, training class]: strided seeds that similar records of these size classes have in common at least (``seeds.seed_bound``)."""
+    low, high = class_bounds()
+    step = strides(np.minimum(high, 1e6), threshold).astype(float)
+    smaller, larger = (
+        np.minimum(*(seed_bound(m[:, None], np.maximum(low[None, :], m[:, None]), w, threshold) for m in (low, high)))
+        for w in (step[:, None], step[None, :])
+    )
+    # Rows of both are the smaller record: the evaluation record in the first, the training record in the second.
+    return np.triu(smaller) + np.triu(larger, 1).T
+
+
+def kinds(sizes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Twice the size class, and one more for records whose windows are all distinct."""
+    return 2 * size_class(sizes) + (sizes == np.maximum(np.diff(offsets) - WINDOW + 1, 0))
+
+
+def in_range(seed: np.ndarray, part: int, parts: int) -> np.ndarray:
+    """Whether seeds lie in one of so many equal ranges."""
+    return seed * parts >> KEY_BITS == part
+
+
 def fresh_blocks(batch: pa.RecordBatch):
     """Blocks (digests, letters, offsets) of the texts of a batch of (d, text), each text once."""
     d = batch.column(0).to_numpy()
@@ -66,11 +92,12 @@ def fresh_blocks(batch: pa.RecordBatch):
         yield d[at : at + len(offsets) - 1], letters, offsets
 
 
-def index(texts: DataFrame, buckets: int, threshold: float) -> DataFrame:
-    """(bucket, postings) of the evaluation side: seed, digest, size class."""
+def index(texts: DataFrame, buckets: int, threshold: float, part: int = 0, parts: int = 1) -> DataFrame:
+    """(bucket, postings) of the evaluation side: seed, digest, kind, for the seeds of a range."""
+    longest = hot_seeds.FREQUENT**2
 
     def run(batches):
-        out = Exchange(buckets)
+        out = Exchange(buckets, longest=longest)
         for batch in batches:
             for d, letters, offsets in fresh_blocks(batch):
                 owner = kmers.owners(offsets)
@@ -79,55 +106,68 @@ def index(texts: DataFrame, buckets: int, threshold: float) -> DataFrame:
                 step = strides(sizes, threshold)
                 rec = owner[: len(h)]
                 take = np.flatnonzero(inside & ((np.arange(len(h)) - offsets[:-1][rec]) % step[rec] == 0))
+                take = take[in_range(keyed(h[take]), part, parts)]
                 rec = rec[take]
-                yield from out.add(keyed(h[take]), d[rec], size_class(sizes)[rec])
+                yield from out.add(keyed(h[take]), d[rec], kinds(sizes, offsets)[rec])
         yield from out.flush()
 
     return spread(texts.select("d", "text")).mapInArrow(run, Exchange.ddl)
 
 
-def seed_bitmap(rows: DataFrame, buckets: int, bits: int) -> np.ndarray:
-    """Bitmap of 2^bits bits of the indexed seeds, by their leading bits; its size is bounded by MOST_BITS."""
+def seed_bitmap(rows: DataFrame, buckets: int, bits: int, part: int = 0, parts: int = 1) -> np.ndarray:
+    """Bitmap of 2^bits bits of the indexed seeds, by their leading bits within the range; its size is bounded by MOST_BITS."""
 
     def run(table: pa.Table) -> pa.Table:
-        number = table.column("bucket")[0].as_py()
-        low = (number << KEY_BITS) // buckets >> (KEY_BITS - bits)
-        at = np.unique(gathered(x.as_py() for x in table.column("postings"))[0] >> (KEY_BITS - bits))
-        low = min(low, int(at[0])) >> 3 << 3
+        at = np.unique(bitmap_place(gathered(x.as_py() for x in table.column("postings"))[0], bits, parts))
+        low = int(at[0]) >> 3 << 3
         marks = np.zeros((int(at[-1]) - low + 8) >> 3 << 3, np.uint8)
         marks[at - low] = 1
         return pa.table({"at": pa.array([low >> 3], pa.int64()), "marks": pa.array([np.packbits(marks, bitorder="little").tobytes()], pa.binary())})
 
     whole = np.zeros(1 << (bits - 3), np.uint8)
-    for part in by_bucket(rows, buckets).applyInArrow(run, "at bigint, marks binary").toLocalIterator():
+    for part in by_bucket(rows.where("bucket >= 0"), buckets).applyInArrow(run, "at bigint, marks binary").toLocalIterator():
         piece = np.frombuffer(part["marks"], np.uint8)[: len(whole) - part["at"]]
         whole[part["at"] : part["at"] + len(piece)] |= piece
     return whole
 
 
-def probes(texts: DataFrame, bitmap, bits: int, buckets: int) -> DataFrame:
-    """(bucket, postings) of the training side: its seeds at all positions that the bitmap knows."""
+def bitmap_place(seed: np.ndarray, bits: int, parts: int) -> np.ndarray:
+    """Bit of a seed in the bitmap of its range."""
+    return (seed * parts & ((1 << KEY_BITS) - 1)) >> (KEY_BITS - bits)
+
+
+def probes(texts: DataFrame, bitmap, bits: int, buckets: int, part: int = 0, parts: int = 1) -> DataFrame:
+    """(bucket, postings) of the training side: its seeds at all positions that lie in the range and that the bitmap knows."""
+    longest = hot_seeds.FREQUENT**2
 
     def run(batches):
-        out, known = Exchange(buckets), bitmap.value
+        out, known = Exchange(buckets, longest=longest), bitmap.value
         for batch in batches:
             for d, letters, offsets in fresh_blocks(batch):
                 owner = kmers.owners(offsets)
                 h, inside = kmers.window_hashes(letters, owner, SEED)
-                at = (h >> np.uint64(64 - bits)).astype(np.int64)
+                seed = keyed(h)
+                at = bitmap_place(seed, bits, parts)
                 take = np.flatnonzero(inside & ((known[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool))
+                take = take[in_range(seed[take], part, parts)]
                 if len(take):
                     rec = owner[take]
-                    yield from out.add(keyed(h[take]), d[rec], size_class(set_sizes(letters, offsets, owner))[rec])
+                    yield from out.add(seed[take], d[rec], kinds(set_sizes(letters, offsets, owner), offsets)[rec])
         yield from out.flush()
 
     return spread(texts.select("d", "text")).mapInArrow(run, Exchange.ddl)
 
 
-def pair_blocks(seed_a, d_a, size_a, seed_b, d_b, size_b, span: int):
-    """Distinct (evaluation, training) digests that share a seed, sizes within ``span``, in blocks."""
+def pair_blocks(seed_a, d_a, kind_a, seed_b, d_b, kind_b, threshold: float):
+    """(a, b, common, needed): evaluation and training digests that share seeds, sizes within the span; blocks may repeat a pair."""
+    span, need = class_span(threshold), needed_seeds(threshold)
+    names_a, a = np.unique(d_a, return_inverse=True)
+    names_b, b = np.unique(d_b, return_inverse=True)
+    own_a, own_b = np.zeros(len(names_a), np.int64), np.zeros(len(names_b), np.int64)
+    own_a[a], own_b[b] = kind_a, kind_b
+    size_a, size_b = kind_a >> 1, kind_b >> 1
     order_a = np.argsort(seed_a << 9 | size_a)
-    key_a, d_a = (seed_a << 9 | size_a)[order_a], d_a[order_a]
+    key_a, a = (seed_a << 9 | size_a)[order_a], a[order_a]
     low = np.searchsorted(key_a, seed_b << 9 | np.maximum(size_b - span, 0), "left")
     n = np.searchsorted(key_a, seed_b << 9 | (size_b + span), "right") - low
     done, at = np.concatenate([[0], np.cumsum(n)]), 0
@@ -136,112 +176,151 @@ def pair_blocks(seed_a, d_a, size_a, seed_b, d_b, size_b, span: int):
         j = np.repeat(np.arange(at, to), n[at:to])
         i = np.arange(done[to] - done[at]) - np.repeat(done[at:to] - done[at], n[at:to]) + low[j]
         if len(i):
-            pair = np.unique(np.stack([d_a[i], d_b[j]], 1), axis=0)
-            yield pair[:, 0], pair[:, 1]
+            key, common = np.unique(a[i] * len(names_b) + b[j], return_counts=True)
+            one, two = key // len(names_b), key % len(names_b)
+            x, y = own_a[one], own_b[two]
+            yield names_a[one], names_b[two], common, np.where(x & y & 1, need[x >> 1, y >> 1], 1)
         at = to
 
 
-def distinct_postings(seed, d, size):
-    """The postings of one side, each (seed, text) once."""
-    if not len(seed):
-        return seed, d, size
-    _, once = np.unique(np.stack([seed, d], 1), axis=0, return_index=True)
-    return seed[once], d[once], size[once]
+def distinct_postings(seed, d, kind):
+    """The postings of one side, each (seed, text) once, by seed."""
+    order = np.lexsort((d, seed))
+    seed, d, kind = seed[order], d[order], kind[order]
+    once = np.append(True, (seed[1:] != seed[:-1]) | (d[1:] != d[:-1]))[: len(seed)]
+    return seed[once], d[once], kind[once]
 
 
-def meet(left: DataFrame, right: DataFrame, buckets: int, threshold: float, most: int | None = None) -> DataFrame:
-    """(a, b, alone): digests of evaluation and training texts that share a seed, with ``alone`` 0.
+def meet(left: DataFrame, right: DataFrame, buckets: int, threshold: float, most: int | None = None, counted: bool = True) -> DataFrame:
+    """(a, b, common, needed, alone): digests of evaluation and training texts with the seeds they share in a bucket and need in all, with ``alone`` 0.
 
     Where the lists of a seed would make more than ``most`` pairs, its texts come out alone, on the
-    evaluation side with ``alone`` 1, on the training side with 2.
+    evaluation side with ``alone`` 1, on the training side with 2. Unless ``counted``, one common seed will do.
     """
-    span = class_span(threshold)
 
-    def batch(a, b, alone):
-        return pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(np.full(len(a), alone), pa.int32())], names=["a", "b", "alone"])
+    def batch(a, b, common, needed, alone):
+        columns = [pa.array(np.asarray(x), pa.int64()) for x in (a, b, common, needed)]
+        return pa.record_batch([*columns, pa.array(np.full(len(a), alone), pa.int32())], names=["a", "b", "common", "needed", "alone"])
+
+    def alone(d, side):
+        return batch(d, d, np.zeros(len(d)), np.zeros(len(d)), side)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = ([], [])
+        held, number = ([], []), 0
         for part in batches:
+            number = part.column(part.schema.get_field_index("bucket"))[0].as_py()
             for side, blob in zip(part.column(part.schema.get_field_index("side")), part.column(part.schema.get_field_index("postings"))):
                 held[side.as_py()].append(blob.as_py())
+        if number < 0:
+            for side in (0, 1):
+                if held[side]:
+                    yield alone(np.unique(np.concatenate([unpacked(memoryview(x))[0] for x in held[side]])), side + 1)
+            return
         if not held[0] or not held[1]:
             return
-        seed_a, d_a, size_a = distinct_postings(*gathered(held[0]))
-        seed_b, d_b, size_b = gathered(held[1])
+        seed_a, d_a, kind_a = distinct_postings(*gathered(held[0]))
+        seed_b, d_b, kind_b = gathered(held[1])
         known = np.isin(seed_b, seed_a)
-        seed_b, d_b, size_b = distinct_postings(seed_b[known], d_b[known], size_b[known])
+        seed_b, d_b, kind_b = distinct_postings(seed_b[known], d_b[known], kind_b[known])
         if most is not None and len(seed_b):
-            kind, count_b = np.unique(seed_b, return_counts=True)
-            sorted_a = np.sort(seed_a)
-            count_a = np.searchsorted(sorted_a, kind, "right") - np.searchsorted(sorted_a, kind, "left")
-            hot = kind[count_a * count_b > most]
+            seeds, count_b = np.unique(seed_b, return_counts=True)
+            count_a = np.searchsorted(seed_a, seeds, "right") - np.searchsorted(seed_a, seeds, "left")
+            hot = seeds[count_a * count_b > most]
             hot_a, hot_b = np.isin(seed_a, hot), np.isin(seed_b, hot)
-            for d, side in ((np.unique(d_a[hot_a]), 1), (np.unique(d_b[hot_b]), 2)):
-                yield batch(d, d, side)
-            seed_a, d_a, size_a = seed_a[~hot_a], d_a[~hot_a], size_a[~hot_a]
-            seed_b, d_b, size_b = seed_b[~hot_b], d_b[~hot_b], size_b[~hot_b]
-        for a, b in pair_blocks(seed_a, d_a, size_a, seed_b, d_b, size_b, span):
-            yield batch(a, b, 0)
+            yield alone(np.unique(d_a[hot_a]), 1)
+            yield alone(np.unique(d_b[hot_b]), 2)
+            seed_a, d_a, kind_a = seed_a[~hot_a], d_a[~hot_a], kind_a[~hot_a]
+            seed_b, d_b, kind_b = seed_b[~hot_b], d_b[~hot_b], kind_b[~hot_b]
+        for a, b, common, needed in pair_blocks(seed_a, d_a, kind_a, seed_b, d_b, kind_b, threshold):
+            yield batch(a, b, common, needed if counted else np.ones(len(needed)), 0)
 
     both = left.select("bucket", F.lit(0).alias("side"), "postings").unionAll(right.select("bucket", F.lit(1).alias("side"), "postings"))
-    return by_bucket(both, buckets).applyInArrow(run, "a bigint, b bigint, alone int")
+    return by_bucket(both, buckets).applyInArrow(run, "a bigint, b bigint, common bigint, needed bigint, alone int")
+
 
+def candidates(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): distinct candidate pairs of digests of the written (no, d, d2, text) of both sides.
 
-def candidates(left: DataFrame, right: DataFrame, indexed: DataFrame, probed: DataFrame, buckets: int, threshold: float) -> DataFrame:
-    """(a, b): distinct candidate pairs of digests; texts that meet in frequent seeds are looked at again (:mod:`hot_seeds`)."""
-    found = write_once(meet(indexed, probed, buckets, threshold, hot_seeds.FREQUENT**2), "joined")
-    pairs = found.where("alone = 0").select("a", "b")
+    Texts that meet in frequent seeds are looked at again (:mod:`hot_seeds`).
+    """
+    spark = left.sparkSession
+    letters = left.agg(F.sum(F.length("text").cast("bigint"))).first()[0] or 0
+    seeds = letters // 8 + 1
+    parts = -(-64 * seeds // (1 << MOST_BITS))
+    bits = int(min(max(LEAST_BITS, (64 * seeds - 1).bit_length()), MOST_BITS))
+    buckets = int(min(max(parallelism(spark), 2 * seeds / BUCKET_POSTINGS), MOST_BUCKETS))
+    found = None
+    for part in range(parts):
+        indexed = write_once(index(left, buckets, threshold, part, parts), "index")
+        known = spark.sparkContext.broadcast(seed_bitmap(indexed, buckets, bits, part, parts))
+        own = write_once(meet(indexed, probes(right, known, bits, buckets, part, parts), buckets, threshold, hot_seeds.FREQUENT**2), "joined")
+        known.unpersist()
+        found = own if found is None else found.unionAll(own)
+    pairs = enough(found)
     if not (often := found.where("alone > 0")).isEmpty():
-        texts = [write_once(wanted_texts(rows, often.where(F.col("alone") == k), "a").select("rep", "text", F.length("text").alias("n")), "frequent") for k, rows in ((1, left), (2, right))]
+        texts = [write_once(wanted_texts(rows, often.where(F.col("alone") == k).select("a"), "a").select(F.col("d").alias("rep"), "text", F.length("text").alias("n")), "frequent") for k, rows in ((1, left), (2, right))]
         every = texts[0].unionAll(texts[1])
-        buckets = bucket_count(every, 1.0)
+        buckets, salts = bucket_count(every, 1.0), hot_seeds.blocks_for(every)
         marks, bits = hot_seeds.frequent_seeds(every, buckets)
-        known = left.sparkSession.sparkContext.broadcast(marks)
-        sides = [hot_seeds.prefix_postings(t, buckets, threshold, known, bits, kinds=False) for t in texts]
-        pairs = pairs.unionAll(meet(*sides, buckets, threshold).select("a", "b"))
-    return pairs.distinct()
+        known = spark.sparkContext.broadcast(marks)
+        sides = [hot_seeds.prefix_postings(t, buckets, threshold, known, bits, salts, side) for side, t in enumerate(texts)]
+        pairs = pairs.unionAll(meet(*sides, buckets, threshold, counted=False).select("a", "b")).distinct()
+    return pairs
 
 
 def wanted_texts(rows: DataFrame, pairs: DataFrame, key: str) -> DataFrame:
-    """(rep, no, d2, text) of one record for each text among ``pairs``' column ``key``; ``rep`` is its digest."""
+    """(d, d2, text) of the texts whose digest ``d`` is among ``pairs``' column ``key``, each text once."""
     need = pairs.select(F.col(key).alias("d")).distinct()
-    reps = rows.groupBy("d", "d2").agg(F.min("no").alias("no")).join(need, "d", "left_semi")
-    return rows.select("no", "text").join(reps, "no").dropDuplicates(["no"]).select(F.col("d").alias("rep"), "no", "d2", "text")
+    return rows.select("d", "d2", "text").join(need, "d", "left_semi").dropDuplicates(["d", "d2"])
+
+
+def text_overlaps(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """(a, a2, b, b2): both halves of the digests of all similar texts of the written (no, d, d2, text) of both sides."""
+    pairs = write_once(candidates(left, right, threshold), "candidates")
+    tasks = max(parallelism(left.sparkSession), pairs.count() // PAIRS_A_TASK)
+    texts = [write_once(wanted_texts(rows, pairs, key).toDF(key, f"{key}2", f"text_{key}"), "texts") for key, rows in (("a", left), ("b", right))]
+    # A 64-bit digest may stand for two texts: the pair then meets both, and each is verified.
+    rows = pairs.repartition(tasks, "a").join(texts[0], "a").repartition(tasks, "b").join(texts[1], "b")
+    return checked(rows.select("a", "a2", "b", "b2", "text_a", "text_b"), threshold).select("a", "a2", "b", "b2")
+
+
+def written(df: DataFrame, least: int, text: str = "sequence", number: str = "seq_no") -> DataFrame:
+    """The :func:`records` of a side, written once: cleaning and digests are not computed again."""
+    return write_once(records(df, least, text, number), "records")
 
 
 def overlaps_by_text(evaluation: DataFrame, training: DataFrame, threshold: float = 0.5, text: str = "sequence", number: str = "seq_no", least: int = 40) -> DataFrame:
     """(test_no, train_no): all pairs of records with a window similarity of ``threshold`` or more.
 
     Equal texts of ``least`` letters or more are included, every record of either side counts on
-    its own, and rows delivered again change nothing. Null, blank and shorter texts give no rows;
-    empty tables give none; extra columns are not read.
+    its own, and rows delivered again change nothing. A number with several texts overlaps by each of them. Null, blank and shorter
+    texts give no rows; empty tables give none; extra columns are not read.
     """
-    spark = evaluation.sparkSession
-    left, right = records(evaluation, least, text, number), records(training, least, text, number)
-    letters = left.agg(F.sum(F.length("text").cast("bigint"))).first()[0] or 0
-    seeds = letters // 8 + 1
-    bits = int(min(max(LEAST_BITS, (64 * seeds - 1).bit_length()), MOST_BITS))
-    buckets = int(min(max(parallelism(spark), 2 * seeds / BUCKET_POSTINGS), MOST_BUCKETS))
-    indexed = write_once(index(left, buckets, threshold), "index")
-    bitmap = spark.sparkContext.broadcast(seed_bitmap(indexed, buckets, bits))
-    pairs = write_once(candidates(left, right, indexed, probes(right, bitmap, bits, buckets), buckets, threshold), "candidates")
-    texts_a, texts_b = write_once(wanted_texts(left, pairs, "a"), "texts"), write_once(wanted_texts(right, pairs, "b"), "texts")
-    same = verified_numbers(pairs, texts_a, texts_b, threshold)
-    of = lambda rows, name: rows.select("d", "d2", F.col("no").alias(name)).distinct()
-    out = same.join(of(left, "test_no"), (F.col("d") == F.col("a")) & (F.col("d2") == F.col("a2"))).drop("d", "d2")
-    out = out.join(of(right, "train_no"), (F.col("d") == F.col("b")) & (F.col("d2") == F.col("b2")))
-    return out.select("test_no", "train_no")
-
-
-def verified_numbers(pairs: DataFrame, texts_a: DataFrame, texts_b: DataFrame, threshold: float) -> DataFrame:
-    """(a, a2, b, b2): both halves of the digests of the pairs that hold."""
-    number = pairs.join(texts_a.select(F.col("rep").alias("a"), F.col("no").alias("no_a")), "a").join(texts_b.select(F.col("rep").alias("b"), F.col("no").alias("no_b")), "b")
-    by_no = number.select(F.col("no_a").alias("a"), F.col("no_b").alias("b"))
-    kept = verified(by_no, texts_a.select(F.col("no").alias("rep"), "text"), texts_b.select(F.col("no").alias("rep"), "text"), threshold)
-    kept = kept.select(F.col("a").alias("no_a"), F.col("b").alias("no_b"))
-    kept = kept.join(texts_a.select(F.col("no").alias("no_a"), F.col("rep").alias("a"), F.col("d2").alias("a2")), "no_a")
-    return kept.join(texts_b.select(F.col("no").alias("no_b"), F.col("rep").alias("b"), F.col("d2").alias("b2")), "no_b").select("a", "a2", "b", "b2")
+    left, right = written(evaluation, least, text, number), written(training, least, text, number)
+    same = write_once(text_overlaps(left, right, threshold), "similar")
+    of = lambda rows, key, name: rows.select(F.col("d").alias(key), F.col("d2").alias(f"{key}2"), F.col("no").alias(name)).distinct()
+    out = same.join(of(left, "a", "test_no"), ["a", "a2"]).join(of(right, "b", "train_no"), ["b", "b2"])
+    return out.select("test_no", "train_no").distinct()
+
+
+def overlap_classes(evaluation: DataFrame, training: DataFrame, threshold: float = 0.5, text: str = "sequence", number: str = "seq_no", least: int = 40) -> DataFrame:
+    """(test_first, train_first, n_test, n_train): overlaps by text between classes of equal texts, each under its smallest number, with their records.
+
+    One row for each pair of texts, however many copies either side has; :func:`class_members` names them.
+    """
+    left, right = written(evaluation, least, text, number), written(training, least, text, number)
+    out = text_overlaps(left, right, threshold)
+    for rows, key, side in ((left, "a", "test"), (right, "b", "train")):
+        of = rows.select("no", "d", "d2").distinct().groupBy(F.col("d").alias(key), F.col("d2").alias(f"{key}2"))
+        out = out.join(of.agg(F.min("no").alias(f"{side}_first"), F.count(F.lit(1)).alias(f"n_{side}")), [key, f"{key}2"])
+    return out.select("test_first", "train_first", "n_test", "n_train")
+
+
+def class_members(df: DataFrame, text: str = "sequence", number: str = "seq_no", least: int = 40) -> DataFrame:
+    """(seq_no, first_no): the class of equal texts, under its smallest number, of each record of ``least`` letters or more."""
+    rows = records(df, least, text, number).select("no", "d", "d2").distinct()
+    first = rows.groupBy("d", "d2").agg(F.min("no").alias("first_no"))
+    return rows.join(first, ["d", "d2"]).select(F.col("no").alias("seq_no"), "first_no")
 
 
 def overlaps_by_hit(evaluation: DataFrame, training: DataFrame, hits: DataFrame, threshold: float = 90.0, number: str = "seq_no") -> DataFrame:

@@ -72,15 +72,21 @@ def blocks_of(pair: int, salts: int) -> tuple[int, int]:
     return next((one, one + pair - before) for one in range(salts - 1, -1, -1) if (before := one * salts - one * (one - 1) // 2) <= pair)
 
 
-def split_postings(number: np.ndarray, seed: np.ndarray, often: np.ndarray, buckets: int, salts: int):
-    """(row, bucket) of each posting to send: those of frequent seeds go to all pairs of blocks with theirs, others to their bucket."""
+def split_postings(number: np.ndarray, seed: np.ndarray, often: np.ndarray, buckets: int, salts: int, side: int | None = None):
+    """(row, bucket) of each posting to send: those of frequent seeds go to all pairs of blocks with theirs, others to their bucket.
+
+    Where two tables are joined, ``side`` is 0 or 1 and pairs of blocks are ordered; else the table is joined with itself.
+    """
     bucket = seed * buckets >> KEY_BITS
     if salts == 1:
         return np.arange(len(seed)), bucket
     plain, hot = np.flatnonzero(~often), np.repeat(np.flatnonzero(often), salts)
     own, other = number[hot] % salts, np.tile(np.arange(salts), int(often.sum()))
-    one, two = np.minimum(own, other), np.maximum(own, other)
-    pair = one * salts - one * (one - 1) // 2 + two - one
+    if side is None:
+        one, two = np.minimum(own, other), np.maximum(own, other)
+        pair = one * salts - one * (one - 1) // 2 + two - one
+    else:
+        pair = other * salts + own if side else own * salts + other
     return np.concatenate([plain, hot]), np.concatenate([bucket[plain], bucket[hot] + buckets * (1 + pair)])
 
 
@@ -118,8 +124,8 @@ def bitmap(rows: DataFrame, buckets: int, bits: int, least: int) -> np.ndarray:
     return whole
 
 
-def prefix_postings(texts: DataFrame, buckets: int, threshold: float, known, bits: int, salts: int = 1, kinds: bool = True) -> DataFrame:
-    """(bucket, postings) of (rep, text): seed, rep, kind (or size class), for the seeds a text may not drop.
+def prefix_postings(texts: DataFrame, buckets: int, threshold: float, known, bits: int, salts: int = 1, side: int | None = None) -> DataFrame:
+    """(bucket, postings) of (rep, text): seed, rep, kind (see :func:`seeds.minimum_seeds`; no record counts as one of distinct windows), for the seeds a text may not drop.
 
     With ``salts`` over 1 the members of a frequent seed are split into so many blocks, and each pair of blocks
     has a bucket of its own, so a seed that a third of all texts hold fills no task. Texts with many repeats inside, where seeds and windows don't run in parallel, drop nothing.
@@ -143,9 +149,9 @@ def prefix_postings(texts: DataFrame, buckets: int, threshold: float, known, bit
                 rank = np.arange(len(rec)) - (np.cumsum(n) - n)[rec]
                 use = rank < keep[rec]
                 rec, seed, often = rec[use], seed[use], often[order][use].astype(bool)
-                row, bucket = split_postings(rep[first + rec], seed, often, buckets, salts)
+                row, bucket = split_postings(rep[first + rec], seed, often, buckets, salts, side)
                 rec, seed = rec[row], seed[row]
-                yield from out.add(seed, rep[first + rec], size_class(sizes)[rec] << kinds, bucket=bucket)
+                yield from out.add(seed, rep[first + rec], 2 * size_class(sizes)[rec], bucket=bucket)
         yield from out.flush()
 
     return spread(texts.select("rep", "text")).mapInArrow(run, Exchange.ddl)

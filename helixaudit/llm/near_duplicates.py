@@ -36,8 +36,8 @@ from .seeds import Exchange, by_bucket, class_span, common_windows, gathered, mi
 BUCKET_POSTINGS = 1_000_000
 #: Buckets at most; each still spans 2^18 of the 2^40 seeds.
 MOST_BUCKETS = 1 << 22
-#: Pairs generated at once inside a bucket.
-PAIR_BLOCK = 500_000
+#: Pairs generated at once inside a bucket, and pairs whose texts one task compares.
+PAIR_BLOCK, PAIRS_A_TASK = 500_000, 100_000
 
 
 def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -271,27 +271,34 @@ def candidates(texts: DataFrame, buckets: int, threshold: float) -> DataFrame:
     return pairs
 
 
-def verified(pairs: DataFrame, left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, common, similarity) of the pairs with ``threshold`` or more.
-
-    ``left`` and ``right`` are (rep, text). The texts are joined by number, not broadcast.
-    """
-    rows = pairs.join(left.select(F.col("rep").alias("a"), F.col("text").alias("text_a")), "a")
-    rows = rows.join(right.select(F.col("rep").alias("b"), F.col("text").alias("text_b")), "b")
+def checked(rows: DataFrame, threshold: float) -> DataFrame:
+    """The rows whose ``text_a`` and ``text_b``, their last columns, have a similarity of ``threshold`` or more, with ``common`` and ``similarity`` in place of the texts."""
+    kept = rows.schema[:-2]
 
     def run(batches):
         for whole in batches:
             for at in range(0, whole.num_rows, 2048):
                 batch = whole.slice(at, 2048)
-                n_a, n_b, common = common_windows(batch.column(2), batch.column(3))
+                n_a, n_b, common = common_windows(batch.column(len(kept)), batch.column(len(kept) + 1))
                 similarity = common / np.maximum(n_a + n_b - common, 1)
                 ok = similarity >= threshold
-                yield pa.record_batch(
-                    [batch.column(0).filter(pa.array(ok)), batch.column(1).filter(pa.array(ok)), pa.array(common[ok], pa.int64()), pa.array(similarity[ok], pa.float64())],
-                    names=["a", "b", "common", "similarity"],
-                )
+                columns = [batch.column(k).filter(pa.array(ok)) for k in range(len(kept))]
+                yield pa.record_batch([*columns, pa.array(common[ok], pa.int64()), pa.array(similarity[ok], pa.float64())], names=[f.name for f in kept] + ["common", "similarity"])
+
+    return rows.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", common bigint, similarity double")
 
-    return rows.select("a", "b", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint, common bigint, similarity double")
+
+def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, common, similarity) of the written pairs with ``threshold`` or more; ``texts`` is (rep, text).
+
+    Only texts of some pair are moved. They are joined by number, in as many tasks as the pairs need.
+    """
+    tasks = max(parallelism(pairs.sparkSession), pairs.count() // PAIRS_A_TASK)
+    need = pairs.select(F.col("a").alias("rep")).unionAll(pairs.select(F.col("b").alias("rep"))).distinct()
+    texts = write_once(texts.join(need, "rep", "left_semi").select("rep", "text"), "wanted")
+    rows = pairs.repartition(tasks, "a").join(texts.select(F.col("rep").alias("a"), F.col("text").alias("text_a")), "a")
+    rows = rows.repartition(tasks, "b").join(texts.select(F.col("rep").alias("b"), F.col("text").alias("text_b")), "b")
+    return checked(rows.select("a", "b", "text_a", "text_b"), threshold)
 
 
 def near_duplicate_pairs(df: DataFrame, threshold: float = 0.5, text: str = "sequence", number: str = "seq_no", least: int = 40) -> DataFrame:
@@ -308,7 +315,7 @@ def near_duplicate_pairs(df: DataFrame, threshold: float = 0.5, text: str = "seq
 
 def text_pairs(texts: DataFrame, threshold: float) -> DataFrame:
     """The pairs of :func:`near_duplicate_pairs` for distinct texts that are written already."""
-    pairs = verified(candidates(texts, bucket_count(texts, 4.0), threshold), texts, texts, threshold)
+    pairs = verified(write_once(candidates(texts, bucket_count(texts, 4.0), threshold), "candidates"), texts, threshold)
     return pairs.select(F.col("a").alias("seq_a"), F.col("b").alias("seq_b"), "common", "similarity")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import components, cross_split, format_duplicates, languages, mixing, near_duplicates, shared_spans, tokenizer, top_n
 
@@ -32,6 +33,16 @@ def p2_report(spark: SparkSession, folder: str) -> DataFrame:
     return cross_split.overlap_report(p2_found(spark, folder), test, train)
 
 
+def p2_classes(spark: SparkSession, folder: str) -> DataFrame:
+    """Overlaps by text between classes of equal texts; p2_members has the records of the classes."""
+    return cross_split.overlap_classes(*(_table(spark, folder, t) for t in ("enhancers_test", "enhancers_train")))
+
+
+def p2_members(spark: SparkSession, folder: str) -> DataFrame:
+    sides = [cross_split.class_members(_table(spark, folder, t)).select(F.lit(side).alias("side"), "seq_no", "first_no") for side, t in (("test", "enhancers_test"), ("train", "enhancers_train"))]
+    return sides[0].unionAll(sides[1])
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return top_n.top_targets(_table(spark, folder, "mmseqs2_search_result")).select("query", "target")
 
@@ -88,7 +99,7 @@ def p10_languages(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_families, p2_found, p2_report, p3_found, p4_found, p4_shared, p4_letters, p5_found, p5_groups, p5_collapsed, p6_found, p8_ids, p9_mix, p9_shares, p10_found, p10_languages)}
+    return {f.__name__: f for f in (p1_found, p1_families, p2_found, p2_report, p2_classes, p2_members, p3_found, p4_found, p4_shared, p4_letters, p5_found, p5_groups, p5_collapsed, p6_found, p8_ids, p9_mix, p9_shares, p10_found, p10_languages)}
 
 
 def _cleaned(c: str) -> str:
@@ -123,6 +134,14 @@ UNION
 SELECT test_no, train_no FROM (SELECT try_cast(regexp_extract(query, '^seq_([0-9]+)_test$', 1) AS bigint) AS test_no, try_cast(regexp_extract(target, '^seq_([0-9]+)_train$', 1) AS bigint) AS train_no FROM hits WHERE least(qcov, tcov) * pident >= 90)
 WHERE test_no IN (SELECT seq_no FROM enhancers_test) AND train_no IN (SELECT seq_no FROM enhancers_train)"""
 
+_CLASSES = f"""WITH a AS (SELECT min(seq_no) AS no, count(DISTINCT seq_no) AS k, s FROM (SELECT seq_no, {_cleaned("sequence")} AS s FROM enhancers_test) WHERE length(s) >= 40 GROUP BY s),
+b AS (SELECT min(seq_no) AS no, count(DISTINCT seq_no) AS k, s FROM (SELECT seq_no, {_cleaned("sequence")} AS s FROM enhancers_train) WHERE length(s) >= 40 GROUP BY s),
+{_windows("a", "a")}, {_windows("b", "b")},
+p AS ({_similar("a", "b", "")})
+SELECT p.a AS test_first, p.b AS train_first, a.k AS n_test, b.k AS n_train FROM p JOIN a_n x ON x.no = p.a JOIN b_n y ON y.no = p.b JOIN a ON a.no = p.a JOIN b ON b.no = p.b WHERE c / (x.n + y.n - c) >= 0.5"""
+
+_MEMBERS = " UNION ALL ".join(f"""SELECT '{side}' AS side, seq_no, min(seq_no) OVER (PARTITION BY s) AS first_no FROM (SELECT DISTINCT seq_no, {_cleaned("sequence")} AS s FROM enhancers_{side}) WHERE length(s) >= 40""" for side in ("test", "train"))
+
 _CANON = "array_to_string(list_sort(list_filter(list_transform(regexp_split_to_array(upper(sequence), '[|;/]'), lambda p: regexp_replace(p, '[^A-Z]', '', 'g')), lambda p: p <> '')), '|')"
 _GROUPS = f"SELECT c, seq_no, min(seq_no) OVER (PARTITION BY c) AS kept_no FROM (SELECT DISTINCT seq_no, {_CANON} AS c FROM enhancers_train WHERE sequence IS NOT NULL) WHERE length(replace(c, '|', '')) >= 20"
 
@@ -135,13 +154,20 @@ f AS (SELECT seq_no, min(i) AS span_start, max(i) + 59 AS span_end FROM g GROUP
 
 
 def oracle_sql() -> dict[str, str]:
-    """No SQL for tokenising, mixing, language models and families: their tests hold them against brute force."""
+    """No SQL for tokenising, mixing and language models: their tests hold them against brute force."""
     return {
         "p1_found": _P1,
         "p2_found": _P2,
         "p2_report": f"""SELECT split, test_source, train_source, count(*) AS n_pairs, count(DISTINCT test_no) AS n_test, count(DISTINCT train_no) AS n_train FROM ({_P2}) p
 JOIN (SELECT seq_no AS test_no, min(split) AS split, min(source) AS test_source FROM enhancers_test GROUP BY seq_no) a USING (test_no)
 JOIN (SELECT seq_no AS train_no, min(source) AS train_source FROM enhancers_train GROUP BY seq_no) b USING (train_no) GROUP BY split, test_source, train_source""",
+        "p2_classes": _CLASSES,
+        "p2_members": _MEMBERS,
+        "p1_families": f"""WITH RECURSIVE t AS (SELECT DISTINCT seq_no, {_cleaned("sequence")} AS s FROM enhancers_train), m AS (SELECT seq_no, min(seq_no) OVER (PARTITION BY s) AS first_no FROM t WHERE length(s) >= 40),
+e AS (SELECT * FROM ({_P1})), l AS (SELECT seq_a AS x, seq_b AS y FROM e UNION ALL SELECT seq_b, seq_a FROM e),
+f AS (SELECT x AS id, x AS root FROM l UNION SELECT l.y, f.root FROM f JOIN l ON l.x = f.id),
+g AS (SELECT id, min(root) AS family FROM f GROUP BY id), k AS (SELECT x AS id, count(*) AS n FROM l GROUP BY x)
+SELECT m.seq_no, m.first_no, coalesce(g.family, m.first_no) AS family, CASE WHEN m.seq_no = m.first_no THEN coalesce(k.n, 0) ELSE 0 END AS links FROM m LEFT JOIN g ON g.id = m.first_no LEFT JOIN k ON k.id = m.first_no""",
         "p6_found": f"""WITH RECURSIVE {_HITS}, e AS (SELECT query AS a, target AS b FROM hits UNION SELECT target, query FROM hits),
 r AS (SELECT a AS id, a AS root FROM e UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.id)
 SELECT id AS record_id, min(root) AS group_id FROM r GROUP BY id""",

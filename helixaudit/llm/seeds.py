@@ -66,29 +66,29 @@ def class_bounds() -> tuple[np.ndarray, np.ndarray]:
     return np.ceil(edge[:-1] - 1e-6), np.ceil(edge[1:] + 1e-6) - 1
 
 
+def seed_bound(m: np.ndarray, b: np.ndarray, w: np.ndarray, threshold: float) -> np.ndarray:
+    """Selected seeds that records of ``m`` and ``b`` >= ``m`` windows have in common at least if they are similar, and all windows of each are distinct.
+
+    They have O >= t/(1+t)*(m+b) windows in common, in at most R = (m-O)/LEAST_GAP + 1 runs. A run of L windows holds
+    L-6 seeds. If at least one of every ``w`` seeds in a row is selected, in both records alike, these are at least (L-6-(w-1))/w.
+    """
+    common = threshold / (1 + threshold) * (m + b)
+    runs = np.maximum(m - common, 0) / LEAST_GAP + 1
+    return np.ceil((common - runs * (w + SEED - WINDOW - 1)) / w - 1e-6).clip(1, 1 << 30).astype(np.int64)
+
+
 @lru_cache(maxsize=8)
 def shared_seeds(threshold: float) -> np.ndarray:
-    """[class, class]: selected seeds that two similar records of these size classes have in common, at least.
+    """[class, class]: minima that similar records of these size classes have in common at least.
 
-    It holds for records all of whose windows are distinct. They have O >= t/(1+t)*(m+b) windows in common, in at most
-    R = (m-O)/LEAST_GAP + 1 runs. A run of L windows holds L-6 seeds, so at least (L-6-(w-1))/w minima of width
-    w, and w is that of the larger record. The bound (O - R*(w+5))/w is linear in both sizes, so it is least at the ends of the
-    classes; from the largest table size on, where widths no longer grow, it stays valid.
+    The width in use is that of the larger record. :func:`seed_bound` is linear in both sizes, so it is least at the ends of
+    the smaller one's class and the lower end of the other's.
     """
     low, high = class_bounds()
     width = widths(np.ceil(np.minimum(high, 1e6) * threshold).astype(np.int64), threshold).astype(float)
-    out = np.ones((256, 256), np.int64)
-    for ends in (low, high):
-        m = ends[:, None]
-        b = np.maximum(low[None, :], m)
-        common = threshold / (1 + threshold) * (m + b)
-        runs = np.maximum(m - common, 0) / LEAST_GAP + 1
-        w = width[None, :]
-        bound = np.ceil((common - runs * (w + SEED - WINDOW - 1)) / w - 1e-6).clip(1, 1 << 30).astype(np.int64)
-        out = bound if ends is low else np.minimum(out, bound)
+    out = np.minimum(*(seed_bound(m[:, None], np.maximum(low[None, :], m[:, None]), width[None, :], threshold) for m in (low, high)))
     # The row is the smaller one of the two classes.
-    upper = np.triu(out)
-    return upper + np.triu(out, 1).T
+    return np.triu(out) + np.triu(out, 1).T
 
 
 def class_span(threshold: float) -> int:

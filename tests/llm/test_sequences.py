@@ -222,6 +222,32 @@ def test_cross_split_matches_brute_force(spark, collection):
     assert set(got) == want | {(1000, 1)} and len(want) > 5
 
 
+def test_a_number_with_two_texts_overlaps_by_each(spark, monkeypatch):
+    rng = random.Random(29)
+    one, two = ("".join(rng.choice("ACGT") for _ in range(120)) for _ in range(2))
+    test, train = frame(spark, [(1, one), (2, two), (2, two)]), frame(spark, [(5, one), (5, two), (5, one)])
+    got = [tuple(r) for r in cross_split.overlaps_by_text(test, train).collect()]
+    assert sorted(got) == [(1, 5), (2, 5)]
+    assert sorted(tuple(r) for r in cross_split.overlap_classes(test, train).collect()) == [(1, 5, 1, 1), (2, 5, 1, 1)]
+
+
+def test_overlaps_in_ranges_of_seeds_and_blocks_of_members(spark, collection, monkeypatch):
+    """With a bitmap too small for all seeds at once, and frequent seeds split, the pairs are the same."""
+    from helixaudit.llm import hot_seeds
+
+    rng = random.Random(31)
+    family = "".join(rng.choice("ACGT") for _ in range(200))
+    rows = collection + [(5000 + n, edited(rng, family, 3)) for n in range(60)]
+    test, train = [(1000 + n, t) for n, t in rows if not n % 3], [(n, t) for n, t in rows if n % 3]
+    want = {tuple(r) for r in cross_split.overlaps_by_text(frame(spark, test), frame(spark, train)).collect()}
+    monkeypatch.setattr(cross_split, "LEAST_BITS", 12)
+    monkeypatch.setattr(cross_split, "MOST_BITS", 16)
+    monkeypatch.setattr(hot_seeds, "FREQUENT", 5)
+    monkeypatch.setattr(hot_seeds, "BLOCK_MEMBERS", 30)
+    got = [tuple(r) for r in cross_split.overlaps_by_text(frame(spark, test), frame(spark, train)).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 500
+
+
 def test_top_n_with_ties_and_few_items(spark):
     rng = random.Random(2)
     rows = [dict(query=f"seq_{q}_test", target=f"seq_{rng.randrange(40)}_train", pident=float(rng.choice((70, 80, 80, 90, 95)))) for q in (1, 1, 1, 2, 3) for _ in range(30)]
