@@ -35,7 +35,7 @@ from ..session import parallelism, spread, write_once
 from ..sources.hits import complete_hits, id_number
 from . import hot_seeds, kmers
 from .near_duplicates import BUCKET_POSTINGS, MOST_BUCKETS, PAIRS_A_TASK, bucket_count, checked, enough
-from .seeds import KEY_BITS, SEED, WINDOW, Exchange, by_bucket, class_bounds, class_span, gathered, keyed, longest_run, seed_bound, set_sizes, size_class, unpacked
+from .seeds import KEY_BITS, SEED, WINDOW, Exchange, bitmap_place, by_bucket, class_bounds, class_span, gathered, in_range, keyed, longest_run, seed_bound, set_sizes, size_class, unpacked
 
 #: Bits of the seed bitmap: 64 for each indexed seed of a range, within these bounds (at most 128 MB).
 LEAST_BITS, MOST_BITS = 20, 30
@@ -76,11 +76,6 @@ def kinds(sizes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return 2 * size_class(sizes) + (sizes == np.maximum(np.diff(offsets) - WINDOW + 1, 0))
 
 
-def in_range(seed: np.ndarray, part: int, parts: int) -> np.ndarray:
-    """Whether seeds lie in one of so many equal ranges."""
-    return seed * parts >> KEY_BITS == part
-
-
 def fresh_blocks(batch: pa.RecordBatch):
     """Blocks (digests, letters, offsets) of the texts of a batch of (d, text), each text once."""
     d = batch.column(0).to_numpy()
@@ -131,11 +126,6 @@ def seed_bitmap(rows: DataFrame, buckets: int, bits: int, part: int = 0, parts:
     return whole
 
 
-def bitmap_place(seed: np.ndarray, bits: int, parts: int) -> np.ndarray:
-    """Bit of a seed in the bitmap of its range."""
-    return (seed * parts & ((1 << KEY_BITS) - 1)) >> (KEY_BITS - bits)
-
-
 def probes(texts: DataFrame, bitmap, bits: int, buckets: int, part: int = 0, parts: int = 1) -> DataFrame:
     """(bucket, postings) of the training side: its seeds at all positions that lie in the range and that the bitmap knows."""
     longest = hot_seeds.FREQUENT**2
@@ -248,7 +238,7 @@ def candidates(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame
     seeds = letters // 8 + 1
     parts = -(-64 * seeds // (1 << MOST_BITS))
     bits = int(min(max(LEAST_BITS, (64 * seeds - 1).bit_length()), MOST_BITS))
-    buckets = int(min(max(parallelism(spark), 2 * seeds / BUCKET_POSTINGS), MOST_BUCKETS))
+    buckets = int(min(max(4 * parallelism(spark), 2 * seeds / BUCKET_POSTINGS), MOST_BUCKETS))
     found = None
     for part in range(parts):
         indexed = write_once(index(left, buckets, threshold, part, parts), "index")

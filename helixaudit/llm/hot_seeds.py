@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 
 from ..session import spread
 from . import kmers
-from .seeds import KEY_BITS, LEAST_GAP, SEED, WINDOW, Exchange, by_bucket, gathered, keyed, set_sizes, size_class
+from .seeds import KEY_BITS, LEAST_GAP, SEED, WINDOW, Exchange, bitmap_place, by_bucket, gathered, keyed, set_sizes, size_class
 
 #: Records that make a seed frequent.
 FREQUENT = 48
@@ -103,13 +103,13 @@ def seeds_once(texts: DataFrame, buckets: int) -> DataFrame:
     return spread(texts.select("text")).mapInArrow(run, Exchange.ddl)
 
 
-def bitmap(rows: DataFrame, buckets: int, bits: int, least: int) -> np.ndarray:
-    """Bitmap of 2^bits bits with the leading bits of every seed that occurs in at least ``least`` postings."""
+def bitmap(rows: DataFrame, buckets: int, bits: int, least: int, parts: int = 1) -> np.ndarray:
+    """Bitmap of 2^bits bits (see :func:`seeds.bitmap_place`) of every seed that occurs in at least ``least`` postings; all lie in one range."""
 
     def run(table: pa.Table) -> pa.Table:
         seed = np.sort(gathered(x.as_py() for x in table.column("postings"))[0])
         # A bucket of fewer postings has none: its stop index would count from the end.
-        at = np.unique(seed[least - 1 :][seed[least - 1 :] == seed[: max(0, len(seed) - least + 1)]] >> (KEY_BITS - bits))
+        at = np.unique(bitmap_place(seed[least - 1 :][seed[least - 1 :] == seed[: max(0, len(seed) - least + 1)]], bits, parts))
         if not len(at):
             return pa.table({"at": pa.array([], pa.int64()), "marks": pa.array([], pa.binary())})
         low = int(at[0]) >> 3 << 3
@@ -139,7 +139,7 @@ def prefix_postings(texts: DataFrame, buckets: int, threshold: float, known, bit
                 rec, seed, sizes, places = all_seeds(letters, offsets)
                 if not len(rec):
                     continue
-                at = seed >> (KEY_BITS - bits)
+                at = bitmap_place(seed, bits)
                 often = (marks[at >> 3] >> (at & 7).astype(np.uint8)) & 1
                 order = np.lexsort((seed, often, rec))
                 rec, seed = rec[order], seed[order]

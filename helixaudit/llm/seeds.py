@@ -110,6 +110,16 @@ def keyed(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(64 - KEY_BITS)).astype(np.int64)
 
 
+def in_range(seed: np.ndarray, part: int, parts: int) -> np.ndarray:
+    """Whether seeds lie in one of so many equal ranges."""
+    return seed * parts >> KEY_BITS == part
+
+
+def bitmap_place(seed: np.ndarray, bits: int, parts: int = 1) -> np.ndarray:
+    """Bit of a seed in the bitmap of 2^bits bits of its range."""
+    return (seed * parts & ((1 << KEY_BITS) - 1)) >> (KEY_BITS - bits)
+
+
 def minimum_seeds(letters: np.ndarray, offsets: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(record, seed of KEY_BITS bits, kind) of the seeds that are local minima; ``kind`` is twice the size class, and one more
     for a record whose windows are all distinct.

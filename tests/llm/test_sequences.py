@@ -296,6 +296,21 @@ def test_shared_spans_match_brute_force(spark, collection):
         assert (spans, shared) == (len(own), sum(b - a + 1 for a, b in own))
 
 
+def test_shared_spans_in_ranges_of_keys_and_small_flushes(spark, collection, monkeypatch):
+    """A stretch of very many records, a bitmap too small for all keys at once and chunks sent bit by bit: the spans are the same."""
+    rng = random.Random(37)
+    text = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+    stretch = text(90)
+    rows = collection + [(7000 + n, text(rng.randrange(5, 40)) + stretch + text(20)) for n in range(80)]
+    want = {tuple(r) for r in shared_spans.shared_spans(frame(spark, rows)).collect()}
+    assert all(any(m == 7000 + n and b - a >= 89 for m, a, b in want) for n in range(80))
+    monkeypatch.setattr(shared_spans, "LEAST_BITS", 12)
+    monkeypatch.setattr(shared_spans, "MOST_BITS", 15)
+    monkeypatch.setattr(shared_spans, "HELD_LETTERS", 2000)
+    got = [tuple(r) for r in shared_spans.shared_spans(frame(spark, rows)).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_format_copies_match_brute_force(spark):
     rng = random.Random(3)
     base = "".join(rng.choice("ACGT") for _ in range(30))
