@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .metrics import by_pair, class_pairs
@@ -11,9 +11,24 @@ from .metrics import by_pair, class_pairs
 REMAINING_FAIL = 0.98
 
 
+def texts(s: DataFrame) -> DataFrame:
+    """(label, seq, k): each distinct sequence of a class with its number of copies."""
+    return s.groupBy("label", "seq").agg(F.count(F.lit(1)).alias("k"))
+
+
 def levels(s: DataFrame) -> DataFrame:
     """(label, seq, extra): extra copies of every sequence that a class holds more than once."""
-    return s.groupBy("label", "seq").agg((F.count(F.lit(1)) - 1).alias("extra")).where(F.col("extra") > 0)
+    return texts(s).select("label", "seq", (F.col("k") - 1).alias("extra")).where(F.col("extra") > 0)
+
+
+def ranked_levels(numbered: DataFrame) -> DataFrame:
+    """(label, place, seq, extra): the :func:`levels` of (no, label, seq), most copies first, ties by the first appearance.
+
+    ``place`` counts from 1 in each class. Only sequences with copies are ordered.
+    """
+    rows = numbered.groupBy("label", "seq").agg((F.count(F.lit(1)) - 1).alias("extra"), F.min("no").alias("first")).where(F.col("extra") > 0)
+    order = Window.partitionBy("label").orderBy(F.desc("extra"), "first", "seq")
+    return rows.select("label", F.row_number().over(order).alias("place"), "seq", "extra")
 
 
 def bin_of(extra):
@@ -30,10 +45,13 @@ def bins(s: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
     return rows.select("label_1", "label_2", "label", "bin", "extra", (F.col("extra") * 100.0 / (F.col("n_1") + F.col("n_2"))).alias("percent"))
 
 
-def within_check(s: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
-    """(label_1, label_2, remaining, flag): share of the pair's sequences that are left when each class is deduplicated."""
+def within_check(s: DataFrame, pairs: DataFrame | None = None, held: DataFrame | None = None) -> DataFrame:
+    """(label_1, label_2, remaining, flag): share of the pair's sequences that are left when each class is deduplicated.
+
+    ``held`` are the :func:`texts` of ``s``, if they are known.
+    """
     pairs = class_pairs(s) if pairs is None else pairs
-    sizes = s.groupBy("label", "seq").agg(F.count(F.lit(1)).alias("k")).groupBy("label").agg(F.count(F.lit(1)).alias("distinct"), F.sum("k").alias("n"))
+    sizes = (texts(s) if held is None else held).groupBy("label").agg(F.count(F.lit(1)).alias("distinct"), F.sum("k").alias("n"))
     rows = by_pair(sizes, pairs, "distinct", "n").groupBy("label_1", "label_2").agg((F.sum("distinct") / F.sum("n")).alias("remaining"))
     left = F.col("remaining")
     return rows.withColumn("flag", F.when(left < REMAINING_FAIL, "Fail").when(left < 1, "Warning").otherwise("Pass"))

@@ -1,7 +1,7 @@
 """Features of labelled sequences, one row per value that is not zero.
 
 Input everywhere: ``(label string, seq string)``, one row per sequence; see ``sources.tables.labelled``.
-Counts inside a sequence are taken by string expressions on its own row, so nothing is shuffled
+The built-in features are counted in one pass over the letters (:mod:`composition`), so nothing is shuffled
 before the values are aggregated to histograms, whose size depends on distinct values only.
 """
 
@@ -13,6 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .composition import composition
+
 #: Check names, in report order (fixed values).
 BASES = "Unique bases"
 WITHIN = "Sequence Duplications within Labels"
@@ -26,34 +28,11 @@ REVERSED = "Per position reversed nucleotide content"
 CHECKS = (BASES, WITHIN, BETWEEN, LENGTHS, GC, NUCLEOTIDES, DINUCLEOTIDES, FORWARD, REVERSED)
 
 
-def occurrences(seq: Column, letter: Column) -> Column:
-    """How often a single character occurs in a sequence."""
-    return F.length(seq) - F.length(F.replace(seq, letter, F.lit("")))
-
-
 def letters(seq: Column) -> Column:
     """Distinct characters of a sequence; an empty one has none."""
     return F.filter(F.array_distinct(F.split(seq, "")), lambda c: c != "")
 
 
-def pairs_in(seq: Column) -> Column:
-    """Distinct overlapping pairs of characters of a sequence."""
-    places = F.when(F.length(seq) >= 2, F.sequence(F.lit(1), F.length(seq) - 1)).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(F.transform(places, lambda i: F.substr(seq, i, F.lit(2))))
-
-
-def pair_occurrences(seq: Column, pair: Column) -> Column:
-    """Overlapping occurrences of a pair of characters.
-
-    Two different characters cannot overlap themselves; of a repeated one, a run of r holds r - 1
-    pairs, so the pairs are its occurrences less its runs.
-    """
-    first = F.substr(pair, F.lit(1), F.lit(1))
-    runs = F.regexp_count(seq, F.concat(F.lit("\\Q"), first, F.lit("\\E+")))
-    apart = ((F.length(seq) - F.length(F.replace(seq, pair, F.lit("")))) / 2).cast("int")
-    return F.when(first == F.substr(pair, F.lit(2), F.lit(1)), occurrences(seq, first) - runs).otherwise(apart)
-
-
 @dataclass(frozen=True)
 class Feature:
     """A named family of values of a sequence.
@@ -67,30 +46,12 @@ class Feature:
     check: str
     values: Callable[[DataFrame], DataFrame]
     domain: Callable[[DataFrame], DataFrame] | None = None
+    #: What :mod:`composition` calls a built-in family.
+    kind: str = ""
 
 
-def _scalar(value: Column) -> Callable[[DataFrame], DataFrame]:
-    return lambda s: s.select("label", F.lit("").alias("feature"), value.alias("value"))
-
-
-def _lengths(s: DataFrame) -> DataFrame:
-    return s.select("label", F.lit("").alias("feature"), F.length("seq").cast("double").alias("value"))
-
-
-def _gc(s: DataFrame) -> DataFrame:
-    strong = F.length("seq") - F.length(F.translate("seq", "GC", ""))
-    value = F.when(F.length("seq") > 0, strong * 100.0 / F.length("seq")).otherwise(0.0)
-    return s.select("label", F.lit("").alias("feature"), value.alias("value"))
-
-
-def _bases(s: DataFrame) -> DataFrame:
-    rows = s.select("label", "seq", F.explode(letters(F.col("seq"))).alias("feature"))
-    return rows.select("label", "feature", (occurrences(F.col("seq"), F.col("feature")).cast("double") / F.length("seq")).alias("value"))
-
-
-def _pairs(s: DataFrame) -> DataFrame:
-    rows = s.select("label", "seq", F.explode(pairs_in(F.col("seq"))).alias("feature"))
-    return rows.select("label", "feature", (pair_occurrences(F.col("seq"), F.col("feature")).cast("double") / (F.length("seq") - 1)).alias("value"))
+def _built_in(check: str, kind: str, domain: Callable[[DataFrame], DataFrame] | None = None) -> Feature:
+    return Feature(check, lambda s: composition(s, {kind: check}, tally=False).select("label", "feature", "value"), domain, kind)
 
 
 def _pair_domain(alphabet: DataFrame) -> DataFrame:
@@ -99,16 +60,25 @@ def _pair_domain(alphabet: DataFrame) -> DataFrame:
 
 
 FEATURES = (
-    Feature(LENGTHS, _lengths),
-    Feature(GC, _gc),
-    Feature(NUCLEOTIDES, _bases, lambda alphabet: alphabet),
-    Feature(DINUCLEOTIDES, _pairs, _pair_domain),
+    _built_in(LENGTHS, "length"),
+    _built_in(GC, "gc"),
+    _built_in(NUCLEOTIDES, "base", lambda alphabet: alphabet),
+    _built_in(DINUCLEOTIDES, "pair", _pair_domain),
 )
 
 
 def scalar_feature(check: str, value: Column) -> Feature:
     """A user's feature: one number per sequence, as a column expression over ``seq`` (or a pandas UDF); null counts as 0."""
-    return Feature(check, _scalar(F.coalesce(value.cast("double"), F.lit(0.0))))
+    return Feature(check, lambda s: s.select("label", F.lit("").alias("feature"), F.coalesce(value.cast("double"), F.lit(0.0)).alias("value")))
+
+
+def column_features(check: str, values: dict[str, Column]) -> Feature:
+    """A user's family of features: several numbers per sequence, by name, each a column expression over ``seq``.
+
+    Each has a row of its own in reports, and the check is as bad as the worst of them. A null counts as 0.
+    """
+    rows = F.inline(F.array(*[F.struct(F.lit(name).alias("feature"), F.coalesce(value.cast("double"), F.lit(0.0)).alias("value")) for name, value in values.items()]))
+    return Feature(check, lambda s: s.select("label", rows))
 
 
 def alphabets(s: DataFrame) -> DataFrame:
@@ -118,11 +88,13 @@ def alphabets(s: DataFrame) -> DataFrame:
 
 def histograms(s: DataFrame, features: tuple[Feature, ...] = FEATURES) -> DataFrame:
     """(check, label, feature, value, n): sequences of each class by value of each feature, zeros left out of families with a domain."""
-    parts = [f.values(s).select(F.lit(f.check).alias("check"), "label", "feature", "value") for f in features]
+    kinds = {f.kind: f.check for f in features if f.kind}
+    parts = [composition(s, kinds)] if kinds else []
+    parts += [f.values(s).select(F.lit(f.check).alias("check"), "label", "feature", "value", F.lit(1).cast("bigint").alias("n")) for f in features if not f.kind]
     rows = parts[0]
     for part in parts[1:]:
         rows = rows.unionByName(part)
-    return rows.groupBy("check", "label", "feature", "value").agg(F.count(F.lit(1)).alias("n"))
+    return rows.groupBy("check", "label", "feature", "value").agg(F.sum("n").alias("n"))
 
 
 def class_summary(s: DataFrame) -> DataFrame:

@@ -127,7 +127,7 @@ def two_by_two(m1: Column, c1: Column, m2: Column, c2: Column) -> tuple[Column,
     )
 
 
-def feature_metrics(s: DataFrame, features: tuple[Feature, ...] = FEATURES, floor: int = FLOOR, pairs: DataFrame | None = None, alphabet: DataFrame | None = None) -> DataFrame:
+def feature_metrics(s: DataFrame, features: tuple[Feature, ...] = FEATURES, floor: int = FLOOR, pairs: DataFrame | None = None, alphabet: DataFrame | None = None, hist: DataFrame | None = None) -> DataFrame:
     """(label_1, label_2, check, feature, auroc, aupr, accuracy, flag) for every pair of classes.
 
     Scalar checks have one row with an empty ``feature``. Below ``floor`` sequences in the smaller
@@ -135,7 +135,7 @@ def feature_metrics(s: DataFrame, features: tuple[Feature, ...] = FEATURES, floo
     """
     pairs = class_pairs(s) if pairs is None else pairs
     # The histograms are read for values and for zeros; written once, they cost one pass over the sequences.
-    hist = write_once(histograms(s, features), "histograms")
+    hist = write_once(histograms(s, features), "histograms") if hist is None else hist
     scored = tie_group_metrics(pair_histograms(hist, alphabets(s) if alphabet is None else alphabet, pairs, features), list(KEYS))
     rows = scored.join(F.broadcast(pairs), ["label_1", "label_2"])
     enough = F.least("n_1", "n_2") >= floor

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import composition
 from .features import FORWARD, REVERSED, alphabets
 from .metrics import FLOOR, by_pair, class_pairs, flag, two_by_two
 
@@ -53,6 +54,16 @@ def windows(lengths: DataFrame, end_position: int | None = None, min_coverage: f
     return out.select("label", "sequences", "end_position", F.least("scored", "end_position").cast("int").alias("scored_end_position"))
 
 
+def cohort_floor(sizes: DataFrame, pairs: DataFrame, min_coverage: float = 0.25, floor: int = FLOOR) -> DataFrame:
+    """(label_1, label_2, cohort_floor): the share of a class that must reach a position for it to be scored.
+
+    Each class asks for max(``floor``, ``min_coverage`` of it) of its ``n`` sequences; the larger share of the two binds.
+    """
+    share = F.greatest(F.lit(floor), F.ceil(F.lit(float(min_coverage)) * F.col("n"))) / F.col("n")
+    rows = by_pair(sizes.where("n > 0").select("label", share.alias("share")), pairs, "share")
+    return rows.groupBy("label_1", "label_2").agg(F.max("share").alias("cohort_floor"))
+
+
 def pair_windows(own: DataFrame, pairs: DataFrame) -> DataFrame:
     """(label_1, label_2, end_position, scored_end_position): the windows both classes allow."""
     rows = by_pair(own, pairs, "end_position", "scored_end_position")
@@ -62,29 +73,29 @@ def pair_windows(own: DataFrame, pairs: DataFrame) -> DataFrame:
 def position_counts(s: DataFrame, reverse: bool = False, end: DataFrame | None = None) -> DataFrame:
     """(label, pos, base, n): how often each character stands at each 1-based position of a class.
 
-    ``end`` (label, last) cuts the sequences before they are taken apart: Catalyst would not
-    derive that limit from a filter on the position.
+    ``end`` (label, last) cuts the sequences before their letters are counted.
     """
-    text = F.reverse("seq") if reverse else F.col("seq")
-    if end is not None:
-        s = s.join(F.broadcast(end), "label")
-        text = F.substr(text, F.lit(1), F.col("last"))
-    rows = s.select("label", F.posexplode(F.split(text, "")).alias("at", "base")).where(F.col("base") != "")
-    return rows.groupBy("label", (F.col("at") + 1).alias("pos"), "base").agg(F.count(F.lit(1)).alias("n"))
+    return both_counts(s, end, (reverse,)).drop("reverse")
+
+
+def both_counts(s: DataFrame, end: DataFrame | None = None, directions: tuple[bool, ...] = (False, True)) -> DataFrame:
+    """(label, reverse, pos, base, n): the :func:`position_counts` of both directions, in one pass."""
+    s = s.select("label", "seq", F.lit(None).alias("last")) if end is None else s.join(F.broadcast(end), "label")
+    return composition.positions(s, directions).groupBy("label", "reverse", "pos", "base").agg(F.sum("n").alias("n"))
 
 
-def position_metrics(s: DataFrame, reverse: bool = False, end_position: int | None = None, min_coverage: float = 0.25, floor: int = FLOOR, pairs: DataFrame | None = None, alphabet: DataFrame | None = None, lengths: DataFrame | None = None) -> DataFrame:
+def position_metrics(s: DataFrame, reverse: bool = False, end_position: int | None = None, min_coverage: float = 0.25, floor: int = FLOOR, pairs: DataFrame | None = None, alphabet: DataFrame | None = None, lengths: DataFrame | None = None, counts: DataFrame | None = None) -> DataFrame:
     """(label_1, label_2, check, base, pos, auroc, aupr, accuracy, flag): every base of either class at every reported position.
 
     Positions past the scored window, or that fewer than ``floor`` sequences of either class reach, are
-    Unknown with null metrics.
+    Unknown with null metrics. ``counts`` are :func:`position_counts` as far as the scored window, if they are known.
     """
     pairs = class_pairs(s) if pairs is None else pairs
     alphabet = alphabets(s) if alphabet is None else alphabet
     lengths = length_counts(s) if lengths is None else lengths
     own = windows(lengths, end_position, min_coverage, floor)
     both = pair_windows(own, pairs)
-    counts = position_counts(s, reverse, own.select("label", F.col("scored_end_position").alias("last")))
+    counts = position_counts(s, reverse, own.select("label", F.col("scored_end_position").alias("last"))) if counts is None else counts
     bases = by_pair(alphabet, pairs, "feature").select("label_1", "label_2", F.col("feature").alias("base")).distinct()
     grid = bases.join(F.broadcast(both), ["label_1", "label_2"])
     # At most (bases x positions) rows per pair; an empty window gives none.

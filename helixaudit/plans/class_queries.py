@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.cleaning import cleaned
-from ..session import spread
+from ..session import spread, write_once
 from ..operators import distribution, duplicates, features, leakage, metrics, positions, similarity
 from ..sources.hits import complete_hits
 from ..sources.tables import MISSING, labelled, median_split, present
@@ -110,6 +110,28 @@ def label_pairs(spark, folder):
     return _rounded(metrics.feature_metrics(s, features.FEATURES[:1]), *M)
 
 
+def regression_metrics_all(spark, folder):
+    """All families of features; regression_metrics has lengths only."""
+    s = median_split(table(spark, folder, "part"), ["p_name"], "p_size", "part")
+    return _rounded(metrics.feature_metrics(s, floor=0), *M)
+
+
+def label_pairs_all(spark, folder):
+    """All families of features; label_pairs has lengths only."""
+    return _rounded(metrics.feature_metrics(labelled(table(spark, folder, "events").select("event_type", "props"), ["props"], "event_type", "events")), *M)
+
+
+def cohort_floor(spark, folder):
+    sizes = labelled_train(spark, folder).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    return _rounded(positions.cohort_floor(sizes, metrics.class_pairs(None, sizes=sizes)), "cohort_floor")
+
+
+def dup_ranked(spark, folder):
+    """Repeated sequences of each class, most copies first, ties by the first record."""
+    rows = table(spark, folder, "enhancers_train").select(F.col("seq_no").alias("no"), present(F.col("label")).alias("label"), cleaned(present(F.col("sequence"))).alias("seq"))
+    return duplicates.ranked_levels(rows.where(F.col("label").isNotNull()))
+
+
 def class_report(spark, folder):
     return _rounded(report.class_report(labelled_train(spark, folder)), *M)
 
@@ -126,6 +148,14 @@ def feature_distribution(spark, folder):
     return rows.select("label", "check", "feature", "n", *[F.round(c, 6).alias(c) for c in ("low", "high")], *[F.round(F.get("letters", F.lit(i)), 6).alias(c) for i, c in enumerate(("median", "quarter", "three_quarters"))])
 
 
+def letter_values(spark, folder):
+    """Letter values of every feature of every class, as deep as reports draw them."""
+    s = labelled_train(spark, folder)
+    hist = write_once(features.histograms(s), "histograms")
+    rows = distribution.letter_values(distribution.with_zeros(hist, features.alphabets(s), s.groupBy("label").agg(F.count(F.lit(1)).alias("n"))))
+    return rows.select("label", "check", "feature", "n", *[F.round(F.get("letters", F.lit(i)), 6).alias(f"letter_{i}") for i in range(len(distribution.tails()))])
+
+
 def _hits(spark, folder):
     return table(spark, folder, "mmseqs2_search_result")
 
@@ -198,7 +228,7 @@ def queries():
         "length_metrics": _family(features.LENGTHS), "gc_metrics": _family(features.GC),
         "base_metrics": _family(features.NUCLEOTIDES), "dinuc_metrics": _family(features.DINUCLEOTIDES),
     }
-    plain = (class_summary, alphabet_check, dup_levels, dup_bins, dup_within_check, dup_between, dup_between_check, position_counts_fwd, position_counts_rev, position_cohorts, position_windows, position_metrics_fwd, position_metrics_rev, position_headline, regression_split, regression_metrics, label_pairs, class_report, class_verdict, feature_distribution, hits_complete, best_similarity, hit_summary, leak_listing, leak_hist, leak_stats, leak_check, leak_exact, leak_exact_all, similarity_join)
+    plain = (class_summary, alphabet_check, dup_levels, dup_bins, dup_within_check, dup_between, dup_between_check, position_counts_fwd, position_counts_rev, position_cohorts, position_windows, position_metrics_fwd, position_metrics_rev, position_headline, regression_split, regression_metrics, regression_metrics_all, label_pairs, label_pairs_all, cohort_floor, dup_ranked, class_report, class_verdict, feature_distribution, letter_values, hits_complete, best_similarity, hit_summary, leak_listing, leak_hist, leak_stats, leak_check, leak_exact, leak_exact_all, similarity_join)
     return named | {f.__name__: f for f in plain}
 
 
@@ -279,9 +309,13 @@ _LEAK_FLAG = "CASE WHEN qp >= 2 THEN 'Fail' WHEN qp > 0 THEN 'Warning' ELSE 'Pas
 _MEDIAN = "b AS (SELECT CASE WHEN p_size >= (SELECT median(p_size) FROM part) THEN 'high' ELSE 'low' END AS label, upper(p_name) AS seq FROM part)"
 
 
-def _spread(check: str, values: str, domain: str) -> str:
+_QUARTERS = "round(min(v), 6) AS low, round(max(v), 6) AS high, round(quantile_cont(v, 0.5), 6) AS median, round(quantile_cont(v, 0.25), 6) AS quarter, round(quantile_cont(v, 0.75), 6) AS three_quarters"
+_LETTERS = ", ".join(f"round(quantile_cont(v, {q}), 6) AS letter_{i}" for i, q in enumerate(("0.5", "0.25", "0.75", "0.125", "0.875", "0.0625", "0.9375", "0.03125", "0.96875")))
+
+
+def _spread(check: str, values: str, domain: str, quantiles: str = _QUARTERS) -> str:
     """Quantiles over all sequences of a class, with a value for every feature of the class."""
-    return f"""SELECT label, '{check}' AS "check", feature, count(*) AS n, round(min(v), 6) AS low, round(max(v), 6) AS high, round(quantile_cont(v, 0.5), 6) AS median, round(quantile_cont(v, 0.25), 6) AS quarter, round(quantile_cont(v, 0.75), 6) AS three_quarters
+    return f"""SELECT label, '{check}' AS "check", feature, count(*) AS n, {quantiles}
 FROM (SELECT i.label, d.feature, coalesce(x.v, 0) AS v FROM i JOIN ({domain}) d ON d.label = i.label LEFT JOIN ({values}) x ON x.id = i.id AND x.feature = d.feature) GROUP BY label, feature"""
 
 
@@ -310,14 +344,24 @@ def _report_rows(sql: dict[str, str]) -> str:
     return " UNION ALL ".join(parts)
 
 
+def _spreads(quantiles: str) -> str:
+    return f"WITH {_S}, {_IDS}, {_ALPHABET} " + " UNION ALL ".join(_spread(check, values.replace("SELECT label,", "SELECT id, label,", 1), domain, quantiles) for check, values, domain in (
+        ("Sequence lengths", _LENGTH, "SELECT DISTINCT label, '' AS feature FROM s"), ("Per sequence GC content", _GC, "SELECT DISTINCT label, '' AS feature FROM s"),
+        ("Per sequence nucleotide content", _BASE, "SELECT label, ch AS feature FROM alpha"), ("Per sequence dinucleotide content", _DINUC, "SELECT x.label, x.ch || y.ch AS feature FROM alpha x JOIN alpha y USING (label)")))
+
+
+def _all_metrics(base: str, floor: int) -> str:
+    families = (("Sequence lengths", _LENGTH, _NO_DOMAIN), ("Per sequence GC content", _GC, _NO_DOMAIN), ("Per sequence nucleotide content", _BASE, _BASE_DOMAIN), ("Per sequence dinucleotide content", _DINUC, _DINUC_DOMAIN))
+    return " UNION ALL ".join(f"SELECT * FROM ({_metrics(*f, base=base, floor=floor)})" for f in families)
+
+
 def oracle_sql() -> dict[str, str]:
     sql = _single_sql()
     rows = _report_rows(sql)
     return sql | {
         "class_report": f"SELECT label_1, label_2, CAST(row_number() OVER (PARTITION BY label_1, label_2 ORDER BY headline DESC, place, key, \"check\") AS int) AS row, \"check\", headline, flag, auroc, aupr, accuracy FROM ({rows})",
-        "feature_distribution": f"WITH {_S}, {_IDS}, {_ALPHABET} " + " UNION ALL ".join(_spread(check, values.replace("SELECT label,", "SELECT id, label,", 1), domain) for check, values, domain in (
-            ("Sequence lengths", _LENGTH, "SELECT DISTINCT label, '' AS feature FROM s"), ("Per sequence GC content", _GC, "SELECT DISTINCT label, '' AS feature FROM s"),
-            ("Per sequence nucleotide content", _BASE, "SELECT label, ch AS feature FROM alpha"), ("Per sequence dinucleotide content", _DINUC, "SELECT x.label, x.ch || y.ch AS feature FROM alpha x JOIN alpha y USING (label)"))),
+        "feature_distribution": _spreads(_QUARTERS),
+        "letter_values": _spreads(_LETTERS),
         "class_verdict": f"SELECT label_1, label_2, flag, count(*) AS checks FROM ({rows}) WHERE headline GROUP BY ALL",
     }
 
@@ -347,6 +391,11 @@ def _single_sql() -> dict[str, str]:
         "regression_split": f"WITH {_MEDIAN} SELECT label, count(*) AS n, CAST(sum(length(seq)) AS bigint) AS letters FROM b GROUP BY label",
         "regression_metrics": _metrics(*lengths, base=f"{_MEDIAN}, s AS (SELECT * FROM b)", floor=0),
         "label_pairs": _metrics(*lengths, base="s AS (SELECT event_type AS label, upper(coalesce(props, '')) AS seq FROM events WHERE event_type IS NOT NULL)"),
+        "regression_metrics_all": _all_metrics(f"{_MEDIAN}, s AS (SELECT * FROM b)", 0),
+        "label_pairs_all": _all_metrics("s AS (SELECT event_type AS label, upper(coalesce(props, '')) AS seq FROM events WHERE event_type IS NOT NULL)", 250),
+        "cohort_floor": f"WITH {_S}, {_PAIRS}, y AS (SELECT label, greatest(250, ceil(0.25 * n)) / n AS share FROM k) SELECT l1 AS label_1, l2 AS label_2, round(max(share), 6) AS cohort_floor FROM p JOIN y ON label = l1 OR label = l2 GROUP BY ALL",
+        "dup_ranked": f"""WITH s AS (SELECT seq_no, label, regexp_replace(upper(CASE WHEN sequence IS NULL OR sequence IN ({_MISSING}) THEN '' ELSE sequence END), '[^A-Z]', '', 'g') AS seq FROM enhancers_train WHERE label IS NOT NULL AND label NOT IN ({_MISSING})),
+l AS (SELECT label, seq, count(*) - 1 AS extra, min(seq_no) AS first FROM s GROUP BY label, seq HAVING count(*) > 1) SELECT label, CAST(row_number() OVER (PARTITION BY label ORDER BY extra DESC, first, seq) AS int) AS place, seq, extra FROM l""",
         "hits_complete": f"WITH {_HITS} SELECT * EXCLUDE (sim) FROM h",
         "best_similarity": f"WITH {_HITS} SELECT query AS id, round(CAST(CAST(max(sim) AS float) AS double), 4) AS similarity FROM h GROUP BY query",
         "hit_summary": f"WITH {_HITS}, {_SUMMARY} SELECT * FROM y",

@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import duplicates
-from ..operators.features import BASES, BETWEEN, CHECKS, FEATURES, FORWARD, REVERSED, WITHIN, Feature, alphabets
+from ..operators.features import BASES, BETWEEN, CHECKS, FEATURES, FORWARD, LENGTHS, NUCLEOTIDES, REVERSED, WITHIN, Feature, alphabets, histograms
 from ..operators.metrics import FLOOR, class_pairs, feature_metrics, worst_case
-from ..operators.positions import length_counts, position_metrics
+from ..operators.positions import both_counts, length_counts, position_metrics, windows
 from ..session import write_once
 
 METRICS = ("auroc", "aupr", "accuracy")
@@ -27,24 +27,30 @@ def class_report(s: DataFrame, end_position: int | None = None, min_coverage: fl
     base by base, each base followed by its own headline. Rule checks have no metrics. A check
     without any sub-check has no headline.
     """
-    # What is read several times is small and written once: else each use would scan the sequences again.
-    lengths = write_once(length_counts(s), "lengths")
+    # Three passes over the sequences: values of all features, distinct texts, positions. All else is read from what these wrote.
+    hist = write_once(histograms(s, features), "histograms")
+    checks = {f.check for f in features if f.kind}
+    lengths = hist.where(F.col("check") == LENGTHS).select("label", F.col("value").cast("int").alias("len"), "n") if LENGTHS in checks else write_once(length_counts(s), "lengths")
     pairs = write_once(class_pairs(s, order, lengths.groupBy("label").agg(F.sum("n").alias("n"))), "pairs")
-    alphabet = write_once(alphabets(s), "alphabets")
+    alphabet = write_once(hist.where(F.col("check") == NUCLEOTIDES).select("label", "feature").distinct() if NUCLEOTIDES in checks else alphabets(s), "alphabets")
+    held = write_once(duplicates.texts(s), "texts")
     lit = F.lit
     parts = [
         _rows(duplicates.alphabet_check(s, alphabet, pairs), lit(BASES), lit(BASES), True, []),
-        _rows(duplicates.within_check(s, pairs), lit(WITHIN), lit(WITHIN), True, []),
-        _rows(duplicates.between_check(s, pairs), lit(BETWEEN), lit(BETWEEN), True, []),
+        _rows(duplicates.within_check(s, pairs, held), lit(WITHIN), lit(WITHIN), True, []),
+        _rows(duplicates.between_check(held, pairs), lit(BETWEEN), lit(BETWEEN), True, []),
     ]
-    single = write_once(feature_metrics(s, features, floor, pairs, alphabet), "features")
+    single = write_once(feature_metrics(s, features, floor, pairs, alphabet, hist), "features")
+    last = windows(lengths, end_position, min_coverage, floor).select("label", F.col("scored_end_position").alias("last"))
+    counts = write_once(both_counts(s, last), "counts")
     check, feature = F.col("check"), F.col("feature")
     parts.append(_rows(single.where(feature == ""), check, check, True, []))
     many = single.where(feature != "")
     parts.append(_rows(many, check, F.concat(check, lit(" - "), feature), False, [feature]))
     parts.append(_rows(worst_case(many, ["label_1", "label_2", "check"]), check, check, True, []))
     for reverse in (False, True):
-        places = write_once(position_metrics(s, reverse, end_position, min_coverage, floor, pairs, alphabet, lengths), "positions")
+        own = counts.where(F.col("reverse") == reverse).drop("reverse")
+        places = write_once(position_metrics(s, reverse, end_position, min_coverage, floor, pairs, alphabet, lengths, own), "positions")
         base = F.col("base")
         # Code points keep the order of bases where the names would not.
         by_base = F.lpad(F.ascii("base").cast("string"), 8, "0")
