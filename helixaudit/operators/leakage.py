@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +30,19 @@ def checked_ids(rows: DataFrame, n_queries: int, n_targets: int) -> DataFrame:
     return rows.where(F.assert_true(ok, F.concat_ws(" ", F.lit("hit of an unknown sequence:"), "query", "target")).isNull())
 
 
+def known_hits(hits: DataFrame, n_queries: int, n_targets: int, source: str = "hits") -> DataFrame:
+    """The complete hits, kept; raises if one names a sequence that is none of the given numbers. The caller unpersists them."""
+    rows = checked_ids(with_similarity(hits), n_queries, n_targets).select(*[f.name for f in HIT_SCHEMA]).persist()
+    try:
+        rows.count()
+    except Exception as error:
+        rows.unpersist()
+        if found := re.search(r"hit of an unknown sequence: [^\n]*", str(error)):
+            raise ValueError(f"{source}: {found[0]}") from None
+        raise
+    return rows
+
+
 def reverse_strand() -> Column:
     """Whether a hit has descending coordinates. Such hits are counted, never dropped."""
     return (F.col("qstart") > F.col("qend")) | (F.col("tstart") > F.col("tend"))
@@ -94,6 +109,9 @@ def histogram(hits: DataFrame, ids: DataFrame, side: str = "query") -> DataFrame
 
 
 def export(hits: DataFrame, path: str, threshold: float = 90.0) -> None:
-    """All leaked hits in the total order as one tab-separated file with a header, also when there are none."""
+    """All leaked hits in the total order, tab-separated with a header, also when there are none.
+
+    ``path`` becomes a folder of part files, each a range of the order, whose names follow it; few hits make one file.
+    """
     columns = [f.name for f in HIT_SCHEMA] + ["min_cov", F.col("similarity").alias("min_cov*pident")]
-    leaked_hits(hits, threshold).orderBy(*listing_order()).select(*columns).coalesce(1).write.csv(path, sep="\t", header=True)
+    leaked_hits(hits, threshold).orderBy(*listing_order()).select(*columns).write.csv(path, sep="\t", header=True)

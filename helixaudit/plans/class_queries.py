@@ -223,12 +223,18 @@ def similarity_join(spark, folder):
     return _rounded(rows, "qcov", "tcov", "pident")
 
 
+def leak_copies(spark, folder):
+    """The hits of the similarity join that are copies: all letters of both sides, all the same."""
+    rows = similarity_join(spark, folder).where("qcov = 1 and tcov = 1 and pident = 100")
+    return rows.select(*[F.regexp_extract(c, "[0-9]+", 0).cast("bigint").alias(name) for c, name in (("query", "test_no"), ("target", "train_no"))])
+
+
 def queries():
     named = {
         "length_metrics": _family(features.LENGTHS), "gc_metrics": _family(features.GC),
         "base_metrics": _family(features.NUCLEOTIDES), "dinuc_metrics": _family(features.DINUCLEOTIDES),
     }
-    plain = (class_summary, alphabet_check, dup_levels, dup_bins, dup_within_check, dup_between, dup_between_check, position_counts_fwd, position_counts_rev, position_cohorts, position_windows, position_metrics_fwd, position_metrics_rev, position_headline, regression_split, regression_metrics, regression_metrics_all, label_pairs, label_pairs_all, cohort_floor, dup_ranked, class_report, class_verdict, feature_distribution, letter_values, hits_complete, best_similarity, hit_summary, leak_listing, leak_hist, leak_stats, leak_check, leak_exact, leak_exact_all, similarity_join)
+    plain = (class_summary, alphabet_check, dup_levels, dup_bins, dup_within_check, dup_between, dup_between_check, position_counts_fwd, position_counts_rev, position_cohorts, position_windows, position_metrics_fwd, position_metrics_rev, position_headline, regression_split, regression_metrics, regression_metrics_all, label_pairs, label_pairs_all, cohort_floor, dup_ranked, class_report, class_verdict, feature_distribution, letter_values, hits_complete, best_similarity, hit_summary, leak_listing, leak_hist, leak_stats, leak_check, leak_exact, leak_exact_all, similarity_join, leak_copies)
     return named | {f.__name__: f for f in plain}
 
 
@@ -403,6 +409,8 @@ l AS (SELECT label, seq, count(*) - 1 AS extra, min(seq_no) AS first FROM s GROU
         "leak_hist": f"WITH {_HITS}, t AS (SELECT DISTINCT 'seq_' || seq_no || '_test' AS id FROM enhancers_test), b AS (SELECT id, CAST(CAST(max(sim) AS float) AS double) AS best FROM t LEFT JOIN h ON query = id GROUP BY id) SELECT CAST(least(floor(coalesce(best, 0) / 10), 9) AS int) AS bin, count(*) AS sequences FROM b GROUP BY 1",
         "leak_stats": f"{_STATS} SELECT * EXCLUDE (qp, tp), round(qp, 6) AS queries_leaked_percent, round(tp, 6) AS targets_leaked_percent, {_LEAK_FLAG} FROM st",
         "leak_check": f"{_STATS} SELECT 'Data Leakage' AS \"check\", {_LEAK_FLAG}, printf('%.2f%%', qp) AS leaked_queries, printf('%.2f%%', tp) AS leaked_targets FROM st",
+        "leak_copies": """WITH a AS (SELECT DISTINCT seq_no, regexp_replace(upper(sequence), '[^A-Z]', '', 'g') AS seq FROM enhancers_test), b AS (SELECT DISTINCT seq_no, regexp_replace(upper(sequence), '[^A-Z]', '', 'g') AS seq FROM enhancers_train)
+SELECT a.seq_no AS test_no, b.seq_no AS train_no FROM a JOIN b USING (seq) WHERE length(seq) >= 1""",
         "leak_exact": """WITH a AS (SELECT DISTINCT seq_no, regexp_replace(upper(sequence), '[^A-Z]', '', 'g') AS seq FROM enhancers_test), b AS (SELECT DISTINCT seq_no, regexp_replace(upper(sequence), '[^A-Z]', '', 'g') AS seq FROM enhancers_train)
 SELECT min(a.seq_no) AS first_test_no, count(DISTINCT a.seq_no) AS n_test, count(DISTINCT b.seq_no) AS n_train FROM a JOIN b USING (seq) WHERE length(seq) >= 40 GROUP BY seq""",
         "leak_exact_all": """WITH a AS (SELECT DISTINCT seq_no, regexp_replace(upper(sequence), '[^A-Z]', '', 'g') AS seq FROM enhancers_test), b AS (SELECT DISTINCT seq_no, regexp_replace(upper(sequence), '[^A-Z]', '', 'g') AS seq FROM enhancers_train)

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import naming
 from ..operators import duplicates, features, leakage, positions, similarity
-from ..session import spread
+from ..session import forget, marked, spread
 from ..sources import fasta, tables
 from ..sources.hits import read_hits
 from . import class_report, html
@@ -26,6 +26,7 @@ log = logging.getLogger(__name__)
 #: Report types of either command, and file names (fixed values).
 CLASS_REPORTS, SPLIT_REPORTS = ("json", "html", "simple"), ("html", "simple")
 SIMPLE_FILE, HTML_FILE, DUPLICATES_FILE, HITS_FILE, PER_CLASS = "report.csv", "report.html", "duplicates.txt", "leaked_hits.tsv", "per-class"
+TEST_FASTA, TRAIN_FASTA = "test_sequences.fasta", "train_sequences.fasta"
 HEADER = ("Check", "Flag", "AU-ROC", "AU-PR", "Accuracy")
 
 
@@ -75,7 +76,7 @@ def evaluate_classes(spark: SparkSession, inputs: list[str], out_folder: str = "
     check_report_types(report_types, CLASS_REPORTS)
     if end_position is not None and end_position < 1 or not 0 <= min_coverage <= 1:
         raise ValueError("end_position must be positive and min_coverage between 0 and 1")
-    folders = []
+    folders, since = [], marked(spark)
     for column, s, labels, slugs in class_inputs(spark, inputs, sequence_columns or ["sequence"], label_column, label_list, regression):
         slug_of = dict(zip(labels, slugs))
         ordered = sorted(labels, key=slug_of.get)
@@ -105,6 +106,7 @@ def evaluate_classes(spark: SparkSession, inputs: list[str], out_folder: str = "
             shared.unpersist()
         finally:
             s.unpersist()
+            forget(spark, since)
     return folders
 
 
@@ -177,15 +179,15 @@ def _class_page(s: DataFrame, one: str, two: str, rows: list, both: DataFrame, p
 
 
 def split_half(spark: SparkSession, inputs: list[str], columns: list[str], half: str) -> DataFrame:
-    """(no, id, seq) of one half of a split, numbered in a total order; raises if it is empty."""
+    """(no, id, seq) of one half of a split, numbered in the order of the input; raises if it is empty."""
     kind = tables.infer_format(inputs)
     if kind == "fasta":
-        s = fasta.read_fasta(spark, inputs).select("file", "id", "seq")
-        rows = fasta.staged(s, half, ["file", "id", "seq"])
+        rows = fasta.read_fasta(spark, inputs, placed=True)
     else:
-        df = tables.read_table(spark, inputs, kind)
+        df = tables.read_table(spark, inputs, kind, placed=True)
         tables.require_columns(df, {c: "sequence column" for c in columns}, ", ".join(inputs))
-        rows = fasta.staged(df.select(tables.sequence(columns).alias("seq")), half, ["seq"])
+        rows = df.select("file", "start", "at", tables.sequence(columns).alias("seq"))
+    rows = fasta.in_input_order(rows, half, inputs)
     if rows.isEmpty():
         raise ValueError(f"no {half} sequences in {', '.join(inputs)}")
     return rows
@@ -194,16 +196,20 @@ def split_half(spark: SparkSession, inputs: list[str], columns: list[str], half:
 def evaluate_splits(spark: SparkSession, train_input: list[str], test_input: list[str], out_folder: str = ".", sequence_columns: list[str] | None = None, report_types: tuple[str, ...] = ("html", "simple"), similarity_threshold: float = 90.0, hits_path: str | None = None) -> Path:
     """Report how much of the test half is, by similarity, among the training half; returns the folder written.
 
-    The hits come from the similarity join, or from a given hit table.
+    The hits come from the similarity join, or from a given hit table, which must name the sequences ``seq_<n>_test`` and
+    ``seq_<n>_train``, n counting from 0 in the order of the input.
     """
     check_report_types(report_types, SPLIT_REPORTS)
     if not 0 <= similarity_threshold <= 100:
         raise ValueError("similarity_threshold must be between 0 and 100")
     columns = sequence_columns or ["sequence"]
+    since = marked(spark)
     test, train = (split_half(spark, p, columns, h).persist() for p, h in ((test_input, "test"), (train_input, "train")))
+    hits = None
     try:
-        hits = (read_hits(spark, hits_path) if hits_path else similarity.similarity_join(test, train, leak=similarity_threshold)).persist()
         n_test, n_train = test.count(), train.count()
+        hits = read_hits(spark, hits_path) if hits_path else similarity.similarity_join(test, train, leak=similarity_threshold)
+        hits = leakage.known_hits(hits, n_test, n_train, hits_path or "similarity join")
         stats = leakage.threshold_stats(hits, n_test, n_train, similarity_threshold).persist()
         fasta_only = tables.infer_format(test_input) == "fasta"
         column = naming.NO_COLUMN if fasta_only else naming.MERGED if len(columns) > 1 else naming.slug(columns[0])
@@ -213,13 +219,18 @@ def evaluate_splits(spark: SparkSession, train_input: list[str], test_input: lis
             check = leakage.split_check(stats)
             _write_csv(folder / SIMPLE_FILE, check.columns, check.collect())
         if "html" in report_types:
+            page = _split_page(hits, test, train, stats, similarity_threshold)
             leakage.export(hits, str(folder / HITS_FILE), similarity_threshold)
-            (folder / HTML_FILE).write_text(_split_page(hits, test, train, stats, similarity_threshold), encoding="utf-8")
-        hits.unpersist()
+            leaked = leakage.leaked_hits(hits, similarity_threshold)
+            for side, rows, name in (("query", test, TEST_FASTA), ("target", train, TRAIN_FASTA)):
+                own = fasta.select_records(rows, leaked.select(F.col(side).alias("id")))
+                fasta.write_fasta(own.orderBy("no"), str(folder / name))
+            (folder / HTML_FILE).write_text(page, encoding="utf-8")
         return folder
     finally:
-        test.unpersist()
-        train.unpersist()
+        for held in filter(None, (hits, test, train)):
+            held.unpersist()
+        forget(spark, since)
 
 
 def _split_page(hits: DataFrame, test: DataFrame, train: DataFrame, stats: DataFrame, threshold: float) -> str:
@@ -227,8 +238,10 @@ def _split_page(hits: DataFrame, test: DataFrame, train: DataFrame, stats: DataF
     bins = {side: dict(leakage.histogram(hits, half, side).collect()) for side, half in (("query", test), ("target", train))}
     # At most LISTED rows; their sequences are looked up by a join on them.
     listed = leakage.listing(hits, threshold)
-    texts = listed.join(test.select(F.col("id").alias("query"), F.col("seq").alias("q")), "query").join(train.select(F.col("id").alias("target"), F.col("seq").alias("t")), "target")
+    texts = listed.join(test.select(F.col("id").alias("query"), F.col("seq").alias("q")), "query", "left").join(train.select(F.col("id").alias("target"), F.col("seq").alias("t")), "target", "left")
     shown = sorted(texts.collect(), key=lambda r: (-r["similarity"], r["query_no"], r["target_no"], r["qstart"], r["qend"], r["tstart"], r["tend"]))
+    if lost := [f"{r['query']} {r['target']}" for r in shown if r["q"] is None or r["t"] is None]:
+        raise ValueError(f"{len(lost)} hits have no sequence, such as {lost[0]}")
     blocks = []
     for r in shown:
         html.checked_alignment(r.asDict(), r["q"], r["t"])

@@ -48,16 +48,26 @@ def require_columns(df: DataFrame, wanted: dict[str, str], source: str) -> None:
         raise ValueError(f"{source}: " + "; ".join(f"column '{c}' ({option}) is missing" for c, option in absent.items()) + f"; available: {', '.join(df.columns)}")
 
 
-def read_table(spark: SparkSession, paths: list[str], kind: str | None = None) -> DataFrame:
+def breaks_inside(spark: SparkSession, paths: list[str]) -> bool:
+    """Whether some field of the files may hold a line break: a line with an odd number of quotes."""
+    lines = spark.read.text(paths)
+    return not lines.where((F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))) % 2 == 1).isEmpty()
+
+
+def read_table(spark: SparkSession, paths: list[str], kind: str | None = None, placed: bool = False) -> DataFrame:
     """All columns of delimited files with a header, as text, with missing cells as null.
 
-    Files are pooled; ``.gz`` files are read whole by one task each, so they are spread again afterwards.
+    Files are pooled, and read in parallel within a file unless fields hold line breaks, which a first look at the lines finds. ``.gz``
+    files are read whole by one task each, so they are spread again afterwards. ``placed`` adds the columns ``file``, ``start`` and ``at`` that
+    ``fasta.in_input_order`` reads (in place of columns of the files with these names).
     """
     kind = kind or infer_format(paths)
-    df = spark.read.csv(paths, sep=SEPARATORS[kind], header=True, inferSchema=False, enforceSchema=False, multiLine=True, escape='"', nullValue="", emptyValue="")
+    df = spark.read.csv(paths, sep=SEPARATORS[kind], header=True, inferSchema=False, enforceSchema=False, multiLine=breaks_inside(spark, paths), escape='"', nullValue="", emptyValue="")
+    places = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at")] if placed else []
+    df = df.select(*[present(F.col(f"`{c}`")).alias(c) for c in df.columns if not placed or c not in ("file", "start", "at")], *places)
     if any(p.lower().endswith(COMPRESSED) for p in paths):
         df = df.repartition(spark.sparkContext.defaultParallelism)
-    return df.select(*[present(F.col(f"`{c}`")).alias(c) for c in df.columns])
+    return df
 
 
 def sequence(columns: list[str]) -> Column:

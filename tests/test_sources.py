@@ -312,3 +312,71 @@ def test_evaluate_splits_writes_reports(spark, tmp_path):
     assert len(exported) == 1 and exported[0].read_text().startswith("query\ttarget")
     (tmp_path / "void.csv").write_text("sequence\n")
     assert cli.main(["evaluate-splits", "--train-input", str(tmp_path / "void.csv"), "--test-input", str(tmp_path / "test.csv")], spark) == 1
+
+
+def test_splits_number_sequences_as_the_input_has_them(spark, tmp_path):
+    """A hit table of an outside search, for unsorted files of several blocks and formats."""
+    rng = random.Random(12)
+    text = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+    train, test = [text(60) for _ in range(9)], [text(60) for _ in range(4)]
+    (tmp_path / "b.csv").write_text("\n".join(["x,sequence", *(f"1,{t}" for t in train[:5])]) + "\n")
+    (tmp_path / "a.csv").write_text("\n".join(["x,sequence", *(f'"2\n",{t}' for t in train[5:])]) + "\n")
+    (tmp_path / "t.fa").write_text("".join(f">{9 - i}\n{t[:30]}\n{t[30:]}\n" for i, t in enumerate(test)))
+    halves = runs.split_half(spark, [str(tmp_path / "b.csv"), str(tmp_path / "a.csv")], ["sequence"], "train"), runs.split_half(spark, [str(tmp_path / "t.fa")], ["sequence"], "test")
+    for half, want, name in zip(halves, (train, test), ("train", "test")):
+        assert [tuple(r) for r in sorted(half.collect())] == [(i, f"seq_{i}_{name}", t) for i, t in enumerate(want)]
+    table = tmp_path / "hits.tsv"
+    columns = [f.name for f in HIT_SCHEMA]
+
+    def write(*rows):
+        table.write_text("\n".join("\t".join(map(str, r)) for r in [columns, *rows]) + "\n")
+
+    row = lambda q, t: (f"seq_{q}_test", f"seq_{t}_train", 1.0, 1.0, 95.0, 0.1, 1, 4, 1, 4, 4, test[q % 4][:4], train[t % 9][:4])
+    write(row(3, 7), row(1, 0))
+    ask = ["evaluate-splits", "--train-input", str(tmp_path / "b.csv"), str(tmp_path / "a.csv"), "--test-input", str(tmp_path / "t.fa"), "--hits", str(table), "--out-folder", str(tmp_path / "out")]
+    assert cli.main(ask, spark) == 0
+    folder = tmp_path / "out/split/sequence"
+    held = {r["id"]: r["seq"] for name in (runs.TEST_FASTA, runs.TRAIN_FASTA) for r in fasta.read_fasta(spark, str(folder / name)).collect()}
+    assert held == {"seq_3_test": test[3], "seq_1_test": test[1], "seq_7_train": train[7], "seq_0_train": train[0]}
+    # Numbers beyond the input and ids of another kind are errors, not hits less.
+    for bad in (row(4, 0), row(0, 9), ("control", *row(1, 0)[1:])):
+        write(row(3, 7), bad)
+        assert cli.main(ask[:-1] + [str(tmp_path / "bad")], spark) == 1
+    with pytest.raises(ValueError, match="unknown sequence: control seq_0_train"):
+        leakage.known_hits(hits(spark, dict(query="control")), 9, 9)
+
+
+def test_intermediate_tables(spark, tmp_path, monkeypatch):
+    from pathlib import Path
+
+    from helixaudit import session
+
+    before = session.marked(spark)
+    held = session.write_once(spark.range(5), "five")
+    path = Path(session._WRITTEN[-1][1].removeprefix("file://"))
+    assert held.count() == 5 and path.exists()
+    session.forget(spark, before)
+    assert not path.exists() and session.marked(spark) == before
+
+    class Far:
+        class sparkContext:
+            master = "spark://far:7077"
+            getConf = staticmethod(lambda: {})
+
+        class conf:
+            get = staticmethod(lambda key, default: default)
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.shared_folder(Far)
+
+
+def test_user_family_of_features(spark):
+    from pyspark.sql import functions as F
+
+    from helixaudit.operators import features
+    from helixaudit.plans import class_report
+
+    rows = [("plain", "ACGT" * 5)] * 260 + [("rich", "CGCG" * 5)] * 260
+    family = features.column_features("Steps", {"CG": F.regexp_count(F.col("seq"), F.lit("CG")), "none": F.lit(None)})
+    report = {r["check"]: r["flag"] for r in class_report.class_report(spark.createDataFrame(rows, "label string, seq string"), features=(*features.FEATURES, family)).collect()}
+    assert report["Steps"] == report["Steps - CG"] == "Fail" and report["Steps - none"] == "Pass"
