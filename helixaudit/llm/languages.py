@@ -37,6 +37,8 @@ NAMES = {
 LANGUAGES = tuple(NAMES)
 #: Longest n-gram; labelled documents sampled per language at most; discount of absolute discounting.
 ORDER, SAMPLE, DISCOUNT = 5, 400, 0.75
+#: Markdown characters of a sampled document at most; longer documents are not sampled. With SAMPLE it bounds what comes to the driver.
+SAMPLED_CHARACTERS = 100_000
 #: Distinct characters a model gives its floor to; standard errors above the usual cross entropy that reject.
 ALPHABET, REJECT = 400, 8.0
 #: Words whose scores a worker keeps; the memo is emptied when full.
@@ -208,7 +210,7 @@ def decide(scores: np.ndarray, characters: np.ndarray, models: Models) -> tuple[
 def train(documents: DataFrame, sample: int = SAMPLE) -> Models:
     """Models from at most ``sample`` labelled documents per language, chosen by the hash of their id.
 
-    Only the fit uses the sample; its size is bounded by the parameter, so its markdown cells may
+    Only the fit uses the sample; its size is bounded by the parameter and by ``SAMPLED_CHARACTERS``, so its markdown cells may
     come to the driver. Wrong labels are outvoted: the models of a first pass drop cells they give
     to another language before the second.
     """
@@ -219,7 +221,7 @@ def train(documents: DataFrame, sample: int = SAMPLE) -> Models:
     def run(batches):
         for batch in batches:
             cells = ["\n".join(c for _, c in markdown_cells(t or "")) for t in batch.column(1).to_pylist()]
-            yield pa.record_batch([batch.column(0), pa.array(cells, pa.string())], names=["named", "cells"])
+            yield pa.record_batch([batch.column(0), pa.array([c if len(c) <= SAMPLED_CHARACTERS else "" for c in cells], pa.string())], names=["named", "cells"])
 
     rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select("named", "text")
     texts = [(r[0], r[1]) for r in rows.mapInArrow(run, "named string, cells string").collect() if r[1]]

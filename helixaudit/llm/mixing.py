@@ -72,7 +72,8 @@ def land(p: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.ndarra
 
 def _flights(rows: DataFrame, last: bool, seed: int) -> DataFrame:
     def run(block: pd.DataFrame) -> pd.DataFrame:
-        block = block.sort_values(["doc_id", "tokens"], kind="stable")
+        # The largest fly first: what stays undecided at the end, and lands at random, is small.
+        block = block.sort_values(["tokens", "doc_id"], ascending=[False, True], kind="stable")
         rng = np.random.default_rng([seed, int(block["block"].iloc[0]) & 0x7FFFFFFF, sum(map(ord, block["source"].iloc[0]))])
         block["p"] = (land if last else fly)(block["p"].to_numpy(), block["tokens"].to_numpy(), rng)
         return block[["doc_id", "source", "tokens", "base", "p"]]
@@ -93,6 +94,11 @@ def plan_mix(targets: list[dict]) -> dict[str, float]:
     return {t["source"]: min(float(t["repeats"]), t["share"] * size / t["tokens"]) for t in usable}
 
 
+def _target():
+    """A row of the targets, so that the least of several rows of a source is the same on every run."""
+    return F.struct("target_share", "max_repeats")
+
+
 def token_sizes(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """(doc_id, source, tokens) of every document; null and empty texts have no tokens."""
     rows = documents.select(F.struct(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source")).alias("of"), "text")
@@ -103,12 +109,12 @@ def mix(documents: DataFrame, targets: DataFrame, vocabulary: str = VOCABULARY,
     """(doc_id, source, tokens, copies): the documents of the mix, each used ``copies`` times.
 
     ``copies`` is at least 1 and at most ``max_repeats``. Documents of null or unlisted sources and
-    those without tokens are not used; sources listed twice count by their first row; empty tables
+    those without tokens are not used; sources listed twice count by their row of least share (then of fewest repeats); empty tables
     give no rows. The same input and seed give the same mix on every run.
     """
     sizes = write_once(token_sizes(documents, vocabulary), "tokens") if sizes is None else sizes
     used = sizes.where(F.col("source").isNotNull() & (F.col("tokens") > 0))
-    wanted = targets.where(F.col("source").isNotNull()).groupBy("source").agg(F.first("target_share").alias("share"), F.first("max_repeats").alias("repeats"))
+    wanted = targets.where(F.col("source").isNotNull()).groupBy("source").agg(F.min(_target()).alias("t")).select("source", F.col("t.target_share").alias("share"), F.col("t.max_repeats").alias("repeats"))
     # One row per source of the targets, a table of fixed size.
     totals = wanted.join(used.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("docs")), "source", "left").collect()
     rates = plan_mix([r.asDict() for r in totals])
@@ -139,7 +145,7 @@ def shares(documents: DataFrame, targets: DataFrame, vocabulary: str = VOCABULAR
     chosen = mix(documents, targets, vocabulary, seed, sizes)
     mixed = chosen.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("mix_tokens"), F.sum("copies").alias("mix_documents"), F.max("copies").alias("most_copies"))
     held = sizes.groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.sum("tokens").alias("tokens"))
-    rows = targets.where(F.col("source").isNotNull()).groupBy("source").agg(F.first("target_share").alias("target_share")).join(held, "source", "left").join(mixed, "source", "left")
+    rows = targets.where(F.col("source").isNotNull()).groupBy("source").agg(F.min(_target())["target_share"].alias("target_share")).join(held, "source", "left").join(mixed, "source", "left")
     rows = rows.na.fill(0, ["documents", "tokens", "mix_documents", "mix_tokens", "most_copies"])
     # One row per source of the targets: a single small partition.
     every = F.sum("mix_tokens").over(Window.partitionBy(F.lit(1))).cast("double")

@@ -218,7 +218,7 @@ class Encoder:
     def encode_block(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and the number of ids of each.
 
-        Equal pre-tokens are found by 64 hash bits, and looked up once per block. Pre-tokens are parted
+        Equal pre-tokens are found by 64 hash bits, compared with the first of their kind, and looked up once per block. Pre-tokens are parted
         further where no token of the vocabulary can lie across two characters, by the characters
         next to them, which keeps the pieces of random letters (embedded images) short enough to come again.
         """
@@ -242,6 +242,7 @@ class Encoder:
         kind, kinds = pd.factorize(h)
         first = np.empty(len(kinds), np.int64)
         first[kind[::-1]] = np.arange(len(kind) - 1, -1, -1)
+        kind, first = told_apart(points, start, size, place, kind, first)
         words = self.words
         border_kind = kind[np.searchsorted(start, len(points) - 1)]
         found = [words[letters[a:b]] for a, b in zip(start[first].tolist(), (start + size)[first].tolist())]
@@ -260,6 +261,21 @@ class Encoder:
         return self.encode_block([text])[0].tobytes()
 
 
+def told_apart(points: np.ndarray, start: np.ndarray, size: np.ndarray, place: np.ndarray, kind: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Kinds and their first pieces, so that all pieces of a kind are equal: those that differ from the first get a kind of their own."""
+    lead = first[kind]
+    at = np.repeat(start[lead], size) + place
+    unlike = points[np.minimum(at, len(points) - 1)] != points
+    wrong = size[lead] != size
+    if unlike.any():
+        wrong[np.searchsorted(start, np.flatnonzero(unlike), "right") - 1] = True
+    if wrong.any():
+        kind = kind.copy()
+        kind[wrong] = len(first) + np.arange(int(wrong.sum()))
+        first = np.concatenate([first, np.flatnonzero(wrong)])
+    return kind, first
+
+
 class _Memo(dict):
     def __init__(self, function, most: int):
         super().__init__()

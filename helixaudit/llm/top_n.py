@@ -1,8 +1,9 @@
 """The best N items of every group, band by band from the highest scores down.
 
-Each band reads only rows whose score lies in it (a filter that reaches the scan), leaves out
+Groups, items and scores are written once, sorted by score in each file. Each band reads only rows whose score lies in it (a filter that
+reaches the scan and skips pages), leaves out
 groups that bands above have filled, and adds what is carried of groups not filled yet. Rows of
-filled groups in lower bands are never shuffled or ranked. Ties never straddle bands, as a band
+filled groups in lower bands are never shuffled or ranked, and once all groups are filled no band is read any more. Ties never straddle bands, as a band
 is a range of scores; inside the band that completes a group they are ranked exactly.
 """
 
@@ -25,7 +26,8 @@ def top_n_by_bands(rows: DataFrame, n: int, group: str, item: str, score: str, t
     the item, so that the result is the same on every run. Groups with fewer items come out whole.
     The edges of the bands only steer the work: any edges give the same result.
     """
-    rows = rows.select(group, item, score)
+    rows = write_once(rows.select(group, item, score).sortWithinPartitions(F.desc(score)), "scores")
+    groups = rows.select(group).distinct().count()
     edges = rows.agg(F.percentile_approx(score, F.array(*[F.lit(1 - b) for b in bands]), F.lit(1000))).first()[0] or []
     edges = sorted({float(x) for x in edges}, reverse=True)
     order = Window.partitionBy(group).orderBy(F.desc(score), *ties)
@@ -44,6 +46,8 @@ def top_n_by_bands(rows: DataFrame, n: int, group: str, item: str, score: str, t
         full = ranked.where(F.col("held") >= n)
         finished = full if finished is None else finished.unionByName(full)
         carried, above = ranked.where(F.col("held") < n), low
+        if low is not None and finished.select(group).distinct().count() == groups:
+            break
     return finished.unionByName(carried).select(group, item, score, "rank")
 
 

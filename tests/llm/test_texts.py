@@ -173,3 +173,22 @@ def test_labels_with_regions_names_and_noise(spark):
     labels = ["en", "EN", "eng", "English", "en-US", "de_AT", " fr ", "python", "", None, "-", "und", "xx", "ger", "Dutch"]
     rows = spark.createDataFrame([(x,) for x in labels], "lang string").select(languages.named_language(__import__("pyspark").sql.functions.col("lang"))).collect()
     assert [r[0] for r in rows] == ["en"] * 5 + ["de", "fr", None, None, None, None, None, None, "de", "nl"]
+
+
+def test_pieces_of_equal_hash_are_told_apart():
+    """Five pieces, of which the hash took the second and the fourth for the first one's like."""
+    points = np.array([7, 8, 7, 9, 7, 8, 7, 8, 8, 3], np.uint32)
+    start, size = np.array([0, 2, 4, 6, 9]), np.array([2, 2, 2, 3, 1])
+    place = np.arange(len(points)) - np.repeat(start, size)
+    kind, first = tokenizer.told_apart(points, start, size, place, np.array([0, 0, 0, 0, 1]), np.array([0, 4]))
+    assert kind[0] == kind[2] == 0 and len(set(kind.tolist())) == 4
+    assert [first[k] for k in kind] == [0, 1, 0, 3, 4]
+
+
+@needs_vocabulary
+def test_targets_listed_twice_count_by_the_least(spark):
+    documents = spark.createDataFrame([(i, "word " * 20, s) for i, s in enumerate("ab" * 40)], "doc_id bigint, text string, source string")
+    rows = [("a", 0.7, 1), ("a", 0.5, 1), ("b", 0.5, 1)]
+    for order in (rows, rows[::-1]):
+        got = {r["source"]: r for r in mixing.shares(documents, spark.createDataFrame(order, "source string, target_share double, max_repeats int")).collect()}
+        assert got["a"]["target_share"] == 0.5 and abs(got["a"]["actual_share"] - 0.5) < 0.02
