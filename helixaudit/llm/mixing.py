@@ -64,7 +64,12 @@ def fly(p: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.ndarray
 
 
 def land(p: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """Decide what the last flight left: the token constraint is given up first, then the count."""
+    """Decide what the last flight left: the token constraint is given up first, then the count.
+
+    Every document keeps its inclusion probability in this, so tokens are off by a part of the last documents' sizes, whatever the order of the
+    flight. (Flying the largest first, or exchanging documents afterwards to come nearer, was tried: the first leaves larger
+    ones to the end, the second makes inclusion unfair.)
+    """
     p = fly(p, size, rng)
     p = fly(p, np.zeros(len(p)), rng)
     return np.where((p > 0) & (p < 1), (rng.random(len(p)) < p).astype(float), p)
@@ -72,8 +77,7 @@ def land(p: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.ndarra
 
 def _flights(rows: DataFrame, last: bool, seed: int) -> DataFrame:
     def run(block: pd.DataFrame) -> pd.DataFrame:
-        # The largest fly first: what stays undecided at the end, and lands at random, is small.
-        block = block.sort_values(["tokens", "doc_id"], ascending=[False, True], kind="stable")
+        block = block.sort_values(["doc_id", "tokens"], kind="stable")
         rng = np.random.default_rng([seed, int(block["block"].iloc[0]) & 0x7FFFFFFF, sum(map(ord, block["source"].iloc[0]))])
         block["p"] = (land if last else fly)(block["p"].to_numpy(), block["tokens"].to_numpy(), rng)
         return block[["doc_id", "source", "tokens", "base", "p"]]
