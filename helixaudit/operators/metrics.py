@@ -51,22 +51,22 @@ def by_pair(rows: DataFrame, pairs: DataFrame, *columns: str) -> DataFrame:
 
 
 def pair_histograms(hist: DataFrame, alphabet: DataFrame, pairs: DataFrame, features: tuple[Feature, ...] = FEATURES) -> DataFrame:
-    """(label_1, label_2, check, feature, value, a, b): sequences of both classes by value, zeros included."""
-    rows = by_pair(hist, pairs, "check", "feature", "value", "n")
-    a, b = (F.sum(F.when(F.col("side") == k, F.col("n")).otherwise(0)) for k in (1, 2))
-    seen = rows.groupBy(*KEYS, "value").agg(a.alias("a"), b.alias("b"))
-    domains = [f.domain(alphabet).select(F.lit(f.check).alias("check"), "label", "feature") for f in features if f.domain]
-    if not domains:
-        return seen
-    domain = domains[0]
-    for part in domains[1:]:
-        domain = domain.unionByName(part)
-    domain = by_pair(domain, pairs, "check", "feature").select(*KEYS).distinct()
-    held = seen.groupBy(*KEYS).agg(F.sum("a").alias("held_a"), F.sum("b").alias("held_b"))
-    zero = domain.join(held, list(KEYS), "left").join(F.broadcast(pairs), ["label_1", "label_2"])
-    zero = zero.select(*KEYS, F.lit(0.0).alias("value"), (F.col("n_1") - F.coalesce("held_a", F.lit(0))).alias("a"), (F.col("n_2") - F.coalesce("held_b", F.lit(0))).alias("b"))
-    # A value of 0 that is also written out would make two rows of one tie group.
-    return seen.unionByName(zero.where((F.col("a") > 0) | (F.col("b") > 0))).groupBy(*KEYS, "value").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    """(label_1, label_2, check, feature, value, a, b): sequences of both classes by value, zeros included.
+
+    Each feature of a domain has a row of value 0 to begin with, to which the sequences are added that no other row counts. So
+    there is one exchange by value and one by feature, which the windows behind it share.
+    """
+    rows = by_pair(hist, pairs, "check", "feature", "value", "n").withColumn("zero", F.lit(False))
+    for f in features:
+        if f.domain:
+            own = by_pair(f.domain(alphabet).select(F.lit(f.check).alias("check"), "label", "feature"), pairs, "check", "feature")
+            rows = rows.unionByName(own.select("*", F.lit(0.0).alias("value"), F.lit(0).cast("bigint").alias("n"), F.lit(True).alias("zero")))
+    a, b = (F.sum(F.when(F.col("side") == k, F.col("n")).otherwise(0)).alias(c) for k, c in ((1, "a"), (2, "b")))
+    counts = rows.groupBy(*KEYS, "value").agg(a, b, F.max("zero").alias("zero"))
+    whole = Window.partitionBy(*KEYS)
+    counts = counts.select("*", F.sum("a").over(whole).alias("held_a"), F.sum("b").over(whole).alias("held_b")).join(F.broadcast(pairs), ["label_1", "label_2"])
+    a, b = (F.when(F.col("zero"), F.col(c) + F.col(n) - F.col(f"held_{c}")).otherwise(F.col(c)).alias(c) for c, n in (("a", "n_1"), ("b", "n_2")))
+    return counts.select(*KEYS, "value", a, b).where((F.col("a") > 0) | (F.col("b") > 0))
 
 
 def tie_group_metrics(counts: DataFrame, keys: list[str]) -> DataFrame:

@@ -84,30 +84,33 @@ def both_counts(s: DataFrame, end: DataFrame | None = None, directions: tuple[bo
     return composition.positions(s, directions).groupBy("label", "reverse", "pos", "base").agg(F.sum("n").alias("n"))
 
 
-def position_metrics(s: DataFrame, reverse: bool = False, end_position: int | None = None, min_coverage: float = 0.25, floor: int = FLOOR, pairs: DataFrame | None = None, alphabet: DataFrame | None = None, lengths: DataFrame | None = None, counts: DataFrame | None = None) -> DataFrame:
+def position_metrics(s: DataFrame, reverse: bool = False, end_position: int | None = None, min_coverage: float = 0.25, floor: int = FLOOR) -> DataFrame:
     """(label_1, label_2, check, base, pos, auroc, aupr, accuracy, flag): every base of either class at every reported position.
 
     Positions past the scored window, or that fewer than ``floor`` sequences of either class reach, are
-    Unknown with null metrics. ``counts`` are :func:`position_counts` as far as the scored window, if they are known.
+    Unknown with null metrics.
     """
-    pairs = class_pairs(s) if pairs is None else pairs
-    alphabet = alphabets(s) if alphabet is None else alphabet
-    lengths = length_counts(s) if lengths is None else lengths
+    return both_metrics(s, class_pairs(s), alphabets(s), length_counts(s), end_position, min_coverage, floor, (reverse,))
+
+
+def both_metrics(s: DataFrame, pairs: DataFrame, alphabet: DataFrame, lengths: DataFrame, end_position: int | None = None, min_coverage: float = 0.25, floor: int = FLOOR, directions: tuple[bool, ...] = (False, True)) -> DataFrame:
+    """The :func:`position_metrics` of both directions, in one pass over the sequences."""
     own = windows(lengths, end_position, min_coverage, floor)
     both = pair_windows(own, pairs)
-    counts = position_counts(s, reverse, own.select("label", F.col("scored_end_position").alias("last"))) if counts is None else counts
+    counts = both_counts(s, own.select("label", F.col("scored_end_position").alias("last")), directions)
     bases = by_pair(alphabet, pairs, "feature").select("label_1", "label_2", F.col("feature").alias("base")).distinct()
     grid = bases.join(F.broadcast(both), ["label_1", "label_2"])
-    # At most (bases x positions) rows per pair; an empty window gives none.
-    grid = grid.where(F.col("end_position") >= 1).withColumn("pos", F.explode(F.sequence(F.lit(1), F.col("end_position"))))
+    # At most (bases x positions) rows per pair and direction; an empty window gives none.
+    grid = grid.where(F.col("end_position") >= 1).withColumn("pos", F.explode(F.sequence(F.lit(1), F.col("end_position")))).withColumn("reverse", F.explode(F.array(*map(F.lit, directions))))
     reach = by_pair(cohorts(lengths), pairs, "pos", "cohort")
     c = lambda k, v: F.coalesce(F.sum(F.when(F.col("side") == k, F.col(v))), F.lit(0))
     reach = reach.groupBy("label_1", "label_2", "pos").agg(c(1, "cohort").alias("c1"), c(2, "cohort").alias("c2"))
-    held = by_pair(counts, pairs, "pos", "base", "n").groupBy("label_1", "label_2", "pos", "base").agg(c(1, "n").alias("m1"), c(2, "n").alias("m2"))
-    rows = grid.join(reach, ["label_1", "label_2", "pos"], "left").join(held, ["label_1", "label_2", "pos", "base"], "left").na.fill(0, ["m1", "m2", "c1", "c2"])
+    held = by_pair(counts, pairs, "reverse", "pos", "base", "n").groupBy("label_1", "label_2", "reverse", "pos", "base").agg(c(1, "n").alias("m1"), c(2, "n").alias("m2"))
+    rows = grid.join(reach, ["label_1", "label_2", "pos"], "left").join(held, ["label_1", "label_2", "reverse", "pos", "base"], "left").na.fill(0, ["m1", "m2", "c1", "c2"])
     scorable = (F.col("pos") <= F.col("scored_end_position")) & (F.least("c1", "c2") >= max(floor, 1))
     # Null counts keep the closed form from dividing by an empty cohort.
     own_of = lambda name: F.when(scorable, F.col(name))
     auroc, aupr, accuracy = two_by_two(own_of("m1"), own_of("c1"), own_of("m2"), own_of("c2"))
-    rows = rows.select("label_1", "label_2", F.lit(REVERSED if reverse else FORWARD).alias("check"), "base", "pos", F.when(scorable, auroc).alias("auroc"), F.when(scorable, aupr).alias("aupr"), F.when(scorable, accuracy).alias("accuracy"))
+    check = F.when(F.col("reverse"), REVERSED).otherwise(FORWARD).alias("check")
+    rows = rows.select("label_1", "label_2", check, "base", "pos", F.when(scorable, auroc).alias("auroc"), F.when(scorable, aupr).alias("aupr"), F.when(scorable, accuracy).alias("accuracy"))
     return rows.withColumn("flag", flag(F.col("auroc")))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import duplicates
 from ..operators.features import BASES, BETWEEN, CHECKS, FEATURES, FORWARD, LENGTHS, NUCLEOTIDES, REVERSED, WITHIN, Feature, alphabets, histograms
 from ..operators.metrics import FLOOR, class_pairs, feature_metrics, worst_case
-from ..operators.positions import both_counts, length_counts, position_metrics, windows
+from ..operators.positions import both_metrics, length_counts
 from ..session import write_once
 
 METRICS = ("auroc", "aupr", "accuracy")
@@ -41,23 +41,19 @@ def class_report(s: DataFrame, end_position: int | None = None, min_coverage: fl
         _rows(duplicates.between_check(held, pairs), lit(BETWEEN), lit(BETWEEN), True, []),
     ]
     single = write_once(feature_metrics(s, features, floor, pairs, alphabet, hist), "features")
-    last = windows(lengths, end_position, min_coverage, floor).select("label", F.col("scored_end_position").alias("last"))
-    counts = write_once(both_counts(s, last), "counts")
     check, feature = F.col("check"), F.col("feature")
     parts.append(_rows(single.where(feature == ""), check, check, True, []))
     many = single.where(feature != "")
     parts.append(_rows(many, check, F.concat(check, lit(" - "), feature), False, [feature]))
     parts.append(_rows(worst_case(many, ["label_1", "label_2", "check"]), check, check, True, []))
-    for reverse in (False, True):
-        own = counts.where(F.col("reverse") == reverse).drop("reverse")
-        places = write_once(position_metrics(s, reverse, end_position, min_coverage, floor, pairs, alphabet, lengths, own), "positions")
-        base = F.col("base")
-        # Code points keep the order of bases where the names would not.
-        by_base = F.lpad(F.ascii("base").cast("string"), 8, "0")
-        parts.append(_rows(places, check, F.concat(check, lit(" - "), base, lit(" position "), F.col("pos").cast("string")), False, [by_base, F.lpad(F.col("pos").cast("string"), 12, "0")]))
-        per_base = worst_case(places, ["label_1", "label_2", "check", "base"])
-        parts.append(_rows(per_base, check, F.concat(check, lit(" - "), base), False, [by_base, lit("~")]))
-        parts.append(_rows(worst_case(places, ["label_1", "label_2", "check"]), check, check, True, []))
+    places = write_once(both_metrics(s, pairs, alphabet, lengths, end_position, min_coverage, floor), "positions")
+    base = F.col("base")
+    # Code points keep the order of bases where the names would not.
+    by_base = F.lpad(F.ascii("base").cast("string"), 8, "0")
+    parts.append(_rows(places, check, F.concat(check, lit(" - "), base, lit(" position "), F.col("pos").cast("string")), False, [by_base, F.lpad(F.col("pos").cast("string"), 12, "0")]))
+    per_base = worst_case(places, ["label_1", "label_2", "check", "base"])
+    parts.append(_rows(per_base, check, F.concat(check, lit(" - "), base), False, [by_base, lit("~")]))
+    parts.append(_rows(worst_case(places, ["label_1", "label_2", "check"]), check, check, True, []))
     rows = parts[0]
     for part in parts[1:]:
         rows = rows.unionByName(part)
