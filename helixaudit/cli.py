@@ -18,6 +18,7 @@ def parser() -> argparse.ArgumentParser:
     classes.add_argument("--report-types", nargs="+", default=["html", "simple"])
     classes.add_argument("--end-position", type=int)
     classes.add_argument("--min-coverage", type=float, default=0.25)
+    classes.add_argument("--plot-type", default="boxen", help="boxen or violin")
     splits = commands.add_parser("evaluate-splits", help="measure leakage of a test half into a training half")
     splits.add_argument("--train-input", nargs="+", required=True)
     splits.add_argument("--test-input", nargs="+", required=True)
@@ -48,7 +49,7 @@ def main(arguments: list[str] | None = None, spark=None) -> int:
         ship(spark)
         if options.command == "evaluate-classes":
             labels = None if options.label_list == ["infer"] else options.label_list
-            runs.evaluate_classes(spark, options.input, options.out_folder, options.sequence_column, options.label_column, labels, options.regression, tuple(options.report_types), options.end_position, options.min_coverage)
+            runs.evaluate_classes(spark, options.input, options.out_folder, options.sequence_column, options.label_column, labels, options.regression, tuple(options.report_types), options.end_position, options.min_coverage, plot_type=options.plot_type)
         else:
             runs.evaluate_splits(spark, options.train_input, options.test_input, options.out_folder, options.sequence_column, tuple(options.report_types), options.similarity_threshold, options.hits)
     except ValueError as error:

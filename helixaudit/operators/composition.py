@@ -163,3 +163,23 @@ def positions(s: DataFrame, directions: tuple[bool, ...]) -> DataFrame:
         yield from out.flush()
 
     return s.select("label", "seq", F.col("last").cast("bigint")).mapInArrow(run, "label string, reverse boolean, pos int, base string, n bigint")
+
+
+def frames(numbered: DataFrame) -> DataFrame:
+    """(no, label, length, gc, bases map, pairs map): the values of each sequence of (no, label, seq), characters and pairs it lacks left out."""
+
+    def run(batches):
+        for batch in batches:
+            for first, points, offsets in blocks(*code_points(batch.column(2))):
+                n = len(offsets) - 1
+                own = batch.slice(first, n)
+                length = np.diff(offsets)
+                strong = np.concatenate([[0], np.cumsum((points == ord("G")) | (points == ord("C")))])
+                maps = []
+                for pairs in (False, True):
+                    text, one, two, value = shares(points, offsets, pairs) if len(points) else (np.zeros(0, np.int64), np.zeros(0, np.uint8), None, np.zeros(0))
+                    begins = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=n))]).astype(np.int32)
+                    maps.append(pa.MapArray.from_arrays(pa.array(begins), texts_of(one, two), pa.array(value, pa.float64())))
+                yield pa.record_batch([own.column(0), own.column(1), pa.array(length, pa.int64()), pa.array(np.diff(strong[offsets]) * 100.0 / np.maximum(length, 1)), *maps], names=["no", "label", "length", "gc", "bases", "pairs"])
+
+    return numbered.select("no", "label", "seq").mapInArrow(run, "no bigint, label string, length bigint, gc double, bases map<string,double>, pairs map<string,double>")

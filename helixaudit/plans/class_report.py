@@ -20,15 +20,15 @@ def _rows(df: DataFrame, check: Column, name: Column, headline: bool, order: lis
     return df.select("label_1", "label_2", check.alias("group"), name.alias("check"), F.lit(headline).alias("headline"), key.alias("key"), *metrics, "flag")
 
 
-def class_report(s: DataFrame, end_position: int | None = None, min_coverage: float = 0.25, floor: int = FLOOR, features: tuple[Feature, ...] = FEATURES, order: dict[str, int] | None = None) -> DataFrame:
+def class_report(s: DataFrame, end_position: int | None = None, min_coverage: float = 0.25, floor: int = FLOOR, features: tuple[Feature, ...] = FEATURES, order: dict[str, int] | None = None, hist: DataFrame | None = None) -> DataFrame:
     """(label_1, label_2, row, check, flag, auroc, aupr, accuracy), ``row`` counting from 1 in each pair.
 
     Headlines come first, in check order; then the sub-checks of each check: features by name, positions
     base by base, each base followed by its own headline. Rule checks have no metrics. A check
-    without any sub-check has no headline.
+    without any sub-check has no headline. ``hist`` are the histograms of ``s``, if they are written already.
     """
     # Three passes over the sequences: values of all features, distinct texts, positions. All else is read from what these wrote.
-    hist = write_once(histograms(s, features), "histograms")
+    hist = write_once(histograms(s, features), "histograms") if hist is None else hist
     checks = {f.check for f in features if f.kind}
     lengths = hist.where(F.col("check") == LENGTHS).select("label", F.col("value").cast("int").alias("len"), "n") if LENGTHS in checks else write_once(length_counts(s), "lengths")
     pairs = write_once(class_pairs(s, order, lengths.groupBy("label").agg(F.sum("n").alias("n"))), "pairs")

@@ -380,3 +380,33 @@ def test_user_family_of_features(spark):
     family = features.column_features("Steps", {"CG": F.regexp_count(F.col("seq"), F.lit("CG")), "none": F.lit(None)})
     report = {r["check"]: r["flag"] for r in class_report.class_report(spark.createDataFrame(rows, "label string, seq string"), features=(*features.FEATURES, family)).collect()}
     assert report["Steps"] == report["Steps - CG"] == "Fail" and report["Steps - none"] == "Pass"
+
+
+@pytest.mark.parametrize("kind", ["boxen", "violin"])
+def test_class_page_draws_every_check(spark, tmp_path, kind):
+    rows = [("ACGT" * 5, "x")] * 130 + [("AACG" * 5 + "T", "x")] * 130 + [("AAGG" * 5, "y<")] * 20
+    with (tmp_path / "in.csv").open("w", newline="") as f:
+        csv.writer(f).writerows([("sequence", "label"), *rows])
+    (folder,) = runs.evaluate_classes(spark, [str(tmp_path / "in.csv")], str(tmp_path / "out"), report_types=("html",), plot_type=kind)
+    page = (folder / runs.HTML_FILE).read_text()
+    for check in ("Sequence lengths", "Per sequence dinucleotide content", "Per position reversed nucleotide content"):
+        assert f"<title>{check}</title>" in page or f"</h2><p class=" in page and f">{check}</h2>" in page
+    assert page.count("<polyline") >= 8 and page.count("<svg") >= 8
+    # Twenty sequences are too few: the page says so.
+    assert "checks were not scored" in page and "has 20 sequences" in page and "y&lt;" in page and "<script>y<" not in page
+    with pytest.raises(ValueError, match="plot type"):
+        runs.evaluate_classes(spark, [str(tmp_path / "in.csv")], plot_type="pie")
+
+
+def test_class_json_has_frames_and_duplicates(spark, tmp_path):
+    rows = [("ACGT", "x"), ("GG", "x"), ("ACGT", "x"), ("GG", "x"), ("GG", "x"), ("", "x"), ("AÄ", "y")]
+    with (tmp_path / "in.csv").open("w", newline="") as f:
+        csv.writer(f).writerows([("sequence", "label"), *rows])
+    runs.evaluate_classes(spark, [str(tmp_path / "in.csv")], str(tmp_path / "out"), report_types=("json",))
+    folder = tmp_path / "out/class/sequence/per-class"
+    lines = lambda name: [json.loads(line) for part in sorted((folder / name).glob("part-*")) for line in part.read_text(encoding="utf-8").splitlines()]
+    assert [(r["place"], r["seq"], r["extra"]) for r in lines("x-duplicates")] == [(1, "GG", 2), (2, "ACGT", 1)] and lines("y-duplicates") == []
+    own = sorted(lines("x-sequences"), key=lambda r: r["length"])
+    assert len(own) == 6 and own[0] | {"no": 0} == {"no": 0, "length": 0, "gc": 0.0, "bases": {}, "pairs": {}}
+    assert own[-1]["bases"] == dict.fromkeys("ACGT", 0.25) and own[-1]["pairs"] == dict.fromkeys(("AC", "CG", "GT"), 1 / 3) and own[1]["gc"] == 100.0
+    assert lines("y-sequences")[0]["bases"] == {"A": 0.5, "Ä": 0.5}
