@@ -2,22 +2,26 @@
 
 Plan
 ----
-The evaluation side is the small one and is indexed; the training side only probes. Both are cleaned once and written.
-
-1. Evaluation index. Of every record, seeds at a stride are taken; the stride is the most for
-   which any training record of the wanted similarity must contain one of them, at whatever
-   offset (``seeds.longest_run``). This is the prefix of the prefix filter: about 35 of 300
-   shingles. Single 12-letter windows can't serve as shingles: there are only 4^12 of them, so in
-   a large corpus none is rare and the candidates would grow with the square of the input.
-2. A bitmap of the indexed seeds (at most 2^``MOST_BITS`` bits, whatever the input) goes to the
-   training tasks. It only filters: a false positive costs a posting, never a result. Where more seeds are indexed, the
+A prefix-filter join on rare shingles. The evaluation side is the small one and is indexed; the training side only probes. Both are cleaned once
+and written.
+
+1. Shingles. Of every evaluation record, seeds of 18 letters at a stride are taken; a training record holds all of its own, so
+   any similar one has at least ``needed`` of them, at whatever offset. Single 12-letter windows can't serve as
+   shingles: there are only 4^12 of them, so in a large corpus none is rare and the candidates would grow with the square of the input.
+2. A bitmap of these shingles (at most 2^``MOST_BITS`` bits, whatever the input) goes to the
+   training tasks. It only filters: a false positive costs a posting, never a result. Where there are more shingles, the
    seeds are taken in so many ranges, one after the other, that each range's bitmap is small enough.
-3. Training records probe with the seeds at all positions; postings that pass are exchanged by
-   seed bucket and joined with the index there, under the length filter. The seeds that a pair has in common are counted;
-   pairs with fewer than similar records of their sizes must have (``needed``) are dropped.
-4. Texts that meet in a seed of very many texts are indexed again with all their seeds under a prefix filter
+3. Frequencies. All training records are read for how often each shingle occurs among them, into a table of fixed size. Only the order
+   of shingles depends on it, so it need not be exact.
+4. Index. Each evaluation record orders its shingles from the rarest on; the prefix leaves out as many of the most frequent as it can spare
+   (``spared``). Postings carry the place of the shingle in this order, counted from the end. What is spared only meets
+   training records with repeats inside, for which the count of common shingles does not hold.
+5. Training records probe with the seeds at all positions; postings that pass the bitmap are exchanged by
+   seed bucket and joined with the index there, under the length filter. A pair must have met in a shingle behind which enough
+   others follow (the position filter), and in as many of the prefix as similar records of their sizes must.
+6. Texts that meet in a seed of very many texts all the same are indexed again with all their seeds under a prefix filter
    that leaves frequent ones out (:mod:`hot_seeds`).
-5. Candidates are verified on their full sets of windows and expanded to all copies.
+7. Candidates are verified on their full sets of windows and expanded to all copies.
 """
 
 from __future__ import annotations
@@ -34,9 +38,11 @@ from ..functions.cleaning import cleaned
 from ..session import parallelism, spread, write_once
 from ..sources.hits import complete_hits, id_number
 from . import hot_seeds, kmers
-from .near_duplicates import BUCKET_POSTINGS, MOST_BUCKETS, PAIRS_A_TASK, bucket_count, checked, enough
-from .seeds import KEY_BITS, SEED, WINDOW, Exchange, bitmap_place, by_bucket, class_bounds, class_span, gathered, in_range, keyed, longest_run, seed_bound, set_sizes, size_class, unpacked
+from .near_duplicates import BUCKET_POSTINGS, MOST_BUCKETS, PAIRS_A_TASK, bucket_count, checked
+from .seeds import KEY_BITS, SEED, WINDOW, Exchange, bitmap_place, by_bucket, class_bounds, class_span, gathered, in_range, keyed, longest_run, packed, seed_bound, set_sizes, size_class, unpacked
 
+#: Leading bits of a seed by which its frequency is looked up (a table of 16 MB).
+RANK_BITS = 24
 #: Bits of the seed bitmap: 64 for each indexed seed of a range, within these bounds (at most 128 MB).
 LEAST_BITS, MOST_BITS = 20, 30
 #: Candidate pairs generated at once inside a bucket.
@@ -51,16 +57,16 @@ def records(df: DataFrame, least: int, text: str = "sequence", number: str = "se
 
 
 def strides(sizes: np.ndarray, threshold: float) -> np.ndarray:
-    """Stride at which seeds of records of these sizes may be taken."""
+    """Stride at which shingles of records of these sizes are taken: half of what would leave one in common with similar records, so that some can be spared."""
     top = 4096
     run = np.array([max(1, longest_run(m, threshold) + WINDOW - SEED) if m else 1 for m in range(top + 1)])
     run = np.minimum.accumulate(run[::-1])[::-1]
-    return run[np.minimum(np.ceil(sizes * threshold).astype(np.int64), top)]
+    return np.maximum(run[np.minimum(np.ceil(sizes * threshold).astype(np.int64), top)] // 2, 1)
 
 
 @lru_cache(maxsize=8)
 def needed_seeds(threshold: float) -> np.ndarray:
-    """[evaluation class, training class]: strided seeds that similar records of these size classes have in common at least (``seeds.seed_bound``)."""
+    """[evaluation class, training class]: shingles that similar records of these size classes have in common at least (``seeds.seed_bound``)."""
     low, high = class_bounds()
     step = strides(np.minimum(high, 1e6), threshold).astype(float)
     smaller, larger = (
@@ -71,6 +77,14 @@ def needed_seeds(threshold: float) -> np.ndarray:
     return np.triu(smaller) + np.triu(larger, 1).T
 
 
+@lru_cache(maxsize=8)
+def spared(threshold: float) -> np.ndarray:
+    """Shingles that an evaluation record of each size class leaves out of the index: two thirds of those it has in common with any similar record."""
+    near = np.abs(np.arange(256)[:, None] - np.arange(256)[None, :]) <= class_span(threshold)
+    least = np.where(near, needed_seeds(threshold), 1 << 30).min(1)
+    return least - (least + 2) // 3
+
+
 def kinds(sizes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Twice the size class, and one more for records whose windows are all distinct."""
     return 2 * size_class(sizes) + (sizes == np.maximum(np.diff(offsets) - WINDOW + 1, 0))
@@ -87,69 +101,123 @@ def fresh_blocks(batch: pa.RecordBatch):
         yield d[at : at + len(offsets) - 1], letters, offsets
 
 
-def index(texts: DataFrame, buckets: int, threshold: float, part: int = 0, parts: int = 1) -> DataFrame:
-    """(bucket, postings) of the evaluation side: seed, digest, kind, for the seeds of a range."""
-    longest = hot_seeds.FREQUENT**2
+def shingles(letters: np.ndarray, offsets: np.ndarray, threshold: float):
+    """(record, seed) of the shingles of a block, each once per record, and kinds of the records."""
+    owner = kmers.owners(offsets)
+    h, inside = kmers.window_hashes(letters, owner, SEED)
+    sizes = set_sizes(letters, offsets, owner)
+    step = strides(sizes, threshold)
+    rec = owner[: len(h)]
+    take = np.flatnonzero(inside & ((np.arange(len(h)) - offsets[:-1][rec]) % step[rec] == 0))
+    rec, seed = rec[take].astype(np.int64), keyed(h[take])
+    order = np.lexsort((seed, rec))
+    rec, seed = rec[order], seed[order]
+    once = np.append(True, (np.diff(rec) != 0) | (np.diff(seed) != 0))[: len(rec)]
+    return rec[once], seed[once], kinds(sizes, offsets)
+
+
+def all_shingles(texts: DataFrame, buckets: int, threshold: float, part: int, parts: int) -> DataFrame:
+    """(bucket, postings) of the evaluation side: the shingles of a range alone."""
 
     def run(batches):
-        out = Exchange(buckets, longest=longest)
+        out = Exchange(buckets)
         for batch in batches:
-            for d, letters, offsets in fresh_blocks(batch):
-                owner = kmers.owners(offsets)
-                h, inside = kmers.window_hashes(letters, owner, SEED)
-                sizes = set_sizes(letters, offsets, owner)
-                step = strides(sizes, threshold)
-                rec = owner[: len(h)]
-                take = np.flatnonzero(inside & ((np.arange(len(h)) - offsets[:-1][rec]) % step[rec] == 0))
-                take = take[in_range(keyed(h[take]), part, parts)]
-                rec = rec[take]
-                yield from out.add(keyed(h[take]), d[rec], kinds(sizes, offsets)[rec])
+            for _, letters, offsets in fresh_blocks(batch):
+                seed = shingles(letters, offsets, threshold)[1]
+                yield from out.add(np.unique(seed[in_range(seed, part, parts)]))
         yield from out.flush()
 
     return spread(texts.select("d", "text")).mapInArrow(run, Exchange.ddl)
 
 
-def seed_bitmap(rows: DataFrame, buckets: int, bits: int, part: int = 0, parts: int = 1) -> np.ndarray:
-    """Bitmap of 2^bits bits of the indexed seeds, by their leading bits within the range; its size is bounded by MOST_BITS."""
+def seed_bitmap(rows: DataFrame, buckets: int, bits: int, parts: int = 1) -> np.ndarray:
+    """Bitmap of 2^bits bits of the seeds of a range, by their leading bits within it; its size is bounded by MOST_BITS."""
+    return hot_seeds.bitmap(rows, buckets, bits, 1, parts)
 
-    def run(table: pa.Table) -> pa.Table:
-        at = np.unique(bitmap_place(gathered(x.as_py() for x in table.column("postings"))[0], bits, parts))
-        low = int(at[0]) >> 3 << 3
-        marks = np.zeros((int(at[-1]) - low + 8) >> 3 << 3, np.uint8)
-        marks[at - low] = 1
-        return pa.table({"at": pa.array([low >> 3], pa.int64()), "marks": pa.array([np.packbits(marks, bitorder="little").tobytes()], pa.binary())})
 
-    whole = np.zeros(1 << (bits - 3), np.uint8)
-    for part in by_bucket(rows.where("bucket >= 0"), buckets).applyInArrow(run, "at bigint, marks binary").toLocalIterator():
-        piece = np.frombuffer(part["marks"], np.uint8)[: len(whole) - part["at"]]
-        whole[part["at"] : part["at"] + len(piece)] |= piece
-    return whole
+def known_seeds(batch: pa.RecordBatch, known: np.ndarray, bits: int, part: int, parts: int):
+    """(digests, letters, offsets, owners, places, seeds) by block: the seeds at all places of the texts that lie in the range and that the bitmap knows."""
+    for d, letters, offsets in fresh_blocks(batch):
+        owner = kmers.owners(offsets)
+        h, inside = kmers.window_hashes(letters, owner, SEED)
+        seed = keyed(h)
+        at = bitmap_place(seed, bits, parts)
+        take = np.flatnonzero(inside & ((known[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool))
+        take = take[in_range(seed[take], part, parts)]
+        yield d, letters, offsets, owner, take, seed[take]
 
 
-def probes(texts: DataFrame, bitmap, bits: int, buckets: int, part: int = 0, parts: int = 1) -> DataFrame:
-    """(bucket, postings) of the training side: its seeds at all positions that lie in the range and that the bitmap knows."""
+def frequencies(texts: DataFrame, bitmap, bits: int, buckets: int, part: int, parts: int, table: np.ndarray) -> None:
+    """Enter into ``table`` how often the shingles of a range occur on the training side: four times the logarithm, the highest of those that share a place."""
+
+    def counts(batches):
+        out = Exchange(buckets)
+        for batch in batches:
+            found = [seed for *_, seed in known_seeds(batch, bitmap.value, bits, part, parts) if len(seed)]
+            if found:
+                seed, n = np.unique(np.concatenate(found), return_counts=True)
+                yield from out.add(seed, n)
+        yield from out.flush()
+
+    def run(rows: pa.Table) -> pa.Table:
+        seed, n = gathered(x.as_py() for x in rows.column("postings"))
+        seed, at = np.unique(seed, return_inverse=True)
+        level = np.minimum(4 * np.log2(1 + np.bincount(at, n)), 255).astype(np.uint8)
+        place = seed >> (KEY_BITS - RANK_BITS)
+        start = np.flatnonzero(np.append(True, np.diff(place) > 0))
+        # Most shingles that occur do so once or twice: only the others are worth a place.
+        place, level = place[start], np.maximum.reduceat(level, start)
+        use = level > 4
+        return pa.table({"places": pa.array([packed(np.diff(place[use], prepend=0))], pa.binary()), "levels": pa.array([packed(level[use])], pa.binary())})
+
+    rows = spread(texts.select("d", "text")).mapInArrow(counts, Exchange.ddl)
+    for row in by_bucket(rows, buckets).applyInArrow(run, "places binary, levels binary").toLocalIterator():
+        place, level = np.cumsum(unpacked(memoryview(row["places"]))[0]), unpacked(memoryview(row["levels"]))[0]
+        table[place] = np.maximum(table[place], level.astype(np.uint8))
+
+
+def index(texts: DataFrame, frequency, buckets: int, threshold: float, part: int = 0, parts: int = 1) -> DataFrame:
+    """(bucket, postings) of the evaluation side: seed, digest, kind, and place in the order of frequency, from the end, for the shingles of a range."""
     longest = hot_seeds.FREQUENT**2
 
     def run(batches):
-        out, known = Exchange(buckets, longest=longest), bitmap.value
+        out, often = Exchange(buckets, longest=longest), frequency.value
         for batch in batches:
             for d, letters, offsets in fresh_blocks(batch):
-                owner = kmers.owners(offsets)
-                h, inside = kmers.window_hashes(letters, owner, SEED)
-                seed = keyed(h)
-                at = bitmap_place(seed, bits, parts)
-                take = np.flatnonzero(inside & ((known[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool))
-                take = take[in_range(seed[take], part, parts)]
+                rec, seed, kind = shingles(letters, offsets, threshold)
+                order = np.lexsort((seed, often[seed >> (KEY_BITS - RANK_BITS)], rec))
+                rec, seed = rec[order], seed[order]
+                n = np.bincount(rec, minlength=len(offsets) - 1)
+                behind = n[rec] - (np.arange(len(rec)) - (np.cumsum(n) - n)[rec])
+                use = in_range(seed, part, parts)
+                rec = rec[use]
+                yield from out.add(seed[use], d[rec], kind[rec], behind[use])
+        yield from out.flush()
+
+    return spread(texts.select("d", "text")).mapInArrow(run, Exchange.ddl)
+
+
+def probes(texts: DataFrame, bitmap, bits: int, buckets: int, part: int = 0, parts: int = 1) -> DataFrame:
+    """(bucket, postings) of the training side: seed, digest, kind of its seeds at all positions that lie in the range and that the bitmap knows."""
+    longest = hot_seeds.FREQUENT**2
+
+    def run(batches):
+        out = Exchange(buckets, longest=longest)
+        for batch in batches:
+            for d, letters, offsets, owner, take, seed in known_seeds(batch, bitmap.value, bits, part, parts):
                 if len(take):
                     rec = owner[take]
-                    yield from out.add(seed[take], d[rec], kinds(set_sizes(letters, offsets, owner), offsets)[rec])
+                    yield from out.add(seed, d[rec], kinds(set_sizes(letters, offsets, owner), offsets)[rec])
         yield from out.flush()
 
     return spread(texts.select("d", "text")).mapInArrow(run, Exchange.ddl)
 
 
-def pair_blocks(seed_a, d_a, kind_a, seed_b, d_b, kind_b, threshold: float):
-    """(a, b, common, needed): evaluation and training digests that share seeds, sizes within the span; blocks may repeat a pair."""
+def pair_blocks(seed_a, d_a, kind_a, behind_a, seed_b, d_b, kind_b, threshold: float):
+    """(a, b, common, needed, behind): evaluation and training digests that share shingles, sizes within the span; blocks may repeat a pair.
+
+    ``needed`` counts all shingles of the evaluation record; ``behind`` is the most that follow one in common, itself included.
+    """
     span, need = class_span(threshold), needed_seeds(threshold)
     names_a, a = np.unique(d_a, return_inverse=True)
     names_b, b = np.unique(d_b, return_inverse=True)
@@ -157,7 +225,7 @@ def pair_blocks(seed_a, d_a, kind_a, seed_b, d_b, kind_b, threshold: float):
     own_a[a], own_b[b] = kind_a, kind_b
     size_a, size_b = kind_a >> 1, kind_b >> 1
     order_a = np.argsort(seed_a << 9 | size_a)
-    key_a, a = (seed_a << 9 | size_a)[order_a], a[order_a]
+    key_a, a, behind_a = (seed_a << 9 | size_a)[order_a], a[order_a], behind_a[order_a]
     low = np.searchsorted(key_a, seed_b << 9 | np.maximum(size_b - span, 0), "left")
     n = np.searchsorted(key_a, seed_b << 9 | (size_b + span), "right") - low
     done, at = np.concatenate([[0], np.cumsum(n)]), 0
@@ -166,34 +234,41 @@ def pair_blocks(seed_a, d_a, kind_a, seed_b, d_b, kind_b, threshold: float):
         j = np.repeat(np.arange(at, to), n[at:to])
         i = np.arange(done[to] - done[at]) - np.repeat(done[at:to] - done[at], n[at:to]) + low[j]
         if len(i):
-            key, common = np.unique(a[i] * len(names_b) + b[j], return_counts=True)
-            one, two = key // len(names_b), key % len(names_b)
+            key = a[i] * len(names_b) + b[j]
+            order = np.argsort(key)
+            key = key[order]
+            start = np.flatnonzero(np.append(True, np.diff(key) > 0))
+            common, behind = np.diff(np.append(start, len(key))), np.maximum.reduceat(behind_a[i][order], start)
+            one, two = key[start] // len(names_b), key[start] % len(names_b)
             x, y = own_a[one], own_b[two]
-            yield names_a[one], names_b[two], common, np.where(x & y & 1, need[x >> 1, y >> 1], 1)
+            yield names_a[one], names_b[two], common, np.where(x & y & 1, need[x >> 1, y >> 1], 1), np.where(x & y & 1, spared(threshold)[x >> 1], 0), behind
         at = to
 
 
-def distinct_postings(seed, d, kind):
+def distinct_postings(seed, d, *columns):
     """The postings of one side, each (seed, text) once, by seed."""
     order = np.lexsort((d, seed))
-    seed, d, kind = seed[order], d[order], kind[order]
+    seed, d = seed[order], d[order]
     once = np.append(True, (seed[1:] != seed[:-1]) | (d[1:] != d[:-1]))[: len(seed)]
-    return seed[once], d[once], kind[once]
+    return seed[once], d[once], *(c[order][once] for c in columns)
+
+
+FOUND = ("a", "b", "common", "needed", "spared", "behind", "alone")
 
 
 def meet(left: DataFrame, right: DataFrame, buckets: int, threshold: float, most: int | None = None, counted: bool = True) -> DataFrame:
-    """(a, b, common, needed, alone): digests of evaluation and training texts with the seeds they share in a bucket and need in all, with ``alone`` 0.
+    """Digests a, b of evaluation and training texts with what they share in a bucket (see :func:`pair_blocks`), with ``alone`` 0.
 
     Where the lists of a seed would make more than ``most`` pairs, its texts come out alone, on the
-    evaluation side with ``alone`` 1, on the training side with 2. Unless ``counted``, one common seed will do.
+    evaluation side with ``alone`` 1, on the training side with 2. Unless ``counted``, one common seed will do, and postings have no place.
     """
 
-    def batch(a, b, common, needed, alone):
-        columns = [pa.array(np.asarray(x), pa.int64()) for x in (a, b, common, needed)]
-        return pa.record_batch([*columns, pa.array(np.full(len(a), alone), pa.int32())], names=["a", "b", "common", "needed", "alone"])
+    def batch(*columns):
+        return pa.record_batch([pa.array(np.asarray(x), pa.int64()) for x in columns], names=list(FOUND))
 
     def alone(d, side):
-        return batch(d, d, np.zeros(len(d)), np.zeros(len(d)), side)
+        none = np.zeros(len(d))
+        return batch(d, d, none, none, none, none, none + side)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, number = ([], []), 0
@@ -208,24 +283,39 @@ def meet(left: DataFrame, right: DataFrame, buckets: int, threshold: float, most
             return
         if not held[0] or not held[1]:
             return
-        seed_a, d_a, kind_a = distinct_postings(*gathered(held[0]))
+        first = gathered(held[0])
+        seed_a, d_a, kind_a, behind_a = distinct_postings(*first, *([] if counted else [np.ones(len(first[0]), np.int64)]))
         seed_b, d_b, kind_b = gathered(held[1])
         known = np.isin(seed_b, seed_a)
         seed_b, d_b, kind_b = distinct_postings(seed_b[known], d_b[known], kind_b[known])
-        if most is not None and len(seed_b):
-            seeds, count_b = np.unique(seed_b, return_counts=True)
-            count_a = np.searchsorted(seed_a, seeds, "right") - np.searchsorted(seed_a, seeds, "left")
-            hot = seeds[count_a * count_b > most]
-            hot_a, hot_b = np.isin(seed_a, hot), np.isin(seed_b, hot)
-            yield alone(np.unique(d_a[hot_a]), 1)
-            yield alone(np.unique(d_b[hot_b]), 2)
-            seed_a, d_a, kind_a = seed_a[~hot_a], d_a[~hot_a], kind_a[~hot_a]
-            seed_b, d_b, kind_b = seed_b[~hot_b], d_b[~hot_b], kind_b[~hot_b]
-        for a, b, common, needed in pair_blocks(seed_a, d_a, kind_a, seed_b, d_b, kind_b, threshold):
-            yield batch(a, b, common, needed if counted else np.ones(len(needed)), 0)
+        # Records of distinct windows on both sides meet in the prefix; others in all shingles.
+        spare = (kind_a & 1).astype(bool) & (behind_a <= spared(threshold)[kind_a >> 1]) & counted
+        plain = (kind_b & 1).astype(bool) & counted
+        for use_a, use_b in ((~spare, slice(None)), (spare, ~plain)):
+            one, two = [x[use_a] for x in (seed_a, d_a, kind_a, behind_a)], [x[use_b] for x in (seed_b, d_b, kind_b)]
+            if not len(one[0]) or not len(two[0]):
+                continue
+            if most is not None:
+                seeds, count_b = np.unique(two[0], return_counts=True)
+                count_a = np.searchsorted(one[0], seeds, "right") - np.searchsorted(one[0], seeds, "left")
+                hot = seeds[count_a * count_b > most]
+                hot_a, hot_b = np.isin(one[0], hot), np.isin(two[0], hot)
+                yield alone(np.unique(one[1][hot_a]), 1)
+                yield alone(np.unique(two[1][hot_b]), 2)
+                one, two = [x[~hot_a] for x in one], [x[~hot_b] for x in two]
+            for a, b, common, needed, spares, behind in pair_blocks(*one, *two, threshold):
+                if not counted:
+                    needed, spares = np.ones(len(needed)), np.zeros(len(spares))
+                yield batch(a, b, common, needed, spares, behind, np.zeros(len(a)))
 
     both = left.select("bucket", F.lit(0).alias("side"), "postings").unionAll(right.select("bucket", F.lit(1).alias("side"), "postings"))
-    return by_bucket(both, buckets).applyInArrow(run, "a bigint, b bigint, common bigint, needed bigint, alone int")
+    return by_bucket(both, buckets).applyInArrow(run, ", ".join(f"{c} bigint" for c in FOUND))
+
+
+def enough(found: DataFrame) -> DataFrame:
+    """(a, b): pairs that met in a shingle behind which as many follow as they need, and in as many of the prefix as they need less those spared."""
+    pairs = found.where("alone = 0").groupBy("a", "b").agg(F.sum("common").alias("common"), *[F.max(c).alias(c) for c in ("needed", "spared", "behind")])
+    return pairs.where("common >= greatest(needed - spared, 1) and behind >= needed").select("a", "b")
 
 
 def candidates(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
@@ -235,15 +325,19 @@ def candidates(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame
     """
     spark = left.sparkSession
     letters = left.agg(F.sum(F.length("text").cast("bigint"))).first()[0] or 0
-    seeds = letters // 8 + 1
+    seeds = letters // 4 + 1
     parts = -(-64 * seeds // (1 << MOST_BITS))
     bits = int(min(max(LEAST_BITS, (64 * seeds - 1).bit_length()), MOST_BITS))
     buckets = int(min(max(4 * parallelism(spark), 2 * seeds / BUCKET_POSTINGS), MOST_BUCKETS))
-    found = None
+    table, bitmaps = np.zeros(1 << RANK_BITS, np.uint8), []
     for part in range(parts):
-        indexed = write_once(index(left, buckets, threshold, part, parts), "index")
-        known = spark.sparkContext.broadcast(seed_bitmap(indexed, buckets, bits, part, parts))
-        own = write_once(meet(indexed, probes(right, known, bits, buckets, part, parts), buckets, threshold, hot_seeds.FREQUENT**2), "joined")
+        # Held on the driver's disk by Spark, one for each range; a task loads that of its range only.
+        bitmaps.append(spark.sparkContext.broadcast(seed_bitmap(all_shingles(left, buckets, threshold, part, parts), buckets, bits, parts)))
+        frequencies(right, bitmaps[-1], bits, buckets, part, parts, table)
+    frequency, found = spark.sparkContext.broadcast(table), None
+    for part, known in enumerate(bitmaps):
+        own = meet(index(left, frequency, buckets, threshold, part, parts), probes(right, known, bits, buckets, part, parts), buckets, threshold, hot_seeds.FREQUENT**2)
+        own = write_once(own, "joined")
         known.unpersist()
         found = own if found is None else found.unionAll(own)
     pairs = enough(found)
@@ -254,7 +348,7 @@ def candidates(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame
         marks, bits = hot_seeds.frequent_seeds(every, buckets)
         known = spark.sparkContext.broadcast(marks)
         sides = [hot_seeds.prefix_postings(t, buckets, threshold, known, bits, salts, side) for side, t in enumerate(texts)]
-        pairs = pairs.unionAll(meet(*sides, buckets, threshold, counted=False).select("a", "b")).distinct()
+        pairs = pairs.unionAll(enough(meet(*sides, buckets, threshold, counted=False))).distinct()
     return pairs
 
 

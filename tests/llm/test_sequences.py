@@ -231,6 +231,27 @@ def test_a_number_with_two_texts_overlaps_by_each(spark, monkeypatch):
     assert sorted(tuple(r) for r in cross_split.overlap_classes(test, train).collect()) == [(1, 5, 1, 1), (2, 5, 1, 1)]
 
 
+def test_rare_shingles_and_spared_ones(spark):
+    """A motif of most training records comes last in every order, and is spared unless the training record repeats itself."""
+    import numpy as np
+
+    assert (cross_split.spared(0.5) < cross_split.needed_seeds(0.5).diagonal()).all() and cross_split.spared(0.5)[40:80].max() > 3
+    rng = random.Random(41)
+    text = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+    motif = text(40)
+    bases = [text(260) for _ in range(40)]
+    train = [(n, b[:100] + motif + b[100:]) for n, b in enumerate(bases)]
+    # Similar to the first test record by what it repeats, which the record itself has once.
+    train += [(100, bases[0][:100] + motif * 3 + bases[0][100:] + bases[0][:60])]
+    test = [(1000 + n, edited(rng, t, 3)) for n, t in train[:20]] + [(2000, motif + text(200))]
+    sets = {n: windows(t) for n, t in train + test}
+    want = {(a, b) for a, _ in test for b, _ in train if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.5}
+    got = {tuple(r) for r in cross_split.overlaps_by_text(frame(spark, test), frame(spark, train)).collect()}
+    assert got == want and len(want) >= 20 and (1000, 100) in want
+    left, right = (cross_split.written(frame(spark, rows), 40) for rows in (test, train))
+    assert cross_split.candidates(left, right, 0.5).count() < 2 * len(want)
+
+
 def test_overlaps_in_ranges_of_seeds_and_blocks_of_members(spark, collection, monkeypatch):
     """With a bitmap too small for all seeds at once, and frequent seeds split, the pairs are the same."""
     from helixaudit.llm import hot_seeds
