@@ -41,10 +41,14 @@ from . import hot_seeds, kmers
 from .near_duplicates import BUCKET_POSTINGS, MOST_BUCKETS, PAIRS_A_TASK, bucket_count, checked
 from .seeds import KEY_BITS, SEED, WINDOW, Exchange, bitmap_place, by_bucket, class_bounds, class_span, gathered, in_range, keyed, longest_run, packed, seed_bound, set_sizes, size_class, unpacked
 
-#: Leading bits of a seed by which its frequency is looked up (a table of 16 MB).
-RANK_BITS = 24
-#: Bits of the seed bitmap: 64 for each indexed seed of a range, within these bounds (at most 128 MB).
-LEAST_BITS, MOST_BITS = 20, 30
+#: Leading bits of a seed by which its frequency is looked up (a table of 4 MB).
+RANK_BITS = 22
+#: Bits of the seed bitmap: so many for each shingle of a range, and for all within these bounds (at most 128 MB).
+SHINGLE_BITS, LEAST_BITS, MOST_BITS = 16, 20, 30
+#: Bits of the digest by which postings and candidates name a text; texts that share them are all verified.
+SHORT = (1 << 40) - 1
+#: Bits of the kind of a text.
+KIND_BITS = 10
 #: Candidate pairs generated at once inside a bucket.
 PAIR_BLOCK = 1_000_000
 
@@ -90,15 +94,16 @@ def kinds(sizes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return 2 * size_class(sizes) + (sizes == np.maximum(np.diff(offsets) - WINDOW + 1, 0))
 
 
-def fresh_blocks(batch: pa.RecordBatch):
-    """Blocks (digests, letters, offsets) of the texts of a batch of (d, text), each text once."""
-    d = batch.column(0).to_numpy()
-    _, first = np.unique(d, return_index=True)
-    first.sort()
-    d = d[first]
-    texts = batch.column(1) if len(first) == batch.num_rows else batch.column(1).take(pa.array(first))
+def fresh_blocks(batch: pa.RecordBatch, mask: int):
+    """Blocks (digests under ``mask``, letters, offsets) of the texts of a batch of (d, d2, text), each text once."""
+    d, d2 = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+    order = np.lexsort((d2, d))
+    once = np.append(True, (np.diff(d[order]) != 0) | (np.diff(d2[order]) != 0))[: len(d)]
+    first = np.sort(order[once])
+    texts = batch.column(2) if len(first) == batch.num_rows else batch.column(2).take(pa.array(first))
+    short = d[first] & mask
     for at, letters, offsets in kmers.blocks(*kmers.letters_of(texts)):
-        yield d[at : at + len(offsets) - 1], letters, offsets
+        yield short[at : at + len(offsets) - 1], letters, offsets
 
 
 def shingles(letters: np.ndarray, offsets: np.ndarray, threshold: float):
@@ -122,12 +127,12 @@ def all_shingles(texts: DataFrame, buckets: int, threshold: float, part: int, pa
     def run(batches):
         out = Exchange(buckets)
         for batch in batches:
-            for _, letters, offsets in fresh_blocks(batch):
+            for _, letters, offsets in fresh_blocks(batch, SHORT):
                 seed = shingles(letters, offsets, threshold)[1]
                 yield from out.add(np.unique(seed[in_range(seed, part, parts)]))
         yield from out.flush()
 
-    return spread(texts.select("d", "text")).mapInArrow(run, Exchange.ddl)
+    return spread(texts.select("d", "d2", "text")).mapInArrow(run, Exchange.ddl)
 
 
 def seed_bitmap(rows: DataFrame, buckets: int, bits: int, parts: int = 1) -> np.ndarray:
@@ -135,9 +140,9 @@ def seed_bitmap(rows: DataFrame, buckets: int, bits: int, parts: int = 1) -> np.
     return hot_seeds.bitmap(rows, buckets, bits, 1, parts)
 
 
-def known_seeds(batch: pa.RecordBatch, known: np.ndarray, bits: int, part: int, parts: int):
+def known_seeds(batch: pa.RecordBatch, mask: int, known: np.ndarray, bits: int, part: int, parts: int):
     """(digests, letters, offsets, owners, places, seeds) by block: the seeds at all places of the texts that lie in the range and that the bitmap knows."""
-    for d, letters, offsets in fresh_blocks(batch):
+    for d, letters, offsets in fresh_blocks(batch, mask):
         owner = kmers.owners(offsets)
         h, inside = kmers.window_hashes(letters, owner, SEED)
         seed = keyed(h)
@@ -153,7 +158,7 @@ def frequencies(texts: DataFrame, bitmap, bits: int, buckets: int, part: int, pa
     def counts(batches):
         out = Exchange(buckets)
         for batch in batches:
-            found = [seed for *_, seed in known_seeds(batch, bitmap.value, bits, part, parts) if len(seed)]
+            found = [seed for *_, seed in known_seeds(batch, SHORT, bitmap.value, bits, part, parts) if len(seed)]
             if found:
                 seed, n = np.unique(np.concatenate(found), return_counts=True)
                 yield from out.add(seed, n)
@@ -170,7 +175,7 @@ def frequencies(texts: DataFrame, bitmap, bits: int, buckets: int, part: int, pa
         use = level > 4
         return pa.table({"places": pa.array([packed(np.diff(place[use], prepend=0))], pa.binary()), "levels": pa.array([packed(level[use])], pa.binary())})
 
-    rows = spread(texts.select("d", "text")).mapInArrow(counts, Exchange.ddl)
+    rows = spread(texts.select("d", "d2", "text")).mapInArrow(counts, Exchange.ddl)
     for row in by_bucket(rows, buckets).applyInArrow(run, "places binary, levels binary").toLocalIterator():
         place, level = np.cumsum(unpacked(memoryview(row["places"]))[0]), unpacked(memoryview(row["levels"]))[0]
         table[place] = np.maximum(table[place], level.astype(np.uint8))
@@ -178,12 +183,12 @@ def frequencies(texts: DataFrame, bitmap, bits: int, buckets: int, part: int, pa
 
 def index(texts: DataFrame, frequency, buckets: int, threshold: float, part: int = 0, parts: int = 1) -> DataFrame:
     """(bucket, postings) of the evaluation side: seed, digest, kind, and place in the order of frequency, from the end, for the shingles of a range."""
-    longest = hot_seeds.FREQUENT**2
+    longest, mask = hot_seeds.FREQUENT**2, SHORT
 
     def run(batches):
         out, often = Exchange(buckets, longest=longest), frequency.value
         for batch in batches:
-            for d, letters, offsets in fresh_blocks(batch):
+            for d, letters, offsets in fresh_blocks(batch, mask):
                 rec, seed, kind = shingles(letters, offsets, threshold)
                 order = np.lexsort((seed, often[seed >> (KEY_BITS - RANK_BITS)], rec))
                 rec, seed = rec[order], seed[order]
@@ -194,28 +199,29 @@ def index(texts: DataFrame, frequency, buckets: int, threshold: float, part: int
                 yield from out.add(seed[use], d[rec], kind[rec], behind[use])
         yield from out.flush()
 
-    return spread(texts.select("d", "text")).mapInArrow(run, Exchange.ddl)
+    return spread(texts.select("d", "d2", "text")).mapInArrow(run, Exchange.ddl)
 
 
 def probes(texts: DataFrame, bitmap, bits: int, buckets: int, part: int = 0, parts: int = 1) -> DataFrame:
     """(bucket, postings) of the training side: seed, digest, kind of its seeds at all positions that lie in the range and that the bitmap knows."""
-    longest = hot_seeds.FREQUENT**2
+    longest, mask = hot_seeds.FREQUENT**2, SHORT
 
     def run(batches):
         out = Exchange(buckets, longest=longest)
         for batch in batches:
-            for d, letters, offsets, owner, take, seed in known_seeds(batch, bitmap.value, bits, part, parts):
+            for d, letters, offsets, owner, take, seed in known_seeds(batch, mask, bitmap.value, bits, part, parts):
                 if len(take):
                     rec = owner[take]
                     yield from out.add(seed, d[rec], kinds(set_sizes(letters, offsets, owner), offsets)[rec])
         yield from out.flush()
 
-    return spread(texts.select("d", "text")).mapInArrow(run, Exchange.ddl)
+    return spread(texts.select("d", "d2", "text")).mapInArrow(run, Exchange.ddl)
 
 
 def pair_blocks(seed_a, d_a, kind_a, behind_a, seed_b, d_b, kind_b, threshold: float):
     """(a, b, common, needed, behind): evaluation and training digests that share shingles, sizes within the span; blocks may repeat a pair.
 
+    Digests come with the kind of their text behind them, as texts of several kinds can share a short one.
     ``needed`` counts all shingles of the evaluation record; ``behind`` is the most that follow one in common, itself included.
     """
     span, need = class_span(threshold), needed_seeds(threshold)
@@ -241,7 +247,7 @@ def pair_blocks(seed_a, d_a, kind_a, behind_a, seed_b, d_b, kind_b, threshold: f
             common, behind = np.diff(np.append(start, len(key))), np.maximum.reduceat(behind_a[i][order], start)
             one, two = key[start] // len(names_b), key[start] % len(names_b)
             x, y = own_a[one], own_b[two]
-            yield names_a[one], names_b[two], common, np.where(x & y & 1, need[x >> 1, y >> 1], 1), np.where(x & y & 1, spared(threshold)[x >> 1], 0), behind
+            yield names_a[one] >> KIND_BITS, names_b[two] >> KIND_BITS, common, np.where(x & y & 1, need[x >> 1, y >> 1], 1), np.where(x & y & 1, spared(threshold)[x >> 1], 0), behind
         at = to
 
 
@@ -284,8 +290,9 @@ def meet(left: DataFrame, right: DataFrame, buckets: int, threshold: float, most
         if not held[0] or not held[1]:
             return
         first = gathered(held[0])
-        seed_a, d_a, kind_a, behind_a = distinct_postings(*first, *([] if counted else [np.ones(len(first[0]), np.int64)]))
-        seed_b, d_b, kind_b = gathered(held[1])
+        named = lambda seed, d, kind, *rest: (seed, d << KIND_BITS | kind, kind, *rest)
+        seed_a, d_a, kind_a, behind_a = distinct_postings(*named(*first), *([] if counted else [np.ones(len(first[0]), np.int64)]))
+        seed_b, d_b, kind_b = named(*gathered(held[1]))
         known = np.isin(seed_b, seed_a)
         seed_b, d_b, kind_b = distinct_postings(seed_b[known], d_b[known], kind_b[known])
         # Records of distinct windows on both sides meet in the prefix; others in all shingles.
@@ -300,8 +307,8 @@ def meet(left: DataFrame, right: DataFrame, buckets: int, threshold: float, most
                 count_a = np.searchsorted(one[0], seeds, "right") - np.searchsorted(one[0], seeds, "left")
                 hot = seeds[count_a * count_b > most]
                 hot_a, hot_b = np.isin(one[0], hot), np.isin(two[0], hot)
-                yield alone(np.unique(one[1][hot_a]), 1)
-                yield alone(np.unique(two[1][hot_b]), 2)
+                yield alone(np.unique(one[1][hot_a] >> KIND_BITS), 1)
+                yield alone(np.unique(two[1][hot_b] >> KIND_BITS), 2)
                 one, two = [x[~hot_a] for x in one], [x[~hot_b] for x in two]
             for a, b, common, needed, spares, behind in pair_blocks(*one, *two, threshold):
                 if not counted:
@@ -314,20 +321,20 @@ def meet(left: DataFrame, right: DataFrame, buckets: int, threshold: float, most
 
 def enough(found: DataFrame) -> DataFrame:
     """(a, b): pairs that met in a shingle behind which as many follow as they need, and in as many of the prefix as they need less those spared."""
-    pairs = found.where("alone = 0").groupBy("a", "b").agg(F.sum("common").alias("common"), *[F.max(c).alias(c) for c in ("needed", "spared", "behind")])
-    return pairs.where("common >= greatest(needed - spared, 1) and behind >= needed").select("a", "b")
+    pairs = found.where("alone = 0").groupBy("a", "b", "needed", "spared").agg(F.sum("common").alias("common"), F.max("behind").alias("behind"))
+    return pairs.where("common >= greatest(needed - spared, 1) and behind >= needed").select("a", "b").distinct()
 
 
 def candidates(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
-    """(a, b): distinct candidate pairs of digests of the written (no, d, d2, text) of both sides.
+    """(a, b): distinct candidate pairs of the written (no, d, d2, text) of both sides, by the ``SHORT`` part of d.
 
     Texts that meet in frequent seeds are looked at again (:mod:`hot_seeds`).
     """
     spark = left.sparkSession
     letters = left.agg(F.sum(F.length("text").cast("bigint"))).first()[0] or 0
     seeds = letters // 4 + 1
-    parts = -(-64 * seeds // (1 << MOST_BITS))
-    bits = int(min(max(LEAST_BITS, (64 * seeds - 1).bit_length()), MOST_BITS))
+    parts = -(-SHINGLE_BITS * seeds // (1 << MOST_BITS))
+    bits = int(min(max(LEAST_BITS, (SHINGLE_BITS * seeds - 1).bit_length()), MOST_BITS))
     buckets = int(min(max(4 * parallelism(spark), 2 * seeds / BUCKET_POSTINGS), MOST_BUCKETS))
     table, bitmaps = np.zeros(1 << RANK_BITS, np.uint8), []
     for part in range(parts):
@@ -338,11 +345,12 @@ def candidates(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame
     for part, known in enumerate(bitmaps):
         own = meet(index(left, frequency, buckets, threshold, part, parts), probes(right, known, bits, buckets, part, parts), buckets, threshold, hot_seeds.FREQUENT**2)
         own = write_once(own, "joined")
-        known.unpersist()
+        known.destroy()
         found = own if found is None else found.unionAll(own)
+    frequency.destroy()
     pairs = enough(found)
     if not (often := found.where("alone > 0")).isEmpty():
-        texts = [write_once(wanted_texts(rows, often.where(F.col("alone") == k).select("a"), "a").select(F.col("d").alias("rep"), "text", F.length("text").alias("n")), "frequent") for k, rows in ((1, left), (2, right))]
+        texts = [write_once(wanted_texts(rows, often.where(F.col("alone") == k), "a").select(F.col("a").alias("rep"), "text", F.length("text").alias("n")), "frequent") for k, rows in ((1, left), (2, right))]
         every = texts[0].unionAll(texts[1])
         buckets, salts = bucket_count(every, 1.0), hot_seeds.blocks_for(every)
         marks, bits = hot_seeds.frequent_seeds(every, buckets)
@@ -353,19 +361,19 @@ def candidates(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame
 
 
 def wanted_texts(rows: DataFrame, pairs: DataFrame, key: str) -> DataFrame:
-    """(d, d2, text) of the texts whose digest ``d`` is among ``pairs``' column ``key``, each text once."""
-    need = pairs.select(F.col(key).alias("d")).distinct()
-    return rows.select("d", "d2", "text").join(need, "d", "left_semi").dropDuplicates(["d", "d2"])
+    """(key, d, d2, text) of the texts that ``pairs``' column ``key`` names by the ``SHORT`` part of their digest, each text once."""
+    need = pairs.select(key).distinct()
+    return rows.select(F.col("d").bitwiseAND(F.lit(SHORT)).alias(key), "d", "d2", "text").join(need, key, "left_semi").dropDuplicates(["d", "d2"])
 
 
 def text_overlaps(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
     """(a, a2, b, b2): both halves of the digests of all similar texts of the written (no, d, d2, text) of both sides."""
     pairs = write_once(candidates(left, right, threshold), "candidates")
     tasks = max(parallelism(left.sparkSession), pairs.count() // PAIRS_A_TASK)
-    texts = [write_once(wanted_texts(rows, pairs, key).toDF(key, f"{key}2", f"text_{key}"), "texts") for key, rows in (("a", left), ("b", right))]
-    # A 64-bit digest may stand for two texts: the pair then meets both, and each is verified.
+    texts = [write_once(wanted_texts(rows, pairs, key).toDF(key, f"{key}1", f"{key}2", f"text_{key}"), "texts") for key, rows in (("a", left), ("b", right))]
+    # Where a short digest stands for two texts the pair meets both, and each is verified.
     rows = pairs.repartition(tasks, "a").join(texts[0], "a").repartition(tasks, "b").join(texts[1], "b")
-    return checked(rows.select("a", "a2", "b", "b2", "text_a", "text_b"), threshold).select("a", "a2", "b", "b2")
+    return checked(rows.select("a1", "a2", "b1", "b2", "text_a", "text_b"), threshold).select(F.col("a1").alias("a"), "a2", F.col("b1").alias("b"), "b2")
 
 
 def written(df: DataFrame, least: int, text: str = "sequence", number: str = "seq_no") -> DataFrame:

@@ -158,6 +158,6 @@ def prefix_postings(texts: DataFrame, buckets: int, threshold: float, known, bit
 
 
 def frequent_seeds(texts: DataFrame, buckets: int):
-    """Bitmap of the seeds that ``FREQUENT`` texts or more have, and its bits."""
-    bits = int(min(max(LEAST_BITS, (buckets << 20).bit_length() + 2), MOST_BITS))
+    """Bitmap of the seeds that ``FREQUENT`` texts or more have, and its bits: about 12 for each that there can be."""
+    bits = int(min(max(LEAST_BITS, (buckets << 18).bit_length()), MOST_BITS))
     return bitmap(seeds_once(texts, buckets), buckets, bits, FREQUENT), bits

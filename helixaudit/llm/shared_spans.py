@@ -34,8 +34,8 @@ from .seeds import KEY_BITS, Exchange, bitmap_place, by_bucket, in_range, keyed,
 SEED = 24
 #: Letters of chunks that one bucket should hold at most, if no chunk is left out; its work needs about 100 bytes a letter.
 BUCKET_LETTERS = 2_000_000
-#: Bits of the bitmap of a range of chunk keys, at least and at most (128 MB).
-LEAST_BITS, MOST_BITS = 20, 30
+#: Bits of the bitmap for each chunk key of a range (few are marked, as few are in two texts), and for all at least and at most (128 MB).
+KEY_SPACE, LEAST_BITS, MOST_BITS = 16, 20, 30
 CHUNK_DDL = "bucket bigint, chunks binary, letters binary, d bigint, d2 bigint, rep bigint, start bigint"
 #: Letters of chunks that a map task deduplicates at once.
 HELD_LETTERS = 20_000_000
@@ -111,6 +111,7 @@ def lowest_and_highest(low: np.ndarray, high: np.ndarray, kind: np.ndarray, kind
 def sent_chunks(texts: DataFrame, bitmap, bits: int, buckets: int, span: int, part: int = 0, parts: int = 1) -> DataFrame:
     """Chunks of a range whose key the bitmap knows: (bucket, chunks, letters) of the distinct ones, packed, and (d, d2, rep, start) of all places."""
     names = [c.split()[0] for c in CHUNK_DDL.split(", ")]
+    most = HELD_LETTERS
     types = [pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
 
     def batch(n, **columns):
@@ -147,7 +148,7 @@ def sent_chunks(texts: DataFrame, bitmap, bits: int, buckets: int, span: int, pa
                     rec, start, runs, key = rec[take], start[take], runs[take], key[take]
                     held.append((key, numbers[first + rec], start, runs, letters[ranges(offsets[rec] + start, runs + span - 1)]))
                     size += len(held[-1][4])
-                if size > HELD_LETTERS:
+                if size > most:
                     yield from rows(held)
                     held, size = [], 0
         if held:
@@ -227,7 +228,7 @@ def shared_spans(df: DataFrame, span: int = 60, text: str = "sequence", number:
     texts = write_once(distinct_texts(df, span, text, number), "texts")
     buckets = bucket_count(texts, (span - SEED) / 2)
     letters = texts.agg(F.sum(F.col("n").cast("bigint"))).first()[0] or 0
-    wanted = 64 * (letters // 20 + 1)
+    wanted = KEY_SPACE * (letters // 20 + 1)
     parts = -(-wanted // (1 << MOST_BITS))
     bits = int(min(max(LEAST_BITS, wanted.bit_length()), MOST_BITS))
     # Chunks overlap: their letters are about 4 times those of the texts.
@@ -236,7 +237,7 @@ def shared_spans(df: DataFrame, span: int = 60, text: str = "sequence", number:
     for part in range(parts):
         known = spark.sparkContext.broadcast(bitmap_of(keys(texts, buckets, span, part, parts), buckets, bits, 2, parts))
         sent = write_once(sent_chunks(texts, known, bits, chunk_buckets, span, part, parts), "chunks")
-        known.unpersist()
+        known.destroy()
         own = covered(sent, chunk_buckets, span)
         stretches = own if stretches is None else stretches.unionAll(own)
     alone = joined(stretches)

@@ -231,6 +231,14 @@ def test_a_number_with_two_texts_overlaps_by_each(spark, monkeypatch):
     assert sorted(tuple(r) for r in cross_split.overlap_classes(test, train).collect()) == [(1, 5, 1, 1), (2, 5, 1, 1)]
 
 
+def test_texts_that_share_a_short_digest_are_all_verified(spark, collection, monkeypatch):
+    train, test = [(n, t) for n, t in collection if n % 3], [(1000 + n, t) for n, t in collection if not n % 3]
+    want = {tuple(r) for r in cross_split.overlaps_by_text(frame(spark, test), frame(spark, train)).collect()}
+    monkeypatch.setattr(cross_split, "SHORT", 31)
+    got = [tuple(r) for r in cross_split.overlaps_by_text(frame(spark, test), frame(spark, train)).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_rare_shingles_and_spared_ones(spark):
     """A motif of most training records comes last in every order, and is spared unless the training record repeats itself."""
     import numpy as np
