@@ -13,6 +13,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from ..session import parallelism
 from . import kmers
@@ -110,6 +111,11 @@ def keyed(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(64 - KEY_BITS)).astype(np.int64)
 
 
+def scattered(seed: np.ndarray) -> np.ndarray:
+    """Seeds renamed one to one, so that minima, which crowd at low hashes, spread evenly over the ranges of buckets."""
+    return (seed.astype(np.uint64) * np.uint64(kmers.BASE_A) & np.uint64((1 << KEY_BITS) - 1)).astype(np.int64)
+
+
 def in_range(seed: np.ndarray, part: int, parts: int) -> np.ndarray:
     """Whether seeds lie in one of so many equal ranges."""
     return seed * parts >> KEY_BITS == part
@@ -147,7 +153,7 @@ def minimum_seeds(letters: np.ndarray, offsets: np.ndarray, threshold: float) ->
         at = at[own_inside[at]]
         parts.append((own_owner[at].astype(np.int64), own_h[at]))
     rec, h = (np.concatenate(x) for x in zip(*parts))
-    return rec, keyed(h), kind[rec]
+    return rec, scattered(keyed(h)), kind[rec]
 
 
 def packed(values: np.ndarray) -> bytes:
@@ -233,9 +239,10 @@ def surplus(seed: np.ndarray, number: np.ndarray, longest: int) -> np.ndarray:
 
 
 def by_bucket(rows, buckets: int):
-    """Rows grouped by bucket. The number of tasks is set, as a bucket costs far more work than its bytes suggest."""
+    """Rows grouped by bucket, with the buckets dealt out evenly to the tasks. The number of tasks is set, as a bucket costs far more work than its bytes suggest."""
     tasks = max(parallelism(rows.sparkSession), min(buckets, buckets // 8))
-    return rows.repartition(tasks, "bucket").groupBy("bucket")
+    dealt = rows.withColumn("task", F.pmod("bucket", F.lit(tasks).cast("bigint")).cast("int"))
+    return dealt.repartitionById(tasks, "task").groupBy("task", "bucket")
 
 
 def gathered(blobs) -> list[np.ndarray]:
