@@ -61,11 +61,11 @@ def records(df: DataFrame, least: int, text: str = "sequence", number: str = "se
 
 
 def strides(sizes: np.ndarray, threshold: float) -> np.ndarray:
-    """Stride at which shingles of records of these sizes are taken: half of what would leave one in common with similar records, so that some can be spared."""
+    """Stride at which shingles of records of these sizes are taken: two thirds of what would leave one in common with similar records, so that some can be spared."""
     top = 4096
     run = np.array([max(1, longest_run(m, threshold) + WINDOW - SEED) if m else 1 for m in range(top + 1)])
     run = np.minimum.accumulate(run[::-1])[::-1]
-    return np.maximum(run[np.minimum(np.ceil(sizes * threshold).astype(np.int64), top)] // 2, 1)
+    return np.maximum(run[np.minimum(np.ceil(sizes * threshold).astype(np.int64), top)] * 2 // 3, 1)
 
 
 @lru_cache(maxsize=8)
@@ -332,10 +332,10 @@ def candidates(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame
     """
     spark = left.sparkSession
     letters = left.agg(F.sum(F.length("text").cast("bigint"))).first()[0] or 0
-    seeds = letters // 4 + 1
+    seeds = letters // 5 + 1
     parts = -(-SHINGLE_BITS * seeds // (1 << MOST_BITS))
     bits = int(min(max(LEAST_BITS, (SHINGLE_BITS * seeds - 1).bit_length()), MOST_BITS))
-    buckets = int(min(max(4 * parallelism(spark), 2 * seeds / BUCKET_POSTINGS), MOST_BUCKETS))
+    buckets = int(min(max(parallelism(spark), 2 * seeds / BUCKET_POSTINGS), MOST_BUCKETS))
     table, bitmaps = np.zeros(1 << RANK_BITS, np.uint8), []
     for part in range(parts):
         # Held on the driver's disk by Spark, one for each range; a task loads that of its range only.

@@ -59,9 +59,9 @@ def distinct_texts(df: DataFrame, least: int, text: str = "sequence", number: st
 
 
 def bucket_count(df: DataFrame, per_posting: float) -> int:
-    """Buckets for the letters in column ``n``: about ``BUCKET_POSTINGS`` postings each, and several for each task, so that they spread evenly."""
+    """Buckets for the letters in column ``n``: about ``BUCKET_POSTINGS`` postings each, and one for each task at least."""
     letters = df.agg(F.sum(F.col("n").cast("bigint"))).first()[0] or 0
-    return int(min(max(4 * parallelism(df.sparkSession), letters / per_posting / BUCKET_POSTINGS), MOST_BUCKETS))
+    return int(min(max(parallelism(df.sparkSession), letters / per_posting / BUCKET_POSTINGS), MOST_BUCKETS))
 
 
 def postings(texts: DataFrame, buckets: int, threshold: float, longest: int | None = None) -> DataFrame:
