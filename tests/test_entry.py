@@ -71,3 +71,28 @@ def test_leak_queries_cover_sequences_of_all_lengths(spark, tmp_path):
     hits = {(r["query"], r["target"]) for r in entry.queries()["similarity_join"](spark, str(tmp_path)).collect()}
     # The last is half as long as its target: a hit, though no leak.
     assert hits >= {("seq_0_test", "seq_0_train"), ("seq_1_test", "seq_1_train"), ("seq_2_test", "seq_2_train")}
+
+
+def test_leak_copies_are_joined_without_a_search(spark, tmp_path, monkeypatch):
+    import duckdb
+
+    from helixaudit.operators import similarity
+
+    base = "ACGTTGCA" * 40
+    tables = {"enhancers_train": ["A", "acg t", base, base + "A", base, "ACGT" * 9, "", None], "enhancers_test": ["a", "ACGT", base, base, "ACGT" * 9 + "C", "-", None, ""]}
+    db = duckdb.connect()
+    for name, rows in tables.items():
+        # Each record twice, and one more text under a number that is taken.
+        df = spark.createDataFrame([*enumerate(rows), *enumerate(rows), (0, base)], "seq_no bigint, sequence string")
+        df.write.parquet(f"{tmp_path}/{name}.parquet")
+        db.execute(f"create view {name} as select * from '{tmp_path}/{name}.parquet/*.parquet'").fetchall()
+    entry = fresh_entry()
+    found = entry.queries()["similarity_join"](spark, str(tmp_path)).where("qcov = 1 and tcov = 1 and pident = 100").select("query", "target").collect()
+    want = sorted(db.execute(entry.oracle_sql()["leak_copies"]).fetchall())
+    assert sorted(tuple(int(x.split("_")[1]) for x in r) for r in found) == want and len(want) == 11
+
+    def searched(*args, **options):
+        raise AssertionError("copies were searched for by alignments")
+
+    monkeypatch.setattr(similarity, "similarity_join", searched)
+    assert sorted(tuple(r) for r in entry.queries()["leak_copies"](spark, str(tmp_path)).collect()) == want
