@@ -5,8 +5,10 @@ import gzip
 import json
 import random
 import re
+from collections import Counter
 from decimal import Decimal
 
+import pyarrow as pa
 import pytest
 
 from helixaudit import cli
@@ -255,6 +257,58 @@ def test_similarity_join_misses_no_leak_on_short_sequences(spark, least):
     assert sum(len(seeds(test[int(q.split("_")[1])]) & seeds(train[int(t.split("_")[1])])) < 2 for q, t in want) > 10
 
 
+def test_similarity_join_in_blocks_shuffles_texts_only(spark, monkeypatch):
+    """Several blocks on either side, copies in several rows, repeated records, a number with two texts; pairs by brute force."""
+    monkeypatch.setattr(similarity, "BLOCK_LETTERS", 1500)
+    monkeypatch.setattr(similarity, "CARRIED", 3)
+    rng = random.Random(24)
+    text = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+    base = [text(rng.randint(130, 200)) for _ in range(25)]
+    test = [(i, t[:60] + text(70)) for i, t in enumerate(base)] + [(30 + i, "ACGTTGCA" * 18) for i in range(7)] + [(0, base[1]), (0, base[1])]
+    train = list(enumerate(base)) + [(40 + i, "ACGTTGCA" * 17) for i in range(4)] + [(2, base[2])]
+    parts = lambda t: Counter(t[i : i + similarity.SEED] for i in range(len(t) - similarity.SEED + 1))
+    common = lambda a, b: sum(n * parts(b)[x] for x, n in parts(a).items())
+    want = sorted((f"seq_{i}_test", f"seq_{j}_train") for i, q in set(test) for j, t in set(train) if common(q, t) > 1)
+    frame = lambda rows: spark.createDataFrame(rows, "no bigint, seq string").repartition(3)
+    found = similarity.similarity_join(frame(test), frame(train))
+    assert sorted((r["query"], r["target"]) for r in found.collect()) == want and len(want) > 50
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan
+
+
+def test_pairs_of_a_block_agree_with_all_windows(monkeypatch):
+    from helixaudit.operators import candidates
+
+    rng = random.Random(25)
+    text = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+    shared = [text(30) for _ in range(6)] + ["A" * 40, "AC" * 25, "Ä" + "CA" * 12, "ACGTACGTACGTACG"]
+    made = lambda: [text(rng.randint(0, 60)) + rng.choice(shared)[rng.randint(0, 9) :] + text(rng.randint(0, 60)) for _ in range(50)] + ["A", "ACGT", "A" * 14, "A" * 15, *shared]
+    test, train = made(), made()
+    parts = lambda t: Counter(t[i : i + 14] for i in range(len(t) - 13))
+    want = sorted(j * len(test) + i for i, q in enumerate(test) for j, t in enumerate(train) if sum(n * parts(t)[x] for x, n in parts(q).items()) > 1)
+    for most in (candidates.MATCHES, 20):
+        monkeypatch.setattr(candidates, "MATCHES", most)
+        block, texts = candidates.Block(pa.array(test), 14), candidates.Texts(pa.array(train))
+        assert block.seeded(texts, 0, 30).tolist() + block.seeded(texts, 30, len(train)).tolist() == want
+        # One text at a time, in slices of few places.
+        assert [k for n in range(len(train)) for k in block.seeded(texts, n, n + 1).tolist()] == want
+
+
+def test_alignments_beyond_a_byte_and_with_many_letters():
+    rng = random.Random(26)
+    text = lambda n, letters: "".join(rng.choice(letters) for _ in range(n))
+    pairs = []
+    for letters in ("ACGT", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "".join(map(chr, range(0x100, 0x150)))):
+        for n in (40, 61, 62, 63, 64, 65, 90, 150):
+            a = text(n, letters)
+            pairs += [(a, a), (a, a[: n // 2] + text(1, letters) + a[n // 2 :]), (a, text(n, letters))]
+    for chosen in (range(24), range(48), range(72)):
+        own = [pairs[k] for k in chosen]
+        assert [r[0] for r in similarity.align(own)] == [best_score(*p) for p in own]
+        # Together or apart, the alignments are the same.
+        assert similarity.align(own) == [similarity.align([p], cells)[0] for p, cells in zip(own, [similarity.CELLS, 0] * 36)]
+
+
 def test_alignment_text():
     hit = HIT | dict(qaln="AC-GT", taln="ACTGA", qstart=3, tstart=1, qend=6, tend=5)
     assert html.midline("AC-GT", "ACTGA") == "|| |."
